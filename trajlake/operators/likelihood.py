@@ -63,7 +63,9 @@ def histograms(sim: DataFrame, specs: list[Histogram], by: list[str]) -> DataFra
 
 def _smoothed(hist: Column, b: Column, spec: Histogram) -> Column:
     total = F.aggregate(hist, F.lit(0).cast("long"), lambda acc, v: acc + v)
-    return F.ln((F.element_at(hist, b.cast("int") + 1) + spec.smoothing) / (total + spec.smoothing * spec.bins))
+    # element_at counts as non-null whenever its array is, so a NULL index must be guarded.
+    hits = F.element_at(hist, F.coalesce(b.cast("int") + 1, F.lit(1)))
+    return F.when(b.isNotNull(), F.ln((hits + spec.smoothing) / (total + spec.smoothing * spec.bins)))
 
 
 def histogram_loglik(log: DataFrame, sim: DataFrame, specs: list[Histogram], by: list[str], per_step: bool = False) -> DataFrame:
