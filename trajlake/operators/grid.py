@@ -64,27 +64,29 @@ def extent(frames: list[tuple[DataFrame, list[str], list[str]]]) -> float:
 
 
 def expanding_search(
-    points: DataFrame, search: Callable[[DataFrame, float], DataFrame], start: float, limit: float, growth: float = 4.0
+    points: DataFrame, search: Callable[[DataFrame, float], DataFrame], start: float, extent: Callable[[], float], growth: float = 4.0
 ) -> DataFrame:
     """Exact nearest-neighbour search over a grid.
 
     ``search(pending, radius)`` returns every pending row with its result and a boolean ``settled``
     that is true when nothing farther than ``radius`` could change the result.  Only unsettled rows
     are searched again with a larger radius, so the candidate lists stay short in dense places and no
-    row is ever dropped.  At ``limit`` (the extent of the data) every candidate has been seen.
+    row is ever dropped.  At ``extent()``, the diagonal of the data, every candidate has been seen; it is
+    only asked for when the first radius was not enough.
     """
-    columns, done, radius, pending = points.columns, [], start, points
+    columns, done, radius, pending, limit = points.columns, [], start, points, None
     while True:
-        found = search(pending, radius)
-        if radius >= limit:
+        found = cut_lineage(search(pending, radius))
+        if limit is not None and radius >= limit:
             done.append(found)
             break
-        found = cut_lineage(found)
-        done.append(found.filter("settled"))
         pending = found.filter("not settled").select(*columns)
         if pending.isEmpty():
+            done.append(found)
             break
-        radius = min(radius * growth, max(limit, start))
+        done.append(found.filter("settled"))
+        limit = extent() if limit is None else limit
+        radius = max(min(radius * growth, limit), radius)
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

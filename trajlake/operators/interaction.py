@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from trajlake.functions.geometry import (
     Box,
-    box_signed_distance,
     boxes_overlap,
     circle_slack,
     is_following,
     signed_speed,
+    with_box_distance,
     world_to_ego,
 )
 from trajlake.operators.grid import cover_cells, expanding_search, extent, with_cell
@@ -72,11 +72,8 @@ def pairwise_distances(state: DataFrame, max_range: float = 40.0, frame: list[st
     # A box gap below the range needs centres within range plus both half diagonals.
     reach = boxes.agg(F.max(_half_diagonal())).first()[0] or 0.0
     pairs = _candidates(boxes, boxes, frame, max_range + reach, "inner")
-    out = pairs.select(
-        *frame, "agent_id", F.col("o_agent_id").alias("other_id"),
-        box_signed_distance(Box.of(heading=False), _other()).alias("distance"),
-    )
-    return out.filter(F.col("distance") <= max_range)
+    out = with_box_distance(pairs, Box.of(heading=False), _other(), "distance")
+    return out.select(*frame, "agent_id", F.col("o_agent_id").alias("other_id"), "distance").filter(F.col("distance") <= max_range)
 
 
 def nearest_object(state: DataFrame, frame: list[str] = FRAME, max_range: float | None = None, start: float = 16.0) -> DataFrame:
@@ -90,8 +87,8 @@ def nearest_object(state: DataFrame, frame: list[str] = FRAME, max_range: float
 
     def search(pending: DataFrame, radius: float) -> DataFrame:
         pairs = _candidates(pending, targets, frame, radius, "left")
-        d = F.when(F.col("o_agent_id").isNotNull(), box_signed_distance(Box.of(heading=False), _other()))
-        best = pairs.groupBy(*points.columns).agg(F.min(d).alias("nearest_distance"))
+        pairs = with_box_distance(pairs, Box.of(heading=False), _other(), "_d")
+        best = pairs.groupBy(*points.columns).agg(F.min("_d").alias("nearest_distance"))
         # Unseen boxes start beyond radius + their half diagonal, hence beyond radius - own half diagonal.
         settled = F.coalesce(F.col("nearest_distance") <= radius - _half_diagonal(), F.lit(False))
         return best.withColumn("settled", settled)
@@ -100,8 +97,7 @@ def nearest_object(state: DataFrame, frame: list[str] = FRAME, max_range: float
         reach = points.agg(F.max(_half_diagonal())).first()[0] or 0.0
         found = search(points, max_range + reach).drop("settled")
     else:
-        limit = extent([(state, ["x"], ["y"])])
-        found = expanding_search(points, search, start, limit)
+        found = expanding_search(points, search, start, lambda: extent([(state, ["x"], ["y"])]))
     return state.join(found.select(*frame, "agent_id", "nearest_distance"), [*frame, "agent_id"])
 
 

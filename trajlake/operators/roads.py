@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from trajlake.functions.geometry import (
     Box,
     angle_gap,
+    box_corners,
     cross2,
     lane_aligned,
-    point_segment,
     point_segment_distance,
     segment_in_square,
     segments_intersect,
@@ -70,38 +70,58 @@ def close_seams(segments: DataFrame, by: list[str], tolerance: float = 1e-3) ->
     )
 
 
-def _signed_to_segment(px: Column, py: Column) -> Column:
-    """Signed distance of a point to a segment row (left of travel negative, right positive).
+def _with_signed_distance(pairs: DataFrame) -> DataFrame:
+    """Adds ``_d`` and ``_s``, plain and signed distance (left of travel negative) of point px, py to a segment row.
 
     Past an end of the segment the side of the neighbouring segment decides together with whether the
-    corner is convex; an open end keeps its own side.
+    corner is convex; an open end keeps its own side.  Built in steps so each term is computed once.
     """
-    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
-    t, dist = point_segment(px, py, x0, y0, x1, y1)
-    sx, sy = x1 - x0, y1 - y0
-    own = F.signum(cross2(px - x0, py - y0, sx, sy))
+    step1 = pairs.withColumns(
+        {
+            "_sx": F.col("x1") - F.col("x0"), "_sy": F.col("y1") - F.col("y0"),
+            "_ax": F.col("px") - F.col("x0"), "_ay": F.col("py") - F.col("y0"),
+            "_px": F.col("x0") - F.col("xp"), "_py": F.col("y0") - F.col("yp"),
+            "_nx": F.col("x2") - F.col("x1"), "_ny": F.col("y2") - F.col("y1"),
+        }
+    )
+    sx, sy, ax, ay, pvx, pvy, nvx, nvy = (F.col(f"_{k}") for k in ("sx", "sy", "ax", "ay", "px", "py", "nx", "ny"))
+    square = sx * sx + sy * sy
+    step2 = step1.withColumns(
+        {
+            "_t": F.when(square == 0, 0.0).otherwise((ax * sx + ay * sy) / square),
+            "_own": F.signum(cross2(ax, ay, sx, sy)),
+            "_prior": F.signum(cross2(ax + pvx, ay + pvy, pvx, pvy)),
+            "_next": F.signum(cross2(ax - sx, ay - sy, nvx, nvy)),
+        }
+    )
+    t, own = F.col("_t"), F.col("_own")
 
-    def beside(ax, ay, bx, by, convex: Column) -> Column:
-        side = F.signum(cross2(px - ax, py - ay, bx - ax, by - ay))
-        return F.when(ax.isNull() | bx.isNull(), own).when(convex > 0, F.greatest(own, side)).otherwise(F.least(own, side))
+    def beside(side: Column, turn: Column) -> Column:
+        return F.when(side.isNull(), own).when(turn > 0, F.greatest(own, side)).otherwise(F.least(own, side))
 
-    xp, yp, x2, y2 = (F.col(c) for c in ("xp", "yp", "x2", "y2"))
-    before = beside(xp, yp, x0, y0, cross2(x0 - xp, y0 - yp, sx, sy))
-    after = beside(x1, y1, x2, y2, cross2(sx, sy, x2 - x1, y2 - y1))
-    side = F.when(t < 0, before).when(t > 1, after).otherwise(own)
-    return side * dist
+    clamped = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    step3 = step2.withColumn("_d", F.hypot(ax - clamped * sx, ay - clamped * sy)).withColumn(
+        "_side",
+        F.when(t < 0, beside(F.col("_prior"), cross2(pvx, pvy, sx, sy)))
+        .when(t > 1, beside(F.col("_next"), cross2(sx, sy, nvx, nvy)))
+        .otherwise(own),
+    )
+    return step3.withColumn("_s", F.col("_side") * F.col("_d"))
 
 
-def _with_candidates(points: DataFrame, segments: DataFrame, on: list[str], radius: float, how: str = "left") -> DataFrame:
+def _with_candidates(
+    points: DataFrame, segments: DataFrame, on: list[str], radius: float, how: str = "left", pad: Column | None = None
+) -> DataFrame:
     """Each point with the segments whose bounding box comes within ``radius`` of the point's cell.
 
     The static side is replicated to the cells around it, so the big side is looked up once per row.
     """
     left = with_cell(points, F.col("x"), F.col("y"), radius)
+    reach = F.lit(radius) if pad is None else pad + radius
     right = cover_cells(
         segments,
-        F.least("x0", "x1") - radius, F.greatest("x0", "x1") + radius,
-        F.least("y0", "y1") - radius, F.greatest("y0", "y1") + radius, radius,
+        F.least("x0", "x1") - reach, F.greatest("x0", "x1") + reach,
+        F.least("y0", "y1") - reach, F.greatest("y0", "y1") + reach, radius,
     ).withColumnsRenamed({k: f"r_{k}" for k in on} | {"cx": "r_cx", "cy": "r_cy"})
     cond = (F.col("cx") == F.col("r_cx")) & (F.col("cy") == F.col("r_cy"))
     for k in on:
@@ -115,34 +135,28 @@ def road_edge_distance(
 ) -> DataFrame:
     """Adds ``road_edge_distance``: the largest signed corner distance to its nearest edge segment.
 
-    NULL where the map has no edge; positive means off-road.  All four corners are resolved from one
-    candidate list around the box centre.
+    NULL where the map has no edge; positive means off-road.
     """
     keep = list(dict.fromkeys([*ids, *on]))
-    points = state.select(*keep, "x", "y", "length", "width", F.cos("heading").alias("hx"), F.sin("heading").alias("hy"))
-    points = points.join(edges.select(*on).distinct(), on, "left_semi")
+    known = state.join(edges.select(*on).distinct(), on, "left_semi")
+    points = (
+        known.select(*keep, F.posexplode(box_corners(Box.of())).alias("corner", "c"))
+        .select(*keep, "corner", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
+    )
     segs = edges.select(*on, *_SEG, "xp", "yp", "x2", "y2")
 
     def search(pending: DataFrame, radius: float) -> DataFrame:
-        pairs = _with_candidates(pending, segs, on, radius)
-        has = F.col("polyline_id").isNotNull()
+        pairs = _with_candidates(pending, segs, on, radius).withColumnsRenamed({"x": "px", "y": "py"})
         # Ranked by the true distance: the signed one is zero on the extended line of a segment.
-        nearest = []
-        for i, (cx, cy) in enumerate(Box.of(heading=False).corners()):
-            dist = point_segment_distance(cx, cy, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-            item = F.struct(dist.alias("d"), F.col("polyline_id"), F.col("seg_idx"), _signed_to_segment(cx, cy).alias("s"))
-            nearest.append(F.min(F.when(has, item)).alias(f"_c{i}"))
-        best = pairs.groupBy(*points.columns).agg(*nearest)
-        half = F.hypot(F.col("length"), F.col("width")) / 2
-        settled = [F.col(f"_c{i}.d") <= F.lit(radius) - half for i in range(4)]
+        item = F.when(F.col("polyline_id").isNotNull(), F.struct("_d", "polyline_id", "seg_idx", "_s"))
+        best = _with_signed_distance(pairs).groupBy(*keep, "corner", "px", "py").agg(F.min(item).alias("_n"))
         return best.select(
-            *points.columns,
-            F.greatest(*[F.col(f"_c{i}.s") for i in range(4)]).alias("road_edge_distance"),
-            F.coalesce(settled[0] & settled[1] & settled[2] & settled[3], F.lit(False)).alias("settled"),
+            *keep, "corner", F.col("px").alias("x"), F.col("py").alias("y"), F.col("_n._s").alias("signed"),
+            F.coalesce(F.col("_n._d") <= radius, F.lit(False)).alias("settled"),
         )
 
-    found = expanding_search(points, search, start, extent([(state, ["x"], ["y"]), (edges, ["x0", "x1"], ["y0", "y1"])]))
-    return state.join(found.select(*ids, "road_edge_distance"), ids, "left")
+    found = expanding_search(points, search, start, lambda: extent([(state, ["x"], ["y"]), (edges, ["x0", "x1"], ["y0", "y1"])]))
+    return state.join(found.groupBy(*ids).agg(F.max("signed").alias("road_edge_distance")), ids, "left")
 
 
 def nearest_lane(
@@ -280,7 +294,7 @@ def prepare_roads(segments: DataFrame, lane_width: float = 4.5) -> DataFrame:
                 "x1": F.col("x1") + dx * grow, "y1": F.col("y1") + dy * grow,
                 "width": width,
                 "draw_pass": F.when(kind == LANE, 1).otherwise(0),
-                "draw_type": F.when(kind == LANE, LANE_AREA).when(kind == EDGE, YELLOW_EDGE).otherwise(kind),
+                "draw_type": F.when(kind == LANE, LANE_AREA).when(kind == EDGE, YELLOW_EDGE).otherwise(kind).cast("int"),
             }
         )
     )
@@ -363,11 +377,13 @@ def split_rings(pts: Column) -> Column:
 def crop_roads(frame: DataFrame, roads: DataFrame, on: list[str], ids: list[str], radius: float) -> DataFrame:
     """Road segments around every frame in its ego frame, painted features before lanes.
 
-    The square in the ego frame fits a circle of radius*sqrt(2), which sets the join cell.
+    The square fits a circle of radius*sqrt(2), which sets the join cell.  The test is on a segment's
+    bounding box in the ego frame, whose corners lie up to half a segment length off the segment.
     """
     reach = radius * 2**0.5
     keep = list(dict.fromkeys([*ids, *on]))
-    pairs = _with_candidates(frame.select(*keep, "x", "y", "yaw"), roads.select(*on, *_SEG, "road_type"), on, reach, "inner")
+    slack = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / 2
+    pairs = _with_candidates(frame.select(*keep, "x", "y", "yaw"), roads.select(*on, *_SEG, "road_type"), on, reach, "inner", slack)
     ax, ay = world_to_ego(F.col("x0"), F.col("y0"), F.col("x"), F.col("y"), F.col("yaw"))
     bx, by = world_to_ego(F.col("x1"), F.col("y1"), F.col("x"), F.col("y"), F.col("yaw"))
     local = pairs.select(*ids, "polyline_id", "seg_idx", "road_type", ax.alias("ex0"), ay.alias("ey0"), bx.alias("ex1"), by.alias("ey1"))

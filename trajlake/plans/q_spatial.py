@@ -211,7 +211,7 @@ def _(spark, sf):
     , k as (select *, abs(heading - (h + coalesce(ph, h)) / 2) as ag from g where rn = 1)
     select {IDS}, {r('lane_distance', 'lane_distance')}, case when pen <= 4 then polyline_id end as lane_id, coalesce(pen <= 4, false) as lane_valid,
       coalesce(pen <= 4 and (case when ag > pi() then 2 * pi() - ag else ag end) < pi() / 12, false) as lane_aligned,
-      {r('(sx * ay - sy * ax) / sqrt(sx * sx + sy * sy)', 'lateral_offset')}, {r('heading - h', 'heading_error')}
+      {r('(sx * ay - sy * ax) / sqrt(sx * sx + sy * sy)', 'lateral_offset')}, {r('k.heading - h', 'heading_error')}
     from log left join k using ({IDS})""", "log", "road_segment"))
 def _(spark, sf):
     n = rd.nearest_lane(px.log(spark, sf), lanes(spark, sf), ["map_id"], ID)

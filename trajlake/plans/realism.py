@@ -15,6 +15,7 @@ from trajlake.operators.interaction import FAR, nearest_object, time_to_collisio
 from trajlake.operators.kinematics import SIM_KEYS, kinematic_validity, kinematics
 from trajlake.operators.likelihood import BERNOULLI_SMOOTHING, REALISM, bernoulli_loglik, bin_index
 from trajlake.operators.roads import INVALID_DISTANCE, road_edge_distance
+from trajlake.session import cut_lineage
 
 LOG_ROLLOUT = -1
 _BASE = ["scenario_id", "agent_id", "rollout", "step", "x", "y", "heading", "length", "width", "object_type"]
@@ -30,12 +31,17 @@ def stack(sim: DataFrame, log: DataFrame, extra: list[str]) -> DataFrame:
 
 
 def features(states: DataFrame, edges: DataFrame | None, on: list[str]) -> DataFrame:
-    """All nine features of every row."""
-    f = kinematics(states, SIM_KEYS)
-    f = nearest_object(f)
-    f = time_to_collision(f)
+    """All nine features of every row.
+
+    The states with their kinematics are materialised once; the three neighbour features branch off
+    them and are joined back on the row key, instead of each re-running the chain before it.
+    """
+    base = cut_lineage(kinematics(states, SIM_KEYS))
+    key = ["scenario_id", "agent_id", "rollout", "step"]
+    f = base.join(nearest_object(base).select(*key, "nearest_distance"), key)
+    f = f.join(time_to_collision(base).select(*key, "ttc"), key)
     if edges is not None:
-        f = road_edge_distance(f, edges, on)
+        f = f.join(road_edge_distance(base, edges, on).select(*key, "road_edge_distance"), key)
     else:
         f = f.withColumn("road_edge_distance", F.lit(None).cast("double"))
     return f.select(
