@@ -51,9 +51,11 @@ def _other() -> Box:
 
 def _candidates(points: DataFrame, targets: DataFrame, frame: list[str], radius: float, how: str) -> DataFrame:
     """Pairs whose centres are within ``radius`` plus the half diagonal of the other box."""
-    left = with_cell(points, F.col("x"), F.col("y"), radius)
+    # Cells of twice the radius keep the replication of the target side near four.
+    size = 2 * radius
+    left = with_cell(points, F.col("x"), F.col("y"), size)
     reach = F.lit(radius) + _half_diagonal()
-    right = cover_cells(targets, F.col("x") - reach, F.col("x") + reach, F.col("y") - reach, F.col("y") + reach, radius)
+    right = cover_cells(targets, F.col("x") - reach, F.col("x") + reach, F.col("y") - reach, F.col("y") + reach, size)
     right = _renamed(right, [*frame, *_CELL_KEYS])
     dx, dy = F.col("o_x") - F.col("x"), F.col("o_y") - F.col("y")
     wide = F.lit(radius) + F.hypot(F.col("o_length"), F.col("o_width")) / 2

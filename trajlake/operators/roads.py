@@ -112,26 +112,31 @@ def _with_signed_distance(pairs: DataFrame) -> DataFrame:
 def _with_candidates(
     points: DataFrame, segments: DataFrame, on: list[str], radius: float, how: str = "left", pad: Column | None = None
 ) -> DataFrame:
-    """Each point with the segments whose bounding box comes within ``radius`` of the point's cell.
+    """Each point with the segments whose bounding box comes within ``radius`` (plus ``pad``) of it.
 
     The static side is replicated to the cells around it, so the big side is looked up once per row.
+    Cells of twice the radius keep that replication near four; the exact box test in the join condition
+    drops the rest of the cell before anything is computed for a pair.
     """
-    left = with_cell(points, F.col("x"), F.col("y"), radius)
+    size = 2 * radius
     reach = F.lit(radius) if pad is None else pad + radius
-    right = cover_cells(
-        segments,
-        F.least("x0", "x1") - reach, F.greatest("x0", "x1") + reach,
-        F.least("y0", "y1") - reach, F.greatest("y0", "y1") + reach, radius,
-    ).withColumnsRenamed({k: f"r_{k}" for k in on} | {"cx": "r_cx", "cy": "r_cy"})
+    left = with_cell(points, F.col("x"), F.col("y"), size)
+    lo_x, hi_x = F.least("x0", "x1") - reach, F.greatest("x0", "x1") + reach
+    lo_y, hi_y = F.least("y0", "y1") - reach, F.greatest("y0", "y1") + reach
+    right = segments.withColumns({"_lx": lo_x, "_hx": hi_x, "_ly": lo_y, "_hy": hi_y})
+    right = cover_cells(right, F.col("_lx"), F.col("_hx"), F.col("_ly"), F.col("_hy"), size).withColumnsRenamed(
+        {k: f"r_{k}" for k in on} | {"cx": "r_cx", "cy": "r_cy"}
+    )
     cond = (F.col("cx") == F.col("r_cx")) & (F.col("cy") == F.col("r_cy"))
     for k in on:
         cond = cond & (F.col(k) == F.col(f"r_{k}"))
-    return left.join(right, cond, how).drop("cx", "cy", "r_cx", "r_cy", *[f"r_{k}" for k in on])
+    cond = cond & F.col("x").between(F.col("_lx"), F.col("_hx")) & F.col("y").between(F.col("_ly"), F.col("_hy"))
+    return left.join(right, cond, how).drop("cx", "cy", "r_cx", "r_cy", "_lx", "_hx", "_ly", "_hy", *[f"r_{k}" for k in on])
 
 
 def road_edge_distance(
     state: DataFrame, edges: DataFrame, on: list[str] = ["scenario_id"], ids: list[str] = ["scenario_id", "agent_id", "rollout", "step"],
-    start: float = 8.0,
+    start: float = 3.0,
 ) -> DataFrame:
     """Adds ``road_edge_distance``: the largest signed corner distance to its nearest edge segment.
 
