@@ -114,7 +114,7 @@ def run_obs(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "orders")
         .groupBy(F.col("o_custkey").alias("run"))
-        .agg(F.round(F.avg("o_totalprice"), 2).alias("score"), F.count("*").cast("double").alias("cost"))
+        .agg(F.count("*").cast("double").alias("score"), F.round(F.sum("o_totalprice"), 2).alias("cost"))
     )
 
 
@@ -172,7 +172,7 @@ SQL = {
   select event_type as run, row_number() over (partition by event_type order by ts, event_id) as epoch, value as metric
   from events)""",
     "run_obs": """run_obs as (
-  select o_custkey as run, round(avg(o_totalprice), 2) as score, cast(count(*) as double) as cost
+  select o_custkey as run, cast(count(*) as double) as score, round(sum(o_totalprice), 2) as cost
   from orders group by o_custkey)""",
     "segment": """segment as (
   select c_custkey as segment_id, cast(c_nationkey as bigint) as town, c_acctbal as start_x from customer)""",
