@@ -92,8 +92,9 @@ def track_route(pose: DataFrame, route: DataFrame, by: list[str], order: str, go
     )
 
     def run(poses: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        if poses.empty or len(points) < 2:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+        if len(points) < 2:
+            # No route to follow: the poses stay, without progress.
+            return poses[[*by, order]].reindex(columns=[f.name for f in schema.fields]).astype(object).where(lambda d: d.notna(), None)
         poses, points = poses.sort_values(order), points.sort_values("pt_idx")
         goals = sorted({*np.flatnonzero(points[goal].to_numpy(bool)).tolist(), len(points) - 1})
         out = follow_route(poses["x"].to_numpy(float), poses["y"].to_numpy(float), points["x"].to_numpy(float), points["y"].to_numpy(float), goals, radius)
