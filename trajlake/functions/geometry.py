@@ -164,45 +164,52 @@ def box_signed_distance(a: Box, b: Box, rounding: float = 0.7) -> Column:
 
 
 def with_box_distance(df: DataFrame, a: Box, b: Box, name: str, rounding: float = 0.7) -> DataFrame:
-    """``box_signed_distance`` of every row, in steps so that shared terms are computed once per pair.
+    """``box_signed_distance`` of every row (NULL where a box is missing), in small generated methods.
 
     Both boxes are expressed in each other's frame first; the corners of a centred box are then signed
-    sums of two numbers.
+    sums of two numbers.  Each step is its own projection over non-null inputs, because one large
+    null-checking expression exceeds what the JVM compiles and then runs interpreted.
     """
     dx, dy = b.x - a.x, b.y - a.y
-    step1 = df.withColumns(
-        {
-            "_c": dot2(a.cos, a.sin, b.cos, b.sin), "_s": cross2(a.cos, a.sin, b.cos, b.sin),
-            "_ua": dot2(dx, dy, a.cos, a.sin), "_va": cross2(a.cos, a.sin, dx, dy),
-            "_ub": dot2(dx, dy, b.cos, b.sin), "_vb": cross2(b.cos, b.sin, dx, dy),
-            "_ra": F.least(a.length, a.width) * (rounding / 2), "_rb": F.least(b.length, b.width) * (rounding / 2),
-            "_al": a.length / 2, "_aw": a.width / 2, "_bl": b.length / 2, "_bw": b.width / 2,
-        }
-    ).withColumns({k: F.col(k) - F.col(q) for k, q in (("_al", "_ra"), ("_aw", "_ra"), ("_bl", "_rb"), ("_bw", "_rb"))})
+    raw = {
+        "_c": dot2(a.cos, a.sin, b.cos, b.sin), "_s": cross2(a.cos, a.sin, b.cos, b.sin),
+        "_ua": dot2(dx, dy, a.cos, a.sin), "_va": cross2(a.cos, a.sin, dx, dy),
+        "_ub": dot2(dx, dy, b.cos, b.sin), "_vb": cross2(b.cos, b.sin, dx, dy),
+        "_ra": F.least(a.length, a.width) * (rounding / 2), "_rb": F.least(b.length, b.width) * (rounding / 2),
+        "_al": a.length / 2, "_aw": a.width / 2, "_bl": b.length / 2, "_bw": b.width / 2,
+    }
+    present = reduce(lambda p, q: p & q, [c.isNotNull() for c in (a.x, a.y, a.length, a.width, a.cos, b.x, b.y, b.length, b.width, b.cos)])
+    out = df.withColumns({k: F.coalesce(c, F.lit(0.0)) for k, c in raw.items()} | {"_there": present})
+    out = out.withColumns({k: F.col(k) - F.col(q) for k, q in (("_al", "_ra"), ("_aw", "_ra"), ("_bl", "_rb"), ("_bw", "_rb"))})
     c, s, al, aw, bl, bw = (F.col(k) for k in ("_c", "_s", "_al", "_aw", "_bl", "_bw"))
-    step2 = step1.withColumns(
-        {
-            "_gap": F.greatest(
-                F.abs("_ua") - al - (bl * F.abs(c) + bw * F.abs(s)), F.abs("_va") - aw - (bl * F.abs(s) + bw * F.abs(c)),
-                F.abs("_ub") - bl - (al * F.abs(c) + aw * F.abs(s)), F.abs("_vb") - bw - (al * F.abs(s) + aw * F.abs(c)),
-            ),
-            "_blc": bl * c, "_bls": bl * s, "_bwc": bw * c, "_bws": bw * s,
-            "_alc": al * c, "_als": al * s, "_awc": aw * c, "_aws": aw * s,
-        }
+    out = out.withColumns(
+        {"_blc": bl * c, "_bls": bl * s, "_bwc": bw * c, "_bws": bw * s, "_alc": al * c, "_als": al * s, "_awc": aw * c, "_aws": aw * s}
     )
-
-    def squared(u: Column, v: Column, half_l: Column, half_w: Column) -> Column:
-        p, q = F.greatest(F.abs(u) - half_l, F.lit(0.0)), F.greatest(F.abs(v) - half_w, F.lit(0.0))
-        return p * p + q * q
-
     n = {k: F.col(f"_{k}") for k in ("blc", "bls", "bwc", "bws", "alc", "als", "awc", "aws", "ua", "va", "ub", "vb")}
-    corners = []
-    for i, j in ((1, 1), (1, -1), (-1, 1), (-1, -1)):
-        corners.append(squared(n["ua"] + n["blc"] * i - n["bws"] * j, n["va"] + n["bls"] * i + n["bwc"] * j, al, aw))
+    out = out.withColumn(
+        "_gap",
+        F.greatest(
+            F.abs(n["ua"]) - al - F.abs(n["blc"]) - F.abs(n["bws"]), F.abs(n["va"]) - aw - F.abs(n["bls"]) - F.abs(n["bwc"]),
+            F.abs(n["ub"]) - bl - F.abs(n["alc"]) - F.abs(n["aws"]), F.abs(n["vb"]) - bw - F.abs(n["als"]) - F.abs(n["awc"]),
+        ),
+    )
+    # How far each corner lies beyond the other box along its two axes (negative inside).
+    over: dict[str, Column] = {}
+    for k, (i, j) in enumerate(((1, 1), (1, -1), (-1, 1), (-1, -1))):
+        over[f"_p{k}"] = F.abs(n["ua"] + n["blc"] * i - n["bws"] * j) - al
+        over[f"_q{k}"] = F.abs(n["va"] + n["bls"] * i + n["bwc"] * j) - aw
         # Seen from b, a is at minus the offset and turned the other way.
-        corners.append(squared(n["alc"] * i + n["aws"] * j - n["ub"], n["awc"] * j - n["als"] * i - n["vb"], bl, bw))
-    distance = F.when(F.col("_gap") <= 0, F.col("_gap")).otherwise(F.sqrt(F.least(*corners))) - F.col("_ra") - F.col("_rb")
-    return step2.withColumn(name, distance).drop(*[k for k in step2.columns if k not in df.columns])
+        over[f"_p{k + 4}"] = F.abs(n["alc"] * i + n["aws"] * j - n["ub"]) - bl
+        over[f"_q{k + 4}"] = F.abs(n["awc"] * j - n["als"] * i - n["vb"]) - bw
+    out = out.withColumns(over)
+    # (t + |t|) is twice the positive part of t.
+    doubled = {k: F.col(k) + F.abs(F.col(k)) for k in over}
+    out = out.withColumns(doubled)
+    square = {f"_d{k}": F.col(f"_p{k}") * F.col(f"_p{k}") + F.col(f"_q{k}") * F.col(f"_q{k}") for k in range(8)}
+    out = out.withColumns(square)
+    apart = F.sqrt(F.least(*[F.col(f"_d{k}") for k in range(8)])) / 2
+    distance = F.when(F.col("_gap") <= 0, F.col("_gap")).otherwise(apart) - F.col("_ra") - F.col("_rb")
+    return out.withColumn(name, F.when(F.col("_there"), distance)).drop(*[k for k in out.columns if k not in df.columns])
 
 
 def aabb_overlap(a, b) -> Column:

@@ -76,37 +76,33 @@ def _with_signed_distance(pairs: DataFrame) -> DataFrame:
     Past an end of the segment the side of the neighbouring segment decides together with whether the
     corner is convex; an open end keeps its own side.  Built in steps so each term is computed once.
     """
-    step1 = pairs.withColumns(
-        {
-            "_sx": F.col("x1") - F.col("x0"), "_sy": F.col("y1") - F.col("y0"),
-            "_ax": F.col("px") - F.col("x0"), "_ay": F.col("py") - F.col("y0"),
-            "_px": F.col("x0") - F.col("xp"), "_py": F.col("y0") - F.col("yp"),
-            "_nx": F.col("x2") - F.col("x1"), "_ny": F.col("y2") - F.col("y1"),
-        }
-    )
-    sx, sy, ax, ay, pvx, pvy, nvx, nvy = (F.col(f"_{k}") for k in ("sx", "sy", "ax", "ay", "px", "py", "nx", "ny"))
-    square = sx * sx + sy * sy
-    step2 = step1.withColumns(
+    zero = F.lit(0.0)
+    raw = {
+        "_sx": F.col("x1") - F.col("x0"), "_sy": F.col("y1") - F.col("y0"), "_ax": F.col("px") - F.col("x0"), "_ay": F.col("py") - F.col("y0"),
+        "_bx": F.col("x0") - F.col("xp"), "_by": F.col("y0") - F.col("yp"), "_nx": F.col("x2") - F.col("x1"), "_ny": F.col("y2") - F.col("y1"),
+    }
+    # Non-null from here on keeps the generated code small enough to be compiled.
+    out = pairs.withColumns({k: F.coalesce(c, zero) for k, c in raw.items()} | {"_open0": F.col("xp").isNull(), "_open1": F.col("x2").isNull()})
+    sx, sy, ax, ay, bx, by, nx, ny = (F.col(k) for k in raw)
+    out = out.withColumns({"_square": sx * sx + sy * sy, "_along": ax * sx + ay * sy, "_own": F.signum(cross2(ax, ay, sx, sy))})
+    out = out.withColumn("_t", F.when(F.col("_square") == 0, zero).otherwise(F.col("_along") / F.col("_square")))
+    t, own = F.col("_t"), F.col("_own")
+    out = out.withColumns({"_clamp": F.least(F.greatest(t, zero), F.lit(1.0)), "_before": t < 0, "_after": t > 1})
+    out = out.withColumns({"_ex": ax - F.col("_clamp") * sx, "_ey": ay - F.col("_clamp") * sy})
+    # The neighbour that matters, if any: its side of the point and the way the corner turns.
+    out = out.withColumns(
         {
-            "_t": F.when(square == 0, 0.0).otherwise((ax * sx + ay * sy) / square),
-            "_own": F.signum(cross2(ax, ay, sx, sy)),
-            "_prior": F.signum(cross2(ax + pvx, ay + pvy, pvx, pvy)),
-            "_next": F.signum(cross2(ax - sx, ay - sy, nvx, nvy)),
+            "_d": F.sqrt(F.col("_ex") * F.col("_ex") + F.col("_ey") * F.col("_ey")),
+            "_far": F.when(F.col("_before"), cross2(ax + bx, ay + by, bx, by)).otherwise(cross2(ax - sx, ay - sy, nx, ny)),
+            "_turn": F.when(F.col("_before"), cross2(bx, by, sx, sy)).otherwise(cross2(sx, sy, nx, ny)),
+            "_alone": F.when(F.col("_before"), F.col("_open0")).when(F.col("_after"), F.col("_open1")).otherwise(F.lit(True)),
         }
     )
-    t, own = F.col("_t"), F.col("_own")
-
-    def beside(side: Column, turn: Column) -> Column:
-        return F.when(side.isNull(), own).when(turn > 0, F.greatest(own, side)).otherwise(F.least(own, side))
-
-    clamped = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    step3 = step2.withColumn("_d", F.hypot(ax - clamped * sx, ay - clamped * sy)).withColumn(
-        "_side",
-        F.when(t < 0, beside(F.col("_prior"), cross2(pvx, pvy, sx, sy)))
-        .when(t > 1, beside(F.col("_next"), cross2(sx, sy, nvx, nvy)))
-        .otherwise(own),
+    side = F.signum("_far")
+    out = out.withColumn(
+        "_side", F.when(F.col("_alone"), own).when(F.col("_turn") > 0, F.greatest(own, side)).otherwise(F.least(own, side))
     )
-    return step3.withColumn("_s", F.col("_side") * F.col("_d"))
+    return out.withColumn("_s", F.col("_side") * F.col("_d"))
 
 
 def _with_candidates(

@@ -63,7 +63,8 @@ def _(spark, sf):
 @query("c05_nearest_object", px.with_views(
     f"{STATES}{NEAREST} select {RIDS}, {r('nearest_distance', 'nearest_distance')}, nearest_distance < 0 as collision from states left join nearest using ({RIDS})", "log", "sim"))
 def _(spark, sf):
-    n = ia.nearest_object(all_states(spark, sf))
+    # The search reads its input several times, so it starts from a materialised table.
+    n = ia.nearest_object(cut_lineage(all_states(spark, sf)))
     return n.select(*RID, r6("nearest_distance").alias("nearest_distance"), (F.col("nearest_distance") < 0).alias("collision"))
 
 
@@ -197,7 +198,7 @@ LANE_VIEW = ", lane as (select * from road_segment where road_type = 4)"
     f"{EDGE_VIEW}{edge_sql('log', IDS)} select {IDS}, {r('road_edge_distance', 'road_edge_distance')}, road_edge_distance > 0 as offroad from log left join edged using ({IDS})",
     "log", "road_segment"))
 def _(spark, sf):
-    d = rd.road_edge_distance(px.log(spark, sf), edges(spark, sf), ["map_id"], ID)
+    d = rd.road_edge_distance(cut_lineage(px.log(spark, sf)), cut_lineage(edges(spark, sf)), ["map_id"], ID)
     return d.select(*ID, r6("road_edge_distance").alias("road_edge_distance"), (F.col("road_edge_distance") > 0).alias("offroad"))
 
 
@@ -425,7 +426,7 @@ METRICS = [*NAMES, "collision_indication", "offroad_indication"]
 @query("agent_log_likelihoods", px.with_views(
     f"{agent_sql()} select scenario_id, agent_id, {', '.join(r(f'll_{m}', f'll_{m}') for m in METRICS)} from agent", "log", "sim", "road_segment"))
 def agent_log_likelihoods(spark: SparkSession, sf: str) -> DataFrame:
-    feat = rl.features(all_states(spark, sf), edges(spark, sf), ["map_id"])
+    feat = rl.features(all_states(spark, sf), cut_lineage(edges(spark, sf)), ["map_id"])
     return rounded(rl.agent_scores(feat), *[f"ll_{m}" for m in METRICS])
 
 
@@ -437,7 +438,7 @@ def scenario_sql() -> str:
 
 
 def scenario_table(spark: SparkSession, sf: str) -> DataFrame:
-    feat = rl.features(all_states(spark, sf), edges(spark, sf), ["map_id"])
+    feat = rl.features(all_states(spark, sf), cut_lineage(edges(spark, sf)), ["map_id"])
     return sc.scenario_scores(rl.agent_scores(feat))
 
 
