@@ -88,7 +88,9 @@ def nearest_object(state: DataFrame, frame: list[str] = FRAME, max_range: float
     points = _boxes(state, frame)
 
     def search(pending: DataFrame, radius: float) -> DataFrame:
-        pairs = _candidates(pending, targets, frame, radius, "left")
+        # Later rounds only look at the frames that still have an unsettled row.
+        near = targets if radius <= start else targets.join(pending.select(*frame).distinct(), frame, "left_semi")
+        pairs = _candidates(pending, near, frame, radius, "left")
         pairs = with_box_distance(pairs, Box.of(heading=False), _other(), "_d")
         best = pairs.groupBy(*points.columns).agg(F.min("_d").alias("nearest_distance"))
         # Unseen boxes start beyond radius + their half diagonal, hence beyond radius - own half diagonal.

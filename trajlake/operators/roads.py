@@ -147,7 +147,9 @@ def road_edge_distance(
     segs = edges.select(*on, *_SEG, "xp", "yp", "x2", "y2")
 
     def search(pending: DataFrame, radius: float) -> DataFrame:
-        pairs = _with_candidates(pending, segs, on, radius).withColumnsRenamed({"x": "px", "y": "py"})
+        # Later rounds only replicate the maps that still have an unsettled corner.
+        near = segs if radius <= start else segs.join(pending.select(*on).distinct(), on, "left_semi")
+        pairs = _with_candidates(pending, near, on, radius).withColumnsRenamed({"x": "px", "y": "py"})
         # Ranked by the true distance: the signed one is zero on the extended line of a segment.
         item = F.when(F.col("polyline_id").isNotNull(), F.struct("_d", "polyline_id", "seg_idx", "_s"))
         best = _with_signed_distance(pairs).groupBy(*keep, "corner", "px", "py").agg(F.min(item).alias("_n"))
