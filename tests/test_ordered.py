@@ -56,3 +56,19 @@ def test_episode_and_nonfinite_runs(spark):
     ups = spark.createDataFrame([("a", i, v) for i, v in enumerate([1.0, bad, bad, 2.0, bad, float("inf"), bad])], "k string, t long, loss double")
     r = nonfinite_runs(ups, ["k"], ["t"], "loss").first()
     assert (r["nonfinite_updates"], r["longest_run"], r["current_run"]) == (5, 3, 3)
+
+
+def test_exact_quantiles_on_hot_groups(spark):
+    import numpy as np
+
+    from trajlake.operators.ordered import exact_quantiles
+
+    df = hot(spark)
+    qs = {"p1": 0.01, "p50": 0.5, "p99": 0.99}
+    rows = [r for r in df.collect() if r["v"] is not None]
+    for limit in (31, 10_000):
+        got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", ["id"], qs, limit=limit).collect()}
+        for k in got:
+            v = [r["v"] for r in rows if r["k"] == k]
+            for name, q in qs.items():
+                assert abs(got[k][name] - np.quantile(v, q)) < 1e-12

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.functions.geometry import finite, nondegenerate
-from trajlake.operators.ordered import with_index
+from trajlake.operators.ordered import exact_quantiles, with_index
 
 # ------------------------------------------------------------------ keys and sets
 
@@ -238,11 +238,18 @@ def episode_record(frame: DataFrame, by: list[str], order: str) -> DataFrame:
     ).select(*by, "frames", "mean_speed", "mean_agents", "max_offroad", F.col("_s.x").alias("start_x"), F.col("_s.y").alias("start_y"))
 
 
-def traffic_health(df: DataFrame, by: list[str], max_offroad: float) -> DataFrame:
-    """Share of vehicles off a lane and exact median speed."""
-    return df.groupBy(*by).agg(
-        F.avg((F.col("lane_distance") > max_offroad).cast("double")).alias("offroad_share"), F.percentile("speed", 0.5).alias("median_speed")
+def traffic_health(df: DataFrame, by: list[str], max_offroad: float, key: list[str]) -> DataFrame:
+    """Share of vehicles off a lane and exact median speed; ``key`` makes the speed order total."""
+    share = df.groupBy(*by).agg(F.avg((F.col("lane_distance") > max_offroad).cast("double")).alias("offroad_share"))
+    return share.join(exact_quantiles(df, by, "speed", key, {"median_speed": 0.5}), by)
+
+
+def route_audit(hops: DataFrame, by: list[str], key: list[str], short: float = 1.0, long: float = 80.0) -> DataFrame:
+    """Percentiles of route segment ``length`` and the shares below ``short`` and above ``long``."""
+    share = hops.groupBy(*by).agg(
+        F.avg((F.col("length") < short).cast("double")).alias("short_share"), F.avg((F.col("length") > long).cast("double")).alias("long_share")
     )
+    return share.join(exact_quantiles(hops, by, "length", key, {"p1": 0.01, "p50": 0.5, "p99": 0.99}), by)
 
 
 def verify_dataset(processed: DataFrame, feature: DataFrame, key: list[str], dim: int, version: int) -> DataFrame:

@@ -10,7 +10,7 @@ from trajlake.operators import curation as cu
 from trajlake.operators import egostate as eg
 from trajlake.operators import vectors as ve
 from trajlake.plans import proxies as px
-from trajlake.plans.q_core import ID, IDS, pose_column
+from trajlake.plans.q_core import ID, IDS, pose_column, segments
 from trajlake.plans.registry import query, r, r6, rounded
 
 DRIVE = ["scenario_id", "agent_id"]
@@ -414,7 +414,18 @@ def _(spark, sf):
     f"select map_id, {r('avg(case when abs(vy) > 1.5e0 then 1.0e0 else 0.0e0 end)', 'offroad_share')}, {r('quantile_cont(vx, 0.5)', 'median_speed')} from log group by map_id", "log"))
 def _(spark, sf):
     f = px.log(spark, sf).withColumns({"lane_distance": F.abs("vy"), "speed": F.col("vx")})
-    return rounded(cu.traffic_health(f, ["map_id"], 1.5), "offroad_share", "median_speed")
+    return rounded(cu.traffic_health(f, ["map_id"], 1.5, ID), "offroad_share", "median_speed")
+
+
+@query("d18_route_audit", px.with_views(
+    f""", h as (select map_id, sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) * (1 + 19 * (seg_idx % 2)) as length from road_segment)
+    select map_id, {r('avg(case when length < 4.1e0 then 1.0e0 else 0.0e0 end)', 'short_share')}, {r('avg(case when length > 80.0e0 then 1.0e0 else 0.0e0 end)', 'long_share')},
+      {r('quantile_cont(length, 0.01)', 'p1')}, {r('quantile_cont(length, 0.5)', 'p50')}, {r('quantile_cont(length, 0.99)', 'p99')} from h group by map_id""", "road_segment"))
+def _(spark, sf):
+    s = segments(spark, sf)
+    hop = F.sqrt(F.pow(F.col("x1") - F.col("x0"), F.lit(2)) + F.pow(F.col("y1") - F.col("y0"), F.lit(2))) * (F.lit(1) + F.col("seg_idx") % 2 * 19)
+    a = cu.route_audit(s.select("map_id", "polyline_id", "seg_idx", hop.alias("length")), ["map_id"], ["polyline_id", "seg_idx"], short=4.1)
+    return rounded(a, "short_share", "long_share", "p1", "p50", "p99")
 
 
 # ---------------------------------------------------------------- vectors

@@ -14,6 +14,7 @@ from trajlake.operators import roads as rd
 from trajlake.operators import rollouts as ro
 from trajlake.operators import sequential as sq
 from trajlake.operators import kinematics as kin
+from trajlake.operators.ordered import with_index
 from trajlake.plans import proxies as px
 from trajlake.plans.q_core import ID, IDS, KIN, SPEED, VALID, edge_bin_sql, segments, speed_sides
 from trajlake.plans.q_data import DRIVE, TRACE_SQL, trace
@@ -43,13 +44,15 @@ def _(spark, sf):
     return p.select("p_partkey", sn.map_object_type(kind).alias("object_type"), sn.map_road_type(F.col("p_size") % 22, word).alias("road_type"))
 
 
-@query("a05_validate_scenarios", """with d as (select o_custkey, count(*) as n, count(*) filter (o_orderstatus = 'P') as no_pos, count(*) filter (o_orderpriority like '5%') as no_y, count(*) filter (o_orderstatus = 'F') as f from orders group by o_custkey)
+@query("a05_validate_scenarios", """with i as (select *, (row_number() over (partition by o_custkey order by o_orderkey) - 1) // 16 as part from orders)
+    , d as (select o_custkey, part, count(*) as n, count(*) filter (o_orderstatus = 'P') as no_pos, count(*) filter (o_orderpriority like '5%') as no_y, count(*) filter (o_orderstatus = 'F') as f from i group by o_custkey, part)
     select case when f > 0 and no_pos = 0 and no_y < 3 then 'valid' else 'invalid' end as status, count(*) as documents, cast(sum(n) as bigint) as objects from d group by 1""")
 def _(spark, sf):
-    # One document per customer: its orders are objects (status P lacks a position) and the 5-priority ones break road points.
-    o = px.table(spark, sf, "orders")
+    # A document holds up to 16 orders of a customer as objects (status P lacks a position); 5-priority ones break road points.
+    scan = px.table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    o = with_index(scan, ["o_custkey"], ["o_orderkey"], "i", sized=scan.select("o_custkey")).withColumn("part", F.expr("i div 16"))
     zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
-    doc = o.groupBy("o_custkey").agg(
+    doc = o.groupBy("o_custkey", "part").agg(
         F.collect_list(F.struct(F.lit("vehicle").alias("type"), F.when(F.col("o_orderstatus") != "P", F.array(zero)).alias("position"))).alias("objects"),
         F.count_if(F.col("o_orderpriority").startswith("5")).alias("_no_y"), F.count_if(F.col("o_orderstatus") == "F").alias("_f"),
     )
@@ -433,7 +436,6 @@ def _(spark, sf):
 
 @query("c24_sample_agents")
 def _(spark, sf):
-    from trajlake.operators.ordered import with_index
     from trajlake.plans.q_data import agent_dim
 
     dim = agent_dim(spark, sf)
@@ -458,7 +460,10 @@ def _(spark, sf):
     return ln.sample_lane_points(lane, lane.count(), ["map_id", "lane_id"])
 
 
-@query("i03_dedupe_displacement")
+@query("i03_dedupe_displacement", """with recursive s as (select cast(c_nationkey as bigint) as town, c_custkey as segment_id, c_acctbal as start_x, c_acctbal / 50.0e0 as x from customer)
+    , nxt as (select a.town, a.segment_id, min(b.segment_id) as nid from s a join s b on a.town = b.town and b.segment_id > a.segment_id and abs(b.x - a.x) >= 25.0e0 group by a.town, a.segment_id)
+    , chain as (select town, min(segment_id) as segment_id from s group by town union all select c.town, n.nid from chain c join nxt n on n.town = c.town and n.segment_id = c.segment_id)
+    select s.town, s.segment_id, s.start_x from s join chain using (town, segment_id)""")
 def _(spark, sf):
     s = px.segment(spark, sf).withColumns({"x": F.col("start_x") / 50.0, "y": F.lit(0.0)})
     return sq.dedupe_displacement(s, ["town"], ["segment_id"], 25.0).select("town", "segment_id", "start_x")
