@@ -1,9 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from trajlake.llm import pii, quality
+from trajlake.llm import neardup, pii, quality, secrets
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1,
     "op8_pii": pii.op8,
+    "op9_near_duplicates": neardup.op9,
     "op10_quality_rules": quality.op10,
 }
 ORACLE: dict[str, str] = {}
