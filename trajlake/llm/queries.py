@@ -1,9 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from trajlake.llm import neardup, pii, quality, secrets
+from trajlake.llm import decontaminate, mixing, neardup, pii, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
+    "op6_decontamination": decontaminate.op6,
+    "op7_mixing": mixing.op7,
     "op8_pii": pii.op8,
     "op9_near_duplicates": neardup.op9,
     "op10_quality_rules": quality.op10,
