@@ -1,9 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from trajlake.llm import decontaminate, mixing, neardup, pii, quality, secrets
+from trajlake.llm import chat, decontaminate, mixing, neardup, pii, quality, secrets, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
+    "op4_chat_formatting": chat.op4,
+    "op5_url_filter": urls.op5,
     "op6_decontamination": decontaminate.op6,
     "op7_mixing": mixing.op7,
     "op8_pii": pii.op8,
