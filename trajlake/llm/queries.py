@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from trajlake.llm import chat, decontaminate, langid, mixing, neardup, pii, quality, secrets, urls
+from trajlake.llm import chat, decontaminate, langid, mixing, neardup, pii, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
+    "op2_toxicity": toxicity.op2,
     "op3_language_id": langid.op3,
     "op4_chat_formatting": chat.op4,
     "op5_url_filter": urls.op5,
