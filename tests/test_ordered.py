@@ -1,34 +1,90 @@
 import random
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trajlake.operators import experiments as ex
 from trajlake.operators.episodes import episodes_from_steps, nonfinite_runs
-from trajlake.operators.ordered import prefix_scan, with_index, with_previous
+from trajlake.operators.ordered import exact_quantiles, null_safe_join, prefix_scan, with_index, with_neighbours, with_previous
 
 
 def hot(spark, n=900):
+    """One group holds more than half of the rows, another one is NULL."""
     rnd = random.Random(1)
-    rows = [("hot" if rnd.random() < 0.6 else f"k{rnd.randrange(20)}", i, rnd.randrange(1000), rnd.uniform(0, 1) if rnd.random() < 0.9 else None) for i in range(n)]
+    group = lambda: "hot" if rnd.random() < 0.6 else None if rnd.random() < 0.3 else f"k{rnd.randrange(20)}"
+    rows = [(group(), i, rnd.randrange(1000), rnd.uniform(0, 1) if rnd.random() < 0.9 else None) for i in range(n)]
     return spark.createDataFrame(rows, "k string, id long, o long, v double")
 
 
+def buckets():
+    return [None, F.expr("o div 100"), F.lit(0)]
+
+
 def same(a, b):
+    assert sorted(a.columns) == sorted(b.columns)
+    a = a.select(*b.columns)
     assert a.count() == b.count() and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def test_index_on_hot_groups_equals_window(spark):
+def window(by):
+    return Window.partitionBy(*by).orderBy("o", "id")
+
+
+def test_index_equals_window_also_for_hot_and_null_groups(spark):
     df = hot(spark)
     for by in (["k"], []):
-        same(with_index(df, by, ["o", "id"], limit=37), with_index(df, by, ["o", "id"]))
+        want = df.withColumns({"idx": (F.row_number().over(window(by)) - 1).cast("long"), "n": F.count("*").over(Window.partitionBy(*by))})
+        for bucket in buckets():
+            same(with_index(df, by, ["o", "id"], bucket=bucket, total="n"), want)
 
 
-def test_scans_on_hot_groups_equal_window(spark):
+def test_scans_equal_windows_also_for_hot_and_null_groups(spark):
     df = hot(spark)
-    scans = {"s": ("sum", F.col("id")), "m": ("max", F.col("o")), "l": ("last", F.col("v"))}
+    scans = {"s": ("sum", F.col("id")), "m": ("max", F.col("o")), "a": ("min", F.col("v")), "l": ("last", F.col("v"))}
     for exclusive in (False, True):
-        same(prefix_scan(df, ["k"], ["o", "id"], scans, exclusive, limit=41), prefix_scan(df, ["k"], ["o", "id"], scans, exclusive))
-    same(with_previous(df, ["k"], ["o", "id"], {"p": "id", "q": "v"}, limit=29), with_previous(df, ["k"], ["o", "id"], {"p": "id", "q": "v"}))
+        w = window(["k"]).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+        want = df.withColumns({"s": F.sum("id").over(w), "m": F.max("o").over(w), "a": F.min("v").over(w), "l": F.last("v", ignorenulls=True).over(w)})
+        for bucket in buckets():
+            same(prefix_scan(df, ["k"], ["o", "id"], scans, exclusive, bucket=bucket), want)
+
+
+def test_neighbours_equal_windows_also_for_hot_and_null_groups(spark):
+    df = hot(spark)
+    w = window(["k"])
+    want = df.withColumns({"p": F.lag("id").over(w), "q": F.lag("v").over(w), "z": F.lead("v").over(w)})
+    for bucket in buckets():
+        same(with_neighbours(df, ["k"], ["o", "id"], {"p": "id", "q": "v"}, {"z": "v"}, bucket=bucket), want)
+        same(with_previous(df, ["k"], ["o", "id"], {"p": "id"}, bucket=bucket), want.select(*df.columns, "p"))
+
+
+def test_null_safe_join(spark):
+    a = spark.createDataFrame([(None, 1), ("x", 2), ("y", 3)], "k string, v long")
+    b = spark.createDataFrame([(None, 10), ("x", 20)], "k string, w long")
+    assert sorted((str(r["k"]), r["v"], r["w"]) for r in null_safe_join(a, b, ["k"]).collect()) == [("None", 1, 10), ("x", 2, 20)]
+    assert null_safe_join(a, b, ["k"], "left").count() == 3
+
+
+def test_single_rows_and_empty_tables(spark):
+    df = hot(spark).limit(0)
+    assert with_index(df, ["k"], ["o", "id"]).count() == 0
+    assert with_previous(df, [], ["o", "id"], {"p": "id"}).count() == 0
+
+
+def test_tails_count_rows_not_epochs(spark):
+    log = spark.createDataFrame([("a", 10 * i, float(i)) for i in range(50)] + [(None, 7 * i, 1.0) for i in range(8)], "run string, epoch long, metric double")
+    got = {r["run"]: (r["mean"], r["n"]) for r in ex.last_n_summary(log, ["run"], "metric", n=5).collect()}
+    assert got == {"a": (47.0, 5), None: (1.0, 5)}
+    blocks = {(r["run"], r["block"]): (r["mean"], r["n"]) for r in ex.block_means(log, ["run"], "metric", n=5, k=2).collect()}
+    assert blocks[("a", 0)] == (47.0, 5) and blocks[("a", 1)] == (42.0, 5) and blocks[(None, 1)] == (1.0, 3)
+    assert ex.downsample(log, ["run"], "metric", 5).filter("run = 'a'").count() == 6
+
+
+def test_upsert_by_distance(spark):
+    rows = [(1, 1e-6 - 1e-8, 0.0), (2, 1e-6 + 1e-8, 0.0), (3, 5.0, 5.0), (4, 5.0, 5.0), (5, 1.0, 0.0), (6, 1.0 + 7e-7, 0.0), (7, 1.0 + 1.4e-6, 0.0), (8, 5.0, 5.0 + 2e-6)]
+    got = {r["s"] for r in ex.upsert_runs(spark.createDataFrame(rows, "s long, a double, b double"), ["a", "b"], "s").collect()}
+    kept = {s for s, a, b in rows if not any(t > s and ((a - c) ** 2 + (b - d) ** 2) ** 0.5 < 1e-6 for t, c, d in rows)}
+    assert got == kept == {2, 4, 7, 8}
 
 
 def test_pareto_matches_pairwise_definition(spark):
@@ -59,16 +115,12 @@ def test_episode_and_nonfinite_runs(spark):
 
 
 def test_exact_quantiles_on_hot_groups(spark):
-    import numpy as np
-
-    from trajlake.operators.ordered import exact_quantiles
-
     df = hot(spark)
     qs = {"p1": 0.01, "p50": 0.5, "p99": 0.99}
     rows = [r for r in df.collect() if r["v"] is not None]
-    for limit in (31, 10_000):
-        got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", ["id"], qs, limit=limit).collect()}
-        for k in got:
-            v = [r["v"] for r in rows if r["k"] == k]
-            for name, q in qs.items():
-                assert abs(got[k][name] - np.quantile(v, q)) < 1e-12
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", ["id"], qs).collect()}
+    assert set(got) == {r["k"] for r in rows}
+    for k in got:
+        v = [r["v"] for r in rows if r["k"] == k]
+        for name, q in qs.items():
+            assert abs(got[k][name] - np.quantile(v, q)) < 1e-12

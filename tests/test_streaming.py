@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -22,13 +23,16 @@ def run(spark, df, name, mode="append"):
     return spark.table(name).collect()
 
 
-@pytest.fixture
-def source(spark, tmp_path):
+@pytest.fixture(params=["in order", "reversed"])
+def source(spark, tmp_path, request):
     folder = tmp_path / "in"
     folder.mkdir()
-    # Two files, read one per micro-batch: the episode and the gate both span them.
+    # Two files, read one per micro-batch by their times: the episode and the gate both span them.
     put(folder, 0, [(0, 0, t, 1.0, 0, 0, 10.0 * t, 0.0) for t in range(3)] + [(1, 0, 0, 4.0, 1, 0, 0.0, 0.0)])
-    put(folder, 1, [(0, 0, t, 2.0, int(t == 4), 0, 10.0 * t, 0.0) for t in range(3, 6)])
+    put(folder, 1, [(0, 0, t, 2.0, int(t == 4), 0, 20.0 * t, 0.0) for t in range(3, 6)])
+    early, late = (0, 1) if request.param == "in order" else (1, 0)
+    os.utime(folder / f"{early:03d}.json", (1_000_000, 1_000_000))
+    os.utime(folder / f"{late:03d}.json", (2_000_000, 2_000_000))
     reader = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1)
     return folder, reader.json(str(folder))
 
@@ -38,16 +42,29 @@ def test_gate_emits_means_and_resets(spark, source):
     assert [(r["env"], r["n"], r["reward"]) for r in got] == [(0, 6, 1.5)]
 
 
-def test_episodes_span_batches(spark, source):
+def test_gate_keeps_null_keys(spark, tmp_path):
+    put(tmp_path, 0, [(None, 0, t, float(t), 0, 0, 0.0, 0.0) for t in range(4)])
+    got = run(spark, st.gated_metrics(spark.readStream.schema(SCHEMA).json(str(tmp_path)), "env", ["reward"], 4), "gated_nulls")
+    assert [(r["env"], r["n"], r["reward"]) for r in got] == [(None, 4, 1.5)]
+
+
+def test_episodes_span_batches_in_any_order(spark, source):
     got = run(spark, st.episode_stream(source[1], ["env", "agent"], "t"), "episodes")
     assert sorted((r["env"], r["episode"], r["episode_return"], r["episode_length"]) for r in got) == [(0, 0, 7.0, 5), (1, 0, 4.0, 1)]
 
 
-def test_displacement_state_spans_batches(spark, source):
-    got = run(spark, st.displacement_stream(source[1], ["env"], "t", 25.0), "moved")
+def test_displacement_state_spans_batches_in_any_order(spark, source):
+    got = run(spark, st.displacement_stream(source[1], ["env"], "t", 45.0), "moved")
+    # 0, 10, 20 | 60, 80, 100: kept are 0 and 60; taken the other way round it would have been 60 and 0 or 100.
     assert sorted((r["env"], r["t"]) for r in got) == [(0, 0), (0, 3), (1, 0)]
 
 
+def test_replayed_steps_raise(spark, tmp_path):
+    put(tmp_path, 0, [(0, 0, 0, 1.0, 0, 0, 0.0, 0.0)] * 2)
+    with pytest.raises(Exception, match="came twice"):
+        run(spark, st.episode_stream(spark.readStream.schema(SCHEMA).json(str(tmp_path)), ["env", "agent"], "t"), "twice")
+
+
 def test_metric_sink_and_append(spark, source, tmp_path):
     folder, _ = source
     stream = read_metric_stream(spark, str(folder), SCHEMA)

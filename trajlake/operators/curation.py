@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.functions.geometry import finite, nondegenerate
-from trajlake.operators.ordered import exact_quantiles, with_index
+from trajlake.operators.ordered import exact_quantiles, null_safe_join, with_index
 
 # ------------------------------------------------------------------ keys and sets
 
@@ -108,17 +108,14 @@ def stride(df: DataFrame, segment: list[str], order: list[str], n: int, cap: int
 
 def linspace_sample(df: DataFrame, order: list[str], k: int) -> DataFrame:
     """Rows at int(linspace(0, N-1, k)); all rows when k >= N."""
-    n = df.count()
-    if k >= n:
-        return df
-    idx = with_index(df, [], order, "_i")
+    idx, n = with_index(df, [], order, "_i", total="_n"), F.col("_n")
     if k == 1:
-        return idx.filter("_i = 0").drop("_i")
-    step = (n - 1) / (k - 1)
+        return idx.filter("_i = 0").drop("_i", "_n")
+    step = (n - 1) / F.lit(k - 1)
     j = F.floor(F.col("_i") / step)
     # The last sample is pinned to the last row, as linspace does with its end point.
     hit = ((F.floor(j * step) == F.col("_i")) & (j < k - 1)) | ((F.floor((j + 1) * step) == F.col("_i")) & (j + 1 < k - 1)) | (F.col("_i") == n - 1)
-    return idx.filter(hit).drop("_i")
+    return idx.filter((n <= k) | hit).drop("_i", "_n")
 
 
 def assign_map_ids(files: DataFrame, path: str = "path", max_maps: int | None = None) -> DataFrame:
@@ -138,9 +135,10 @@ def stratified_split(episodes: DataFrame, train: int, validation: int, seed: int
     token = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(stratum).cast("string"), F.col(key).cast("string")), 256)
     small = episodes.groupBy(stratum).count().filter(F.col("count") < train + validation).limit(1)
     require(small, "a stratum has too few segments for the requested split")
-    ranked = with_index(episodes.withColumn("_h", token), [stratum], ["_h", key], "_i", sized=episodes)
-    split = F.when(F.col("_i") < train, "training").when(F.col("_i") < train + validation, "validation")
-    return ranked.withColumn("split", split).filter("split is not null").drop("_h", "_i")
+    # Only the first rows of a stratum are wanted, so every task keeps no more than those before the shuffle.
+    first = Window.partitionBy(stratum).orderBy("_h", key)
+    ranked = episodes.withColumn("_h", token).withColumn("_i", F.row_number().over(first)).filter(F.col("_i") <= train + validation)
+    return ranked.withColumn("split", F.when(F.col("_i") <= train, "training").otherwise("validation")).drop("_h", "_i")
 
 
 def episode_seed(seed: int, tag: str, town: Column, episode: Column) -> Column:
@@ -241,7 +239,7 @@ def episode_record(frame: DataFrame, by: list[str], order: str) -> DataFrame:
 def traffic_health(df: DataFrame, by: list[str], max_offroad: float, key: list[str]) -> DataFrame:
     """Share of vehicles off a lane and exact median speed; ``key`` makes the speed order total."""
     share = df.groupBy(*by).agg(F.avg((F.col("lane_distance") > max_offroad).cast("double")).alias("offroad_share"))
-    return share.join(exact_quantiles(df, by, "speed", key, {"median_speed": 0.5}), by)
+    return null_safe_join(share, exact_quantiles(df, by, "speed", key, {"median_speed": 0.5}), by, "left")
 
 
 def route_audit(hops: DataFrame, by: list[str], key: list[str], short: float = 1.0, long: float = 80.0) -> DataFrame:
@@ -249,7 +247,7 @@ def route_audit(hops: DataFrame, by: list[str], key: list[str], short: float = 1
     share = hops.groupBy(*by).agg(
         F.avg((F.col("length") < short).cast("double")).alias("short_share"), F.avg((F.col("length") > long).cast("double")).alias("long_share")
     )
-    return share.join(exact_quantiles(hops, by, "length", key, {"p1": 0.01, "p50": 0.5, "p99": 0.99}), by)
+    return null_safe_join(share, exact_quantiles(hops, by, "length", key, {"p1": 0.01, "p50": 0.5, "p99": 0.99}), by, "left")
 
 
 def verify_dataset(processed: DataFrame, feature: DataFrame, key: list[str], dim: int, version: int) -> DataFrame:

@@ -85,7 +85,7 @@ def ego_observations(
     base = frame.select(*by, "timestamp_micros", cx.alias("x"), cy.alias("y"), pose_yaw(F.col("pose")).alias("yaw"))
     stuck = F.col("timestamp_micros") <= F.lag("timestamp_micros").over(w)
     base = base.withColumn(
-        "t", F.when(stuck, F.raise_error(F.lit("frame timestamps must be strictly increasing")).cast("double"))
+        "t", F.when(stuck, F.raise_error(F.lit("a frame is not later than the one before it")).cast("double"))
         .otherwise(F.col("timestamp_micros") / F.lit(1e6)),
     )
     base = unwrap(base, "yaw", by, "timestamp_micros", "_yaw")

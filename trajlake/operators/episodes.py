@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.operators.ordered import prefix_scan
+from trajlake.operators.ordered import null_safe_join, prefix_scan
 
 
 def _flag(c: Column) -> Column:
@@ -66,13 +66,13 @@ def step_outcomes(trace: DataFrame, by: list[str], radius: float, max_speed: flo
     )
 
 
-def lane_alignment(trace: DataFrame, by: list[str], mode: str, order: str = "step", live: Column | None = None) -> DataFrame:
-    """Lane-alignment rate: 'last' step, 'mean' over the episode, or 'live' steps only."""
+def lane_alignment(trace: DataFrame, by: list[str], order: str = "step", live: Column | None = None) -> DataFrame:
+    """Lane-alignment rates: ``last_rate`` of the last step, ``mean_rate`` of all steps, ``live_rate`` of live steps."""
     aligned = _flag(F.col("lane_valid"))
-    value = {
-        "last": F.max_by(aligned, F.col(order)), "mean": F.avg(aligned), "live": F.avg(F.when(live if live is not None else F.lit(True), aligned)),
-    }[mode]
-    return trace.groupBy(*by).agg(value.alias("lane_alignment_rate"))
+    on = live if live is not None else F.lit(True)
+    return trace.groupBy(*by).agg(
+        F.max_by(aligned, F.col(order)).alias("last_rate"), F.avg(aligned).alias("mean_rate"), F.avg(F.when(on, aligned)).alias("live_rate")
+    )
 
 
 def reward_attribution(trace: DataFrame, by: list[str], terms: list[str]) -> DataFrame:
@@ -120,29 +120,30 @@ def info_means(long: DataFrame, per: list[str] = []) -> DataFrame:
     return long.groupBy("key", *per).agg(F.avg("value").alias("value")).groupBy("key").agg(F.avg("value").alias("mean"))
 
 
-def episodes_from_steps(steps: DataFrame, by: list[str], order: list[str], sized: DataFrame | None = None) -> DataFrame:
+def episodes_from_steps(steps: DataFrame, by: list[str], order: list[str], bucket: Column | None = None) -> DataFrame:
     """Sums per episode: an episode ends with a terminal or truncated step; the open tail is not emitted.
 
     The episode number is the count of finished episodes before a step, taken with a scan that spreads hot
     keys, and the sums are ordinary aggregations.
     """
     done = (F.col("terminal") > 0) | (F.col("truncation") > 0)
-    numbered = prefix_scan(steps.withColumn("_done", done.cast("long")), by, order, {"_ep": ("sum", F.col("_done"))}, exclusive=True, sized=sized)
+    numbered = prefix_scan(steps.withColumn("_done", done.cast("long")), by, order, {"_ep": ("sum", F.col("_done"))}, exclusive=True, bucket=bucket)
     numbered = numbered.withColumn("episode", F.coalesce("_ep", F.lit(0)))
     return numbered.groupBy(*by, "episode").agg(
         F.sum("reward").alias("episode_return"), F.count("*").alias("episode_length"), F.max("_done").alias("_closed")
     ).filter("_closed = 1").drop("_closed")
 
 
-def nonfinite_runs(updates: DataFrame, by: list[str], order: list[str], value: str, sized: DataFrame | None = None) -> DataFrame:
+def nonfinite_runs(updates: DataFrame, by: list[str], order: list[str], value: str, bucket: Column | None = None) -> DataFrame:
     """Total and longest consecutive stretch of non-finite values per run (gaps and islands over scans)."""
     bad = F.col(value).isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
     marked = updates.withColumn("_bad", bad.cast("long"))
-    island = prefix_scan(marked, by, order, {"_good": ("sum", F.lit(1).cast("long") - F.col("_bad"))}, sized=sized)
+    island = prefix_scan(marked, by, order, {"_good": ("sum", F.lit(1).cast("long") - F.col("_bad"))}, bucket=bucket)
     runs = island.filter("_bad = 1").groupBy(*by, "_good").agg(F.count("*").alias("_len"))
     best = runs.groupBy(*by).agg(F.sum("_len").alias("nonfinite_updates"), F.max("_len").alias("longest_run"))
     last = island.groupBy(*by).agg(F.max("_good").alias("_end"))
-    tail = runs.join(last, by).filter("_good = _end").select(*by, F.col("_len").alias("current_run"))
-    return updates.select(*by).distinct().join(best, by, "left").join(tail, by, "left").na.fill(0)
+    tail = null_safe_join(runs, last, by).filter("_good = _end").select(*by, F.col("_len").alias("current_run"))
+    counted = null_safe_join(null_safe_join(last.select(*by), best, by, "left"), tail, by, "left")
+    return counted.na.fill(0, ["nonfinite_updates", "longest_run", "current_run"])
 
 

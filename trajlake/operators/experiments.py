@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.operators.ordered import GROUP_LIMIT, fits, prefix_scan, with_index, with_previous
+from trajlake.operators.ordered import null_safe_join, prefix_scan, with_index, with_neighbours, with_previous
 
 
-def dedupe_reprints(metric_log: DataFrame, by: list[str], order: list[str], metrics: list[str], sized: DataFrame | None = None) -> DataFrame:
+def dedupe_reprints(metric_log: DataFrame, by: list[str], order: list[str], metrics: list[str], bucket: Column | None = None) -> DataFrame:
     """Rows whose metric vector differs from the row before (reprinted lines carry no information)."""
     prev = {f"_p_{m}": m for m in metrics} | {"_has": "_one"}
-    lagged = with_previous(metric_log.withColumn("_one", F.lit(1)), by, order, prev, sized=sized)
+    lagged = with_previous(metric_log.withColumn("_one", F.lit(1)), by, order, prev, bucket=bucket)
     same = F.col("_has").isNotNull()
     for m in metrics:
         same = same & F.col(m).eqNullSafe(F.col(f"_p_{m}"))
@@ -20,14 +20,13 @@ def dedupe_reprints(metric_log: DataFrame, by: list[str], order: list[str], metr
 
 def repeat_factor(metric_log: DataFrame, kept: DataFrame, by: list[str]) -> DataFrame:
     a = metric_log.groupBy(*by).agg(F.count("*").alias("rows"))
-    return a.join(kept.groupBy(*by).agg(F.count("*").alias("kept")), by).withColumn("repeat_factor", F.col("rows") / F.col("kept"))
+    return null_safe_join(a, kept.groupBy(*by).agg(F.count("*").alias("kept")), by).withColumn("repeat_factor", F.col("rows") / F.col("kept"))
 
 
 def _from_end(metric_log: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Adds ``_back``, 0 for the newest row of each run.  ``order`` is the dense epoch of the run, so the
-    position from the end is a difference to the maximum and needs no window over a hot run."""
-    last = metric_log.groupBy(*by).agg(F.max(order).alias("_last"))
-    return metric_log.join(last, by).withColumn("_back", F.col("_last") - F.col(order)).drop("_last")
+    """Adds ``_back``, the position from the end (0 for the newest row of a run); epochs may have gaps."""
+    placed = with_index(metric_log, by, [order], "_i", total="_n")
+    return placed.withColumn("_back", F.col("_n") - 1 - F.col("_i")).drop("_i")
 
 
 def last_n_summary(metric_log: DataFrame, by: list[str], value: str, n: int = 300, order: str = "epoch") -> DataFrame:
@@ -61,12 +60,11 @@ def compare_runs(metric_log: DataFrame, base: str, value: str, run: str = "run",
 def downsample(metric_log: DataFrame, by: list[str], value: str, m: int, order: str = "epoch") -> DataFrame:
     """m bucket means plus the last value; rows that do not fill the buckets are dropped at the start.
 
-    Bucket numbers come from the dense epoch and its maximum; series of at most m rows stay as they are.
+    Buckets follow the position in the series, so epochs may have gaps; series of at most m rows stay as they are.
     """
-    stat = metric_log.groupBy(*by).agg(F.max(order).alias("_last"), F.count("*").alias("_n"))
-    j = metric_log.join(stat, by)
+    j = _from_end(metric_log, by, order)
     size = F.floor((F.col("_n") - 1) / m)
-    back = F.col("_last") - F.col(order)
+    back = F.col("_back")
     # From the end: 0 is the last value, then m buckets of equal size.
     bucket = F.when(back == 0, m).otherwise(m - 1 - F.floor((back - 1) / size))
     short = F.col("_n") <= m
@@ -109,23 +107,32 @@ def pareto_gap(front: DataFrame, log: bool = False) -> DataFrame:
     """The front point whose nearest neighbour in (log) cost is farthest away; ties go to the lower cost."""
     pos = F.ln("cost") if log else F.col("cost")
     keyed = front.withColumn("_c", pos)
-    w_order = ["_c", *front.columns]
-    if fits(front, [], GROUP_LIMIT):
-        w = Window.orderBy(*w_order)
-        near = keyed.withColumns({"_a": F.col("_c") - F.lag("_c").over(w), "_b": F.lead("_c").over(w) - F.col("_c")})
-    else:
-        idx = with_index(keyed, [], w_order, "_i")
-        left = idx.select((F.col("_i") + 1).alias("_i"), F.col("_c").alias("_p"))
-        right = idx.select((F.col("_i") - 1).alias("_i"), F.col("_c").alias("_q"))
-        near = idx.join(left, "_i", "left").join(right, "_i", "left").withColumns({"_a": F.col("_c") - F.col("_p"), "_b": F.col("_q") - F.col("_c")})
+    near = with_neighbours(keyed, [], ["_c", *front.columns], {"_p": "_c"}, {"_q": "_c"})
+    near = near.withColumns({"_a": F.col("_c") - F.col("_p"), "_b": F.col("_q") - F.col("_c")})
     gap = F.least(F.coalesce("_a", F.lit(float("inf"))), F.coalesce("_b", F.lit(float("inf"))))
     return near.withColumn("gap", gap).agg(F.max_by(F.struct(*front.columns, "gap"), F.struct(F.col("gap"), -F.col("_c"))).alias("_r")).select("_r.*")
 
 
-def upsert_runs(run_obs: DataFrame, params: list[str], seq: str, quantum: float = 1e-6) -> DataFrame:
-    """Latest observation per input, inputs within the quantum counting as the same point."""
-    keys = {f"_q{i}": F.rint(F.col(p) / quantum) for i, p in enumerate(params)}
-    rest = run_obs.columns
-    return run_obs.withColumns(keys).groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("_r")).select("_r.*")
+def _extended(lists: Column, options: Column) -> Column:
+    """Each list with each option appended."""
+    return F.flatten(F.transform(lists, lambda head: F.transform(options, lambda x: F.concat(head, F.array(x)))))
 
 
+def upsert_runs(run_obs: DataFrame, params: list[str], seq: str, within: float = 1e-6) -> DataFrame:
+    """Observations in the order of ``seq`` (unique), each replacing all earlier ones less than ``within`` away.
+
+    Distance is Euclidean over ``params``.  A point can only have such neighbours in its own grid cell or a touching
+    one, so rows meet on cells; of equal points only the last is left by then.  A row stays unless a later row lies
+    within the distance.
+    """
+    run_obs = run_obs.groupBy(*params).agg(F.max_by(F.struct(*run_obs.columns), seq).alias("_r")).select("_r.*")
+    cells = [F.floor(F.col(p) / within) for p in params]
+    beside = [F.array(*[c + d for d in (-1, 0, 1)]) for c in cells]
+    around = F.transform(beside[0], lambda x: F.array(x))
+    for options in beside[1:]:
+        around = _extended(around, options)
+    later = run_obs.select(F.col(seq).alias("_s"), *[F.col(p).alias(f"_p{i}") for i, p in enumerate(params)], F.array(*cells).alias("_cell"))
+    early = run_obs.withColumn("_around", F.explode(around))
+    apart = F.sqrt(sum((F.col(p) - F.col(f"_p{i}")) ** 2 for i, p in enumerate(params)))
+    beaten = early.join(later, (F.col("_around") == F.col("_cell")) & (F.col("_s") > F.col(seq)) & (apart < within), "left_semi").select(F.col(seq).alias("_gone"))
+    return run_obs.join(beaten.distinct(), F.col(seq) == F.col("_gone"), "left_anti")

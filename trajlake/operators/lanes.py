@@ -65,42 +65,35 @@ def lane_successors(lane: DataFrame, on: list[str], lane_id: str = "lane_id") ->
 def lane_walk(start: DataFrame, lane: DataFrame, edges: DataFrame, distance: float, on: list[str], key: list[str], seed: int = 0, max_hops: int = 64, every: int = 8) -> DataFrame:
     """Walks ``distance`` metres forward from (lane_id, s) over successors, choosing among them by a seeded hash.
 
-    One equi-join per hop over the walkers that still have way to go; the lineage is cut every few hops and
-    the loop ends as soon as nobody moves.  Dead ends stop at the end of their lane.
+    One relation of walkers, each with what it still has to go (``_left``, NULL once it stands), and one left join per
+    hop with one row per lane, which lists the few successors of known length.  A walker whose lane has no known
+    length stays where it is; at a dead end it stops at the end of its lane.  The lineage is cut every few hops, and
+    the loop ends as soon as nobody moves.
     """
     lengths = lane.select(*on, "lane_id", "length")
-    walkers = start.join(lengths, [*on, "lane_id"]).withColumns({"_left": F.lit(float(distance)), "travelled": F.lit(0.0), "_hop": F.lit(0)})
-    done: list[DataFrame] = []
-    degree = edges.groupBy(*on, "lane_id").agg(F.count("*").alias("_deg"))
-    ranked = edges.withColumn("_k", F.row_number().over(Window.partitionBy(*on, "lane_id").orderBy("successor")) - 1).join(degree, [*on, "lane_id"])
-    ranked = cut_lineage(ranked.join(lengths.select(*on, F.col("lane_id").alias("successor"), F.col("length").alias("_slen")), [*on, "successor"]))
-    degree = ranked.select(*on, "lane_id", "_deg").distinct()
+    named = lengths.select(*on, F.col("lane_id").alias("successor"), F.col("length").alias("slen"))
+    ways = edges.join(named, [*on, "successor"]).groupBy(*on, "lane_id").agg(F.sort_array(F.collect_list(F.struct("successor", "slen"))).alias("_ways"))
+    ways = cut_lineage(lengths.join(ways, [*on, "lane_id"], "left"))
+    cols = [*on, *key, "lane_id", "s", "travelled"]
+    walkers = start.withColumns({"travelled": F.lit(0.0), "_left": F.lit(float(distance))})
     for hop in range(max_hops + 1):
+        at = walkers.join(ways, [*on, "lane_id"], "left")
         room = F.col("length") - F.col("s")
-        arrived = walkers.filter(F.col("_left") <= room).withColumns({"s": F.col("s") + F.col("_left"), "travelled": F.col("travelled") + F.col("_left")})
-        moving = walkers.filter(F.col("_left") > room).join(degree, [*on, "lane_id"], "left")
-        if hop == max_hops:
-            moving = moving.withColumn("_deg", F.lit(None).cast("long"))
-        stuck = moving.filter("_deg is null").withColumns({"travelled": F.col("travelled") + room, "s": F.col("length")}).drop("_deg")
-        cols = [*on, *key, "lane_id", "s", "travelled"]
-        done += [arrived.select(*cols), stuck.select(*cols)]
-        if hop == max_hops:
-            break
-        pick = F.pmod(F.xxhash64(*key, F.lit(seed), F.lit(hop)), F.col("_deg"))
-        go = moving.filter("_deg is not null").withColumn("_k", pick).drop("_deg")
-        nxt = go.join(ranked.select(*on, "lane_id", "_k", "successor", "_slen"), [*on, "lane_id", "_k"]).withColumns(
-            {"_left": F.col("_left") - (F.col("length") - F.col("s")), "travelled": F.col("travelled") + (F.col("length") - F.col("s")),
-             "lane_id": F.col("successor"), "length": F.col("_slen"), "s": F.lit(0.0)}
+        step = F.least("_left", room)  # NULL for walkers that stand and for unknown lanes
+        count = F.lit(0) if hop == max_hops else F.coalesce(F.size("_ways"), F.lit(0))
+        way = F.when((F.col("_left") > room) & (count > 0), F.get("_ways", F.pmod(F.xxhash64(*key, F.lit(seed), F.lit(hop)), F.greatest(count, F.lit(1))).cast("int")))
+        at = at.withColumns({"_step": step, "_way": way})
+        walkers = at.select(
+            *on, *key, F.coalesce("_way.successor", "lane_id").alias("lane_id"),
+            F.when(F.col("_way").isNotNull(), F.lit(0.0)).otherwise(F.col("s") + F.coalesce("_step", F.lit(0.0))).alias("s"),
+            (F.col("travelled") + F.coalesce("_step", F.lit(0.0))).alias("travelled"),
+            F.when(F.col("_way").isNotNull(), F.col("_left") - F.col("_step")).alias("_left"),
         )
-        walkers = nxt.select(*on, *key, "lane_id", "s", "length", "_left", "travelled", "_hop")
         if hop % every == every - 1 or hop == 0:
             walkers = cut_lineage(walkers)
-            if walkers.isEmpty():
+            if walkers.filter("_left is not null").isEmpty():
                 break
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    return walkers.select(*cols)
 
 
 def pose_at(query: DataFrame, points: DataFrame, by: list[str], bucket: float = 10.0) -> DataFrame:
@@ -117,7 +110,11 @@ def pose_at(query: DataFrame, points: DataFrame, by: list[str], bucket: float =
     piece = piece.withColumn("_end", F.col("_b") == top)
     piece = piece.withColumn("_k", F.explode(F.sequence(F.floor(F.col("_a") / bucket), F.floor(F.col("_b") / bucket))))
     q = query.withColumn("_k", F.floor(F.col("s") / bucket))
-    j = q.join(piece, [*by, "_k"]).filter((F.col("s") >= F.col("_a")) & ((F.col("s") < F.col("_b")) | (F.col("_end") & (F.col("s") <= F.col("_b")))))
+    p = piece.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate([*by, "_k"])], *[c for c in piece.columns if c not in (*by, "_k")])
+    at = (F.col("s") >= F.col("_a")) & ((F.col("s") < F.col("_b")) | (F.col("_end") & (F.col("s") <= F.col("_b"))))
+    for i, c in enumerate([*by, "_k"]):
+        at = at & (F.col(c) == F.col(f"_p{i}"))
+    j = q.join(p, at, "left")  # a row without a piece stays, without a pose
     f = (F.col("s") - F.col("_a")) / (F.col("_b") - F.col("_a"))
     return j.select(
         *query.columns, (F.col("_x") + f * (F.col("_x1") - F.col("_x"))).alias("x"), (F.col("_y") + f * (F.col("_y1") - F.col("_y"))).alias("y"),

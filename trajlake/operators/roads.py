@@ -280,7 +280,7 @@ def prepare_roads(segments: DataFrame, lane_width: float = 4.5) -> DataFrame:
     widths = {LINE: 0.15, EDGE: 0.25, CROSSWALK: 0.50, SPEED_BUMP: 0.40}
     kind = F.col("road_type")
     tagged = F.when(
-        kind.isin(LANE_AREA, YELLOW_EDGE), F.raise_error(F.lit("roads already contain renderer-only type 11/12 tags")).cast("int")
+        kind.isin(LANE_AREA, YELLOW_EDGE), F.raise_error(F.lit("a road has a type that only this step may give")).cast("int")
     ).otherwise(kind)
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     length = F.hypot(dx, dy)

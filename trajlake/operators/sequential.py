@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajlake.operators.ordered import with_index
+from trajlake.operators.ordered import null_safe_join, with_index
 from trajlake.session import cut_lineage
 
 PIECE = 500_000
@@ -48,12 +50,12 @@ def dedupe_displacement(df: DataFrame, by: list[str], order: list[str], threshol
 
     schema = T.StructType([*df.schema.fields, T.StructField("_i", T.LongType())])
     for k in range(rounds):
-        part = rows.filter(F.col("_piece") == k).join(carry, by, "left")
+        part = null_safe_join(rows.filter(F.col("_piece") == k), carry, by, "left")
         out = part.groupBy(*by).applyInPandas(walk, schema)
         if rounds > 1:
             out = cut_lineage(out)
             newest = out.groupBy(*by).agg(F.max_by(F.struct(F.col(x).alias("_lx"), F.col(y).alias("_ly")), "_i").alias("_l")).select(*by, "_l._lx", "_l._ly")
-            old = carry.join(newest, by, "left_anti")
+            old = null_safe_join(carry, newest, by, "left_anti")
             carry = cut_lineage(newest.unionByName(old))
         kept.append(out.drop("_i"))
     result = kept[0]
@@ -62,29 +64,40 @@ def dedupe_displacement(df: DataFrame, by: list[str], order: list[str], threshol
     return result
 
 
-def follow_route(px: np.ndarray, py: np.ndarray, rx: np.ndarray, ry: np.ndarray, goals: list[int], radius: float) -> pd.DataFrame:
-    """Monotone progress of one drive along one route: nearest route index in [i-5, i+250), goal cursor."""
-    arc = np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(rx), np.diff(ry)))])
-    at, cursor, progress, out = 0, 0, 0.0, []
-    for x, y in zip(px, py):
-        lo, hi = max(0, at - 5), min(len(rx), at + 250)
-        d = np.hypot(rx[lo:hi] - x, ry[lo:hi] - y)
-        near = lo + int(np.argmin(d))
-        at = max(at, near)
-        progress = max(progress, float(arc[at]))
-        while cursor < len(goals) - 1:
-            g = goals[cursor]
-            if progress < arc[g] - radius and np.hypot(rx[g] - x, ry[g] - y) > radius:
-                break
-            cursor += 1
-        out.append((at, progress, float(d[near - lo]), cursor))
-    table = pd.DataFrame(out, columns=["route_index", "progress", "deviation", "goal_cursor"])
-    table["completion"] = (table["progress"] / arc[-1]).clip(0.0, 1.0) if len(arc) and arc[-1] > 0 else 0.0
-    return table
+# How far behind and ahead of the last index a pose is looked for, in route points.
+BEHIND, AHEAD = 5, 250
+# A drive or route beyond this is refused rather than gathered into one task.
+LONGEST_DRIVE = 1_000_000
+
+
+def route_progress(pose: np.ndarray, route: np.ndarray, goals: np.ndarray, radius: float) -> pd.DataFrame:
+    """Progress of one drive along one route, from (n, 2) positions and (m, 2) route points.
+
+    The index is a fold: the nearest point of a window around the index before, never going back.  All else follows
+    from the indices: the distance along the route, and for each goal the first pose at or after the previous
+    goal's that has passed it (along the route to within the radius, or by being near).
+    """
+    arc = np.append(0.0, np.hypot(*np.diff(route, axis=0).T).cumsum())
+
+    def advance(state: tuple[int, float], here: np.ndarray) -> tuple[int, float]:
+        window = slice(max(0, state[0] - BEHIND), state[0] + AHEAD)
+        gaps = np.hypot(*(route[window] - here).T)
+        return max(state[0], window.start + int(gaps.argmin())), float(gaps.min())
+
+    index, deviation = zip(*list(accumulate(pose, advance, initial=(0, 0.0)))[1:], strict=True)
+    progress = arc[list(index)]
+    last, when = 0, []
+    for g in goals[:-1]:
+        passed = (progress >= arc[g] - radius) | (np.hypot(*(pose - route[g]).T) <= radius)
+        last += int(passed[last:].argmax()) if passed[last:].any() else len(pose) - last
+        when.append(last)
+    cursor = np.searchsorted(np.array(when, int), np.arange(len(pose)), side="right")
+    completion = np.clip(progress / arc[-1], 0.0, 1.0) if arc[-1] > 0 else np.zeros(len(pose))
+    return pd.DataFrame({"route_index": index, "progress": progress, "deviation": deviation, "goal_cursor": cursor, "completion": completion})
 
 
 def track_route(pose: DataFrame, route: DataFrame, by: list[str], order: str, goal: str = "is_goal", radius: float = 5.0) -> DataFrame:
-    """Route progress per pose.  Poses and route points of one drive (both bounded) are cogrouped."""
+    """Route progress per pose.  Poses and route points of one drive are cogrouped; longer ones than ``LONGEST_DRIVE`` raise."""
     schema = T.StructType(
         [f for f in pose.schema if f.name in (*by, order)]
         + [T.StructField("route_index", T.LongType()), T.StructField("progress", T.DoubleType()), T.StructField("deviation", T.DoubleType()),
@@ -95,9 +108,13 @@ def track_route(pose: DataFrame, route: DataFrame, by: list[str], order: str, go
         if len(points) < 2:
             # No route to follow: the poses stay, without progress.
             return poses[[*by, order]].reindex(columns=[f.name for f in schema.fields]).astype(object).where(lambda d: d.notna(), None)
+        if max(len(poses), len(points)) > LONGEST_DRIVE:
+            raise ValueError("a drive or its route is too long to follow in one task")
+        if poses.empty:
+            return pd.DataFrame({f.name: [] for f in schema.fields})
         poses, points = poses.sort_values(order), points.sort_values("pt_idx")
-        goals = sorted({*np.flatnonzero(points[goal].to_numpy(bool)).tolist(), len(points) - 1})
-        out = follow_route(poses["x"].to_numpy(float), poses["y"].to_numpy(float), points["x"].to_numpy(float), points["y"].to_numpy(float), goals, radius)
+        goals = np.union1d(np.flatnonzero(points[goal].to_numpy(bool)), len(points) - 1)
+        out = route_progress(poses[["x", "y"]].to_numpy(float), points[["x", "y"]].to_numpy(float), goals, radius)
         return pd.concat([poses[[*by, order]].reset_index(drop=True), out], axis=1)[[f.name for f in schema.fields]]
 
     # Fresh column identities: both sides may come from one table, which a cogroup cannot tell apart.

@@ -15,6 +15,7 @@ from trajlake.operators.ordered import with_index
 TRACK, HORIZON, LINE = 40, 32, 16
 ROLLOUTS = 4
 _SHIFT = 100_000_000
+KEYS_PER_BUCKET = 1 << 16
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def _indexed_events(spark: SparkSession, sf: str, by: str, *extra: str) -> DataFrame:
     scan = table(spark, sf, "events")
     cols = list(dict.fromkeys([by, "ts", "event_id", *extra]))
-    return with_index(scan.select(*cols), [by], ["ts", "event_id"], sized=scan.select(by))
+    return with_index(scan.select(*cols), [by], ["ts", "event_id"], bucket=F.date_trunc("DAY", "ts"))
 
 
 def _k():
@@ -71,7 +72,7 @@ def road_point(spark: SparkSession, sf: str) -> DataFrame:
     """Road polylines from the orders of five customers each, cut every ``LINE`` points."""
     scan = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
     o = scan.select(F.expr("o_custkey div 5").alias("grp"), "o_orderkey")
-    o = with_index(o, ["grp"], ["o_orderkey"], sized=o.select("grp"))
+    o = with_index(o, ["grp"], ["o_orderkey"], bucket=F.expr(f"o_orderkey div {KEYS_PER_BUCKET}"))
     pid = F.expr(f"(idx div {LINE}) * {_SHIFT} + grp")
     return (
         o.withColumn("polyline_id", pid)

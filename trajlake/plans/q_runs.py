@@ -50,7 +50,7 @@ def _(spark, sf):
 def _(spark, sf):
     # A document holds up to 16 orders of a customer as objects (status P lacks a position); 5-priority ones break road points.
     scan = px.table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
-    o = with_index(scan, ["o_custkey"], ["o_orderkey"], "i", sized=scan.select("o_custkey")).withColumn("part", F.expr("i div 16"))
+    o = with_index(scan, ["o_custkey"], ["o_orderkey"], "i", bucket=F.expr(f"o_orderkey div {px.KEYS_PER_BUCKET}")).withColumn("part", F.expr("i div 16"))
     zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     doc = o.groupBy("o_custkey", "part").agg(
         F.collect_list(F.struct(F.lit("vehicle").alias("type"), F.when(F.col("o_orderstatus") != "P", F.array(zero)).alias("position"))).alias("objects"),
@@ -247,8 +247,7 @@ def _(spark, sf):
     select scenario_id, agent_id, arg_max(l, step) as last_rate, {r('avg(l)', 'mean_rate')}, {r('avg(case when collision_state = 0 then l end)', 'live_rate')} from a group by scenario_id, agent_id""", "log"))
 def _(spark, sf):
     t = trace(px.log(spark, sf))
-    modes = {m: ep.lane_alignment(t, DRIVE, m, live=F.col("collision_state") == 0).withColumnRenamed("lane_alignment_rate", f"{m}_rate") for m in ("last", "mean", "live")}
-    return rounded(modes["last"].join(modes["mean"], DRIVE).join(modes["live"], DRIVE), "mean_rate", "live_rate")
+    return rounded(ep.lane_alignment(t, DRIVE, live=F.col("collision_state") == 0), "mean_rate", "live_rate")
 
 
 @query("d25_reward_attribution", px.with_views(
@@ -299,7 +298,7 @@ def _(spark, sf):
 def _(spark, sf):
     scan = px.table(spark, sf, "events")
     steps = scan.select("user_id", "ts", "event_id", F.col("value").alias("reward"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("terminal"), F.when(F.col("event_type") == "signup", 1).otherwise(0).alias("truncation"))
-    return rounded(ep.episodes_from_steps(steps, ["user_id"], ["ts", "event_id"], sized=scan.select("user_id")), "episode_return")
+    return rounded(ep.episodes_from_steps(steps, ["user_id"], ["ts", "event_id"], bucket=F.date_trunc("DAY", "ts")), "episode_return")
 
 
 @query("i06_nonfinite_runs", """with m as (select event_type as run, ts, event_id, value > 40.0e0 as bad from events), g as (select *, sum(case when bad then 0 else 1 end) over (partition by run order by ts, event_id) as good from m)
@@ -308,7 +307,7 @@ def _(spark, sf):
 def _(spark, sf):
     scan = px.table(spark, sf, "events")
     u = scan.select(F.col("event_type").alias("run"), "ts", "event_id", F.when(F.col("value") > 40.0, float("nan")).otherwise(F.col("value")).alias("loss"))
-    return ep.nonfinite_runs(u, ["run"], ["ts", "event_id"], "loss", sized=scan.select(F.col("event_type").alias("run")))
+    return ep.nonfinite_runs(u, ["run"], ["ts", "event_id"], "loss", bucket=F.date_trunc("DAY", "ts"))
 
 
 # ---------------------------------------------------------------- D35-D37, E16, E17, F5-F7
@@ -364,10 +363,24 @@ def _(spark, sf):
     return ex.pareto_gap(ex.pareto_front(px.run_obs(spark, sf))).select("run", "cost", "gap")
 
 
-@query("f07_upsert_runs", "select arg_max(o_orderkey, o_orderkey) as o_orderkey, cast(o_custkey % 50 as double) as a, round(o_totalprice / 100000.0e0, 0) as b from orders group by 2, 3")
+@query("f07_upsert_runs", """with p as (select o_orderkey, o_custkey % 50 as k, (o_custkey % 50) + (o_orderkey % 4) * 6.0e-7 as a, round(o_totalprice / 100000.0e0, 0) as b from orders)
+    select o_orderkey, k, b from p where not exists (select 1 from p q where q.k = p.k and q.b = p.b and q.o_orderkey > p.o_orderkey and sqrt((q.a - p.a) ** 2 + (q.b - p.b) ** 2) < 1e-6)""")
 def _(spark, sf):
-    o = px.table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 50).cast("double").alias("a"), F.round(F.col("o_totalprice") / 100000.0, 0).alias("b"))
-    return ex.upsert_runs(o, ["a", "b"], "o_orderkey")
+    # Steps of 0.6e-6 put points on both sides of cell borders, some of them near a neighbour but not near its neighbour.
+    k = F.col("o_custkey") % 50
+    o = px.table(spark, sf, "orders").select("o_orderkey", k.alias("k"), (k + (F.col("o_orderkey") % 4) * F.lit(6.0e-7)).alias("a"), F.round(F.col("o_totalprice") / 100000.0, 0).alias("b"))
+    return ex.upsert_runs(o, ["a", "b"], "o_orderkey").select("o_orderkey", "k", "b")
+
+
+@query("d35_deduped_tail", px.with_views(
+    f""", g as (select run, epoch, floor(metric / 4.0e0) as metric, row_number() over (partition by run order by epoch) as i from metric_log)
+    , d as (select a.run, a.epoch, a.metric from g a left join g p on p.run = a.run and p.i = a.i - 1 where p.metric is null or p.metric <> a.metric)
+    , q as (select *, row_number() over (partition by run order by epoch desc) - 1 as back from d), b as (select run, back // 20 as block, avg(metric) as mean, count(*) as n from q where back < 120 group by 1, 2)
+    select run, cast(block as bigint) as block, {r('mean', 'mean')}, n from b""", "metric_log"))
+def _(spark, sf):
+    # Reprints taken out leave gaps in the epochs; the last blocks are counted in rows that are left.
+    log = px.metric_log(spark, sf).withColumn("metric", F.floor(F.col("metric") / 4.0).cast("double"))
+    return rounded(ex.block_means(ex.dedupe_reprints(log, ["run"], ["epoch"], ["metric"]), ["run"], "metric", n=20, k=6), "mean")
 
 
 # ---------------------------------------------------------------- D10, E18
@@ -439,7 +452,7 @@ def _(spark, sf):
     from trajlake.plans.q_data import agent_dim
 
     dim = agent_dim(spark, sf)
-    rows = with_index(dim, ["object_type"], ["p_partkey"], "row_idx")
+    rows = with_index(dim, ["object_type"], ["p_partkey"], "row_idx", bucket=F.expr(f"p_partkey div {px.KEYS_PER_BUCKET}"))
     types = cu.agent_distribution(dim).select("object_type", "prob", F.col("n").alias("count"))
     return ln.sample_agents(dim.count(), types, rows)
 

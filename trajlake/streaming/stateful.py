@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,8 +25,9 @@ def gated_metrics(stream: DataFrame, key: str, metrics: list[str], n: int) -> Da
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch.groupby(key, as_index=False)[metrics].sum()
-            out["n"] = batch.groupby(key).size().to_numpy()
+            groups = batch.groupby(key, as_index=False, dropna=False)  # NULL is a key like any other
+            out = groups[metrics].sum()
+            out["n"] = groups.size()["size"].to_numpy()
             yield out[[key, "n", *metrics]]
 
     def gate(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -45,40 +47,67 @@ def gated_metrics(stream: DataFrame, key: str, metrics: list[str], n: int) -> Da
     )
 
 
-def episode_stream(stream: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Return and length per finished episode of each (environment, agent); state is cleared on emission.
+# Rows that came too early are state until the gap before them closes; more than this for one key is an error.
+MOST_EARLY = 100_000
 
-    Rows of one agent must arrive in order across micro-batches; inside one they are sorted here.
+
+def _in_turn(early: bytes | None, due: int, parts: Iterator[pd.DataFrame], order: str) -> tuple[pd.DataFrame, bytes, int]:
+    """Rows whose turn has come, the rows that wait, and the next step that is due.
+
+    Steps of a key are numbered densely, so a row waits until all before it have come, whatever batch brings them.
+    A step that has been taken already, as a replay would bring it, raises.
+    """
+    rows = pd.concat([*([pickle.loads(early)] if early else []), *parts]).sort_values(order, ignore_index=True)
+    steps = rows[order].to_numpy()
+    if len(steps) and (steps[0] < due or (steps[1:] == steps[:-1]).any()):
+        raise ValueError(f"a step of {order} came twice")
+    ready = int((steps == due + pd.RangeIndex(len(steps)).to_numpy()).cumprod().sum())
+    if len(rows) - ready > MOST_EARLY:
+        raise ValueError(f"more than {MOST_EARLY} rows wait for step {due + ready}")
+    waiting = rows.iloc[ready:]
+    return rows.iloc[:ready], pickle.dumps(waiting) if len(waiting) else b"", due + ready
+
+
+def episode_stream(stream: DataFrame, by: list[str], order: str, first: int = 0) -> DataFrame:
+    """Return and length per finished episode of each (environment, agent), for batches in any order.
+
+    ``order`` numbers an agent's steps densely from ``first``.  State is the open episode's sums and the rows that
+    came before their turn; both are emptied as episodes are emitted, and the counters of an agent stay.
     """
     out = T.StructType([*[stream.schema[c] for c in by], T.StructField("episode", T.LongType()), T.StructField("episode_return", T.DoubleType()), T.StructField("episode_length", T.LongType())])
-    held = T.StructType([T.StructField("episode", T.LongType()), T.StructField("ret", T.DoubleType()), T.StructField("length", T.LongType())])
+    held = T.StructType([T.StructField("episode", T.LongType()), T.StructField("ret", T.DoubleType()), T.StructField("length", T.LongType()), T.StructField("due", T.LongType()), T.StructField("early", T.BinaryType())])
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, ret, length = state.get if state.exists else (0, 0.0, 0)
-        rows = pd.concat(list(parts)).sort_values(order)
+        number, ret, length, due, early = state.get if state.exists else (0, 0.0, 0, first, b"")
+        rows, early, due = _in_turn(early, due, parts, order)
         ended = []
-        for reward, done in zip(rows["reward"], (rows["terminal"] > 0) | (rows["truncation"] > 0)):
+        for reward, done in zip(rows["reward"], (rows["terminal"] > 0) | (rows["truncation"] > 0), strict=True):
             ret, length = ret + reward, length + 1
             if done:
                 ended.append([*k, number, ret, length])
                 number, ret, length = number + 1, 0.0, 0
-        state.update((int(number), float(ret), int(length)))
+        state.update((int(number), float(ret), int(length), int(due), early))
         if ended:
             yield pd.DataFrame(ended, columns=[f.name for f in out.fields])
 
     return stream.select(*by, order, "reward", "terminal", "truncation").groupBy(*by).applyInPandasWithState(run, out, held, "append", GroupStateTimeout.NoTimeout)
 
 
-def displacement_stream(stream: DataFrame, by: list[str], order: str, threshold: float) -> DataFrame:
-    """Displacement dedup over a stream: only the last kept position per group is state."""
-    held = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+def displacement_stream(stream: DataFrame, by: list[str], order: str, threshold: float, first: int = 0) -> DataFrame:
+    """Displacement dedup over a stream, for batches in any order; ``order`` numbers a group's rows densely from ``first``.
+
+    State is the last kept position and the rows that came before their turn.
+    """
+    held = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("due", T.LongType()), T.StructField("early", T.BinaryType())])
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(order)
-        mask = keep_moved(rows["x"].to_numpy(float), rows["y"].to_numpy(float), threshold, tuple(state.get) if state.exists else None)
-        kept = rows[mask]
+        x, y, due, early = state.get if state.exists else (None, None, first, b"")
+        rows, early, due = _in_turn(early, due, parts, order)
+        kept = rows[keep_moved(rows["x"].to_numpy(float), rows["y"].to_numpy(float), threshold, None if x is None else (x, y))]
+        if len(kept):
+            x, y = float(kept["x"].iloc[-1]), float(kept["y"].iloc[-1])
+        state.update((x, y, int(due), early))
         if len(kept):
-            state.update((float(kept["x"].iloc[-1]), float(kept["y"].iloc[-1])))
             yield kept
 
     return stream.groupBy(*by).applyInPandasWithState(run, stream.schema, held, "append", GroupStateTimeout.NoTimeout)
