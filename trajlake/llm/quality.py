@@ -189,4 +189,5 @@ def op10(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects, with their columns."""
     rules = learned_rules(docs, table(spark, sf_dir, "labels"))
-    return judge(docs, rules, docs.columns).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return judge(rows, rules, ["_row"]).filter("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -102,13 +102,16 @@ def _none() -> Column:
     return F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
 
 
-def scan(docs: DataFrame, rules: list[Rule] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns (doc_id unless told otherwise) and ``spans`` by start, then by the order of the rules."""
-    rules = RULES if rules is None else rules
-    keep = ["doc_id"] if keep is None else keep
+def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """(doc_id, spans) for each row of ``docs``, spans by start, then by the order of the rules."""
+    return _scanned(docs, RULES if rules is None else rules).select(F.col("_row.doc_id").alias("doc_id"), F.col("_spans").alias("spans"))
+
+
+def _scanned(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(_row, _text, _spans): the whole row as a struct, so that its names meet no others."""
     indexed = [r for r in rules if query_of(r.pattern) is not None]
     wanted = sorted({t for r in indexed for c in query_of(r.pattern) for t in c})
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
     if indexed:
         found = candidates(postings(docs, wanted), indexed).select(F.col("doc_id").alias("_found"), "kinds")
         rows = rows.join(found, F.col("_id").eqNullSafe(F.col("_found")), "left")
@@ -119,7 +122,7 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, keep: list[str] | Non
     rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
     keyed = F.transform(F.concat(*each), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
     spans = F.transform(F.sort_array(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return rows.select("_row", "_text", spans.alias("spans")).select(*[F.col("_row")[c].alias(c) for c in keep], "spans", "_text")
+    return rows.select("_row", "_text", spans.alias("_spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -135,7 +138,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def op1(spark, sf_dir: str) -> DataFrame:
     base, spans = [r.kind for r in BASE], F.col("spans")
-    return scan(table(spark, sf_dir, "documents")).select(
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", *[count_kind(spans, k).alias(f"n_{k}") for k in base],
         F.sha2(spans_digest(spans, base), 256).alias("base_sha256"), spans_digest(spans).alias("spans"),
     )
@@ -143,10 +146,10 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets in their texts are masked and ``n_chars`` follows the new text."""
-    hit = F.size("spans") > 0
-    out = scan(docs, keep=docs.columns)
-    new = F.when(hit, redacted(F.col("_text"), F.col("spans"))).otherwise(F.col("`text`"))
-    out = out.withColumn("_new", new)
-    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
-    changed = {"text": F.col("_new"), "n_chars": F.when(hit, F.length("_new").cast(kind)).otherwise(F.col("`n_chars`")) if kind else None}
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    hit = F.size("_spans") > 0
+    out = _scanned(docs, RULES).withColumn("_new", F.when(hit, redacted(F.col("_text"), F.col("_spans"))).otherwise(F.col("_row")["text"]))
+    changed = {"text": F.col("_new")}
+    if "n_chars" in docs.columns:
+        count = F.length("_new").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(hit, count).otherwise(F.col("_row")["n_chars"])
+    return out.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
