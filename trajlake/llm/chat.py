@@ -9,7 +9,8 @@ also come back from the whole conversation, which is the start mark and the turn
                  | " " text " </s>"                              (role assistant)
                  | "[ROLE] " role "\\n" text " [/ROLE]"           (any other role)
 
-An escape is a backslash after the opening bracket of a control string; reading takes one away.  Everything an
+A text holds no bare control string.  An escape is a backslash after the opening bracket of one; reading takes one
+away.  Everything an
 assistant says is under the loss mask.
 
 Defined results: NULL text and NULL role are empty; turns are ordered by turn, then role, then rendered text, so that ties and
@@ -33,6 +34,7 @@ from trajlake.llm.common import table
 # Fixed values of the template.
 START = "<s>"
 CONTROL = re.compile(r"(<)(\\*)(/?s>)|(\[)(\\*)(/?(?:INST|ROLE)\])")
+BARE = re.compile(r"</?s>|\[/?(?:INST|ROLE)\]")
 MOST_ESCAPES = 3
 
 
@@ -81,7 +83,9 @@ def parse_turn(data: str, at: int = 0) -> tuple[str, str, int] | None:
     else:
         return None
     end = data.find(closing, begin)
-    return None if end < 0 else (role, unescape(data[begin:end]), end + len(closing))
+    if end < 0 or BARE.search(data, begin, end):
+        return None
+    return role, unescape(data[begin:end]), end + len(closing)
 
 
 def parse(data: str) -> list[tuple[str, str]] | None:

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from trajlake.llm import chat, decontaminate, langid, mixing, neardup, pii, quality, secrets, toxicity, urls
+from trajlake.llm import chat, decontaminate, langid, mixing, neardup, pii, quality, secrets, sql, toxicity, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
@@ -14,4 +14,8 @@ QUERIES = {
     "op9_near_duplicates": neardup.op9,
     "op10_quality_rules": quality.op10,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_chat_formatting": sql.CHAT,
+    "op7_mixing": sql.MIXING,
+    "op9_near_duplicates": sql.NEAR_DUPLICATES,
+}
