@@ -18,16 +18,26 @@ def connected_components(links: DataFrame) -> DataFrame:
     found: DataFrame | None = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m"))
-        if found is None:
-            step = found = cut_lineage(step.select("v", F.col("m").alias("root")))
-            step = step.withColumnRenamed("root", "m")
-        else:
-            step = cut_lineage(step)
-            onto = step.select(F.col("v").alias("root"), "m")
-            found = cut_lineage(found.join(onto, "root", "left").select("v", F.coalesce("m", "root").alias("root")))
+        step = cut_lineage(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m")))
+        found = step.select("v", F.col("m").alias("root")) if found is None else moved_on(found, step.withColumnRenamed("m", "root"))
         at_a, at_b = step.select(F.col("v").alias("a"), F.col("m").alias("ma")), step.select(F.col("v").alias("b"), F.col("m").alias("mb"))
         moved = edges.join(at_a, "a").join(at_b, "b").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"))
         edges = cut_lineage(moved.filter(F.col("a") != F.col("b")).distinct())
         if edges.isEmpty():
             return found
+
+
+def moved_on(roots: DataFrame, further: DataFrame) -> DataFrame:
+    """``roots`` (v, root) with each root replaced by its own root in ``further``."""
+    onto = further.select(F.col("v").alias("root"), F.col("root").alias("_m"))
+    return roots.join(onto, "root", "left").select("v", F.coalesce("_m", "root").alias("root"))
+
+
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """(v, root) from (v, root) where each v has one, smaller parent: pointers double until none moves."""
+    while True:
+        onto = parents.select(F.col("v").alias("root"), F.col("root").alias("_up"))
+        stepped = cut_lineage(parents.join(onto, "root", "left").select("v", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved")))
+        parents = stepped.select("v", "root")
+        if stepped.filter("moved").isEmpty():
+            return parents

@@ -5,8 +5,8 @@ coordinates of the vector by a hash of its path, and its sets move on to the chi
 Children with one set end; small ones are compared exhaustively; in a large one every set is compared with one
 pivot and branches again.  A pair of similarity s meets in a child with probability s, two children are tried at
 each node, so a tree loses a pair of similarity 0.8 about once in 17 times and ``TREES`` trees once in a million.
-What is still large at the last level is a group of near copies: there, sets outside the largest component are
-compared with all members.
+What is still large at the last level is a group of near copies.  Its members meet again on ``MEETINGS`` single
+tokens, where sets outside the largest component are compared with all members, in blocks of bounded size.
 
 Candidates are thinned by the number of agreeing tokens (six standard deviations below the threshold) and by the
 exact bound on set sizes, then confirmed on the full shingle sets, read from the texts again.  Confirmation first
@@ -23,13 +23,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import let, table
-from trajlake.llm.components import connected_components
+from trajlake.llm.common import let, table, written
+from trajlake.llm.components import connected_components, forest_roots, moved_on
 from trajlake.session import cut_lineage
 
 TOKENS = 64
@@ -39,6 +40,9 @@ LEVELS = 4
 SMALL_NODE = 16
 KNOWN_WORDS = 400_000
 CHUNK = 1 << 15
+MEETINGS = 6
+OUTSIDE_BLOCK = 512
+MEMBER_BLOCK = 2048
 
 
 class _WordHashes(dict):
@@ -165,12 +169,15 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold; texts are fetched for the sets that occur in ``pairs``."""
-    asked = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key")
-    asked = asked.join(nodes.select("key", F.col("first.doc_id").alias("_id"), F.col("first.print").alias("_print")), "key")
+def texts_of(keys: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, text) for the sets whose ``key`` is asked for, fetched once and written compressed."""
+    asked = keys.distinct().join(nodes.select("key", F.col("first.doc_id").alias("_id"), F.col("first.print").alias("_print")), "key")
     met = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_print")))
-    texts = met.groupBy("key").agg(F.min("text").alias("text"))
+    return written(met.groupBy("key").agg(F.min("text").alias("text")))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
     at_a, at_b = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
     met = pairs.join(at_b, "b").join(at_a, "a").select("a", "b", "ta", "tb")
     return met.mapInArrow(_confirm(k, percent), "a binary, b binary")
@@ -186,16 +193,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # The smallest likely partner of every set first: most groups are tied together by that alone.
     ties = pairs.filter(100 * F.col("like") >= percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = cut_lineage(confirmed(ties, nodes, docs, k, percent))
-    roots = connected_components(links)
-    more = cut_lineage(confirmed(apart(pairs, roots), nodes, docs, k, percent))
-    if not more.isEmpty():
-        links = links.union(more)
-        roots = connected_components(links)
-    rest = cut_lineage(thinned(crossing(crowded, roots), nodes, percent))
+    crowded = cut_lineage(crowded.select("key").distinct())
+    texts = texts_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(crowded), nodes, docs)
+    links = cut_lineage(confirmed(ties, texts, k, percent))
+    roots = forest_roots(links.select(F.col("b").alias("v"), F.col("a").alias("root")))
+    roots = tied(roots, cut_lineage(confirmed(apart(pairs, roots), texts, k, percent)))
+    rest = cut_lineage(crossing(crowded, roots, nodes, texts, k, percent))
     if not rest.isEmpty():
-        links = links.union(cut_lineage(confirmed(apart(rest, roots), nodes, docs, k, percent)))
-        roots = connected_components(links)
+        roots = tied(roots, cut_lineage(confirmed(rest, texts, k, percent)))
 
     named = nodes.select("key", F.col("first.doc_id").alias("id")).join(roots.withColumnRenamed("v", "key"), "key", "left")
     named = named.withColumn("root", F.coalesce("root", "key"))
@@ -206,6 +211,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def tied(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after further links between its components."""
+    if links.isEmpty():
+        return roots
+    at_a, at_b = roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), roots.select(F.col("v").alias("b"), F.col("root").alias("rb"))
+    between = links.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    further = cut_lineage(connected_components(between))
+    return cut_lineage(moved_on(roots, further).union(further))
+
+
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose sets are not in one component yet."""
     at_a, at_b = roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), roots.select(F.col("v").alias("b"), F.col("root").alias("rb"))
@@ -213,15 +228,68 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return met.filter(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))).select("a", "b")
 
 
-def crossing(crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    """In nodes that stay large: sets outside the node's largest component, with all members of other components."""
+def _cut_ids(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for b in batches:
+            ids = [np.unique((shingle_hashes(t.as_py(), k, known) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
+
+    return run
+
+
+def _meet(percent: int):
+    """Links between different components inside one block, as a spanning forest."""
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        ids, out = [np.asarray(i, np.int32) for i in block["ids"]], []
+        sizes = np.array([len(i) for i in ids])
+        names, root = np.unique(np.array([bytes(r).hex() for r in block["root"]]), return_inverse=True)
+        joined = np.concatenate(ids)
+        order = np.argsort(joined, kind="stable")
+        joined, owner = joined[order], np.repeat(np.arange(len(ids)), sizes)[order]
+        parent = np.arange(len(names))
+        for x in np.flatnonzero(block["outside"].to_numpy(bool)):
+            lo = np.searchsorted(joined, ids[x], "left")
+            count = np.searchsorted(joined, ids[x], "right") - lo
+            where = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+            both = np.bincount(owner[where], minlength=len(ids))
+            other = parent[root] != parent[root[x]]
+            # Two more than counted: ids are cut to 32 bits, and the full sets decide later.
+            near = np.flatnonzero(other & ((both + 2) * 100 >= percent * (sizes + sizes[x] - both - 2)))
+            for y in near[np.argsort(-both[near], kind="stable")]:
+                px, py = parent[root[x]], parent[root[y]]
+                if px != py:
+                    out.append((x, y))
+                    if both[y] * 100 >= percent * (sizes[x] + sizes[y] - both[y]):
+                        parent[parent == py] = px
+        keys = block["key"].to_numpy()
+        return pd.DataFrame([(min(keys[x], keys[y]), max(keys[x], keys[y])) for x, y in out], columns=["a", "b"])
+
+    return run
+
+
+def crossing(crowded: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Likely links that the trees left untested: between members of nodes that stayed large.
+
+    Those sets meet on each of ``MEETINGS`` minwise tokens.  Where a meeting holds several components, the sets
+    outside its largest one are compared with all members, in blocks of bounded size, on their whole sets.
+    """
     held = crowded.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    parts = held.groupBy("node", "root").agg(F.count("*").alias("c"))
-    main = parts.groupBy("node").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    held = held.join(main, "node")
-    outside = held.filter("root <> main").select("node", F.col("key").alias("x"), F.col("root").alias("rx"))
-    met = outside.join(held.select("node", "key", "root"), "node").filter("rx <> root")
-    return met.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
+    met = held.join(nodes.select("key", F.slice("sig", 1, MEETINGS).alias("s")), "key").select("key", "root", F.posexplode("s").alias("j", "token"))
+    parts = met.groupBy("j", "token", "root").agg(F.count("*").alias("c"))
+    main = parts.groupBy("j", "token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts"), F.max("c").alias("most"), F.sum("c").alias("all")).filter("parts > 1")
+    rows = met.join(main, ["j", "token"]).withColumn("out", F.col("root") != F.col("main"))
+    blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    rows = rows.withColumns({"obs": F.ceil((F.col("all") - F.col("most")) / OUTSIDE_BLOCK).cast("int"), "mbs": blocks("all", MEMBER_BLOCK)})
+    spot = F.xxhash64("key")
+    each = F.explode(F.sequence(F.lit(0), F.col("obs") - 1))
+    # A member goes to its own member block for every outside block; an outside set also to its outside block for every member block.
+    as_member = rows.select("j", "token", "key", "root", F.lit(False).alias("outside"), each.alias("ob"), F.pmod(spot, F.col("mbs")).cast("int").alias("mb"))
+    as_outside = rows.filter("out").select("j", "token", "key", "root", F.lit(True).alias("outside"), F.pmod(spot, F.col("obs")).cast("int").alias("ob"), F.explode(F.sequence(F.lit(0), F.col("mbs") - 1)).alias("mb"))
+    placed = as_member.union(as_outside).groupBy("j", "token", "ob", "mb", "key", "root").agg(F.max("outside").alias("outside"))
+    sets = cut_lineage(texts.join(crowded, "key", "left_semi").select("key", "text").mapInArrow(_cut_ids(k), "key binary, ids array<int>"))
+    full = placed.join(sets, "key")
+    return full.groupBy("j", "token", "ob", "mb").applyInPandas(_meet(percent), "a binary, b binary").distinct()
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
