@@ -217,7 +217,7 @@ def tied(roots: DataFrame, links: DataFrame) -> DataFrame:
         return roots
     at_a, at_b = roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), roots.select(F.col("v").alias("b"), F.col("root").alias("rb"))
     between = links.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    further = cut_lineage(connected_components(between))
+    further = cut_lineage(connected_components(between).filter(F.col("v") != F.col("root")))  # what moves; ``roots`` has no roots as v
     return cut_lineage(moved_on(roots, further).union(further))
 
 
