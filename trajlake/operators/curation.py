@@ -126,7 +126,7 @@ def assign_map_ids(files: DataFrame, path: str = "path", max_maps: int | None =
 
 def sample_per_group(df: DataFrame, group: list[str], key: list[str], k: int, seed: int = 0) -> DataFrame:
     """Uniform sample of at most k whole rows per group; the top-k filter is applied before the shuffle."""
-    w = Window.partitionBy(*group).orderBy(F.xxhash64(*key, F.lit(seed)), *key)
+    w = Window.partitionBy(*group).orderBy(digest(*[F.col(c) for c in key], F.lit(seed)), *key)
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
@@ -146,9 +146,14 @@ def episode_seed(seed: int, tag: str, town: Column, episode: Column) -> Column:
     return F.crc32(F.concat_ws(":", F.lit(str(seed)), F.lit(tag), town.cast("string"), episode.cast("string")).cast("binary"))
 
 
+def digest(*parts: Column | str) -> Column:
+    """Hexadecimal digest of the parts, joined by colons; the same in any engine."""
+    return F.md5(F.concat_ws(":", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]).cast("binary"))
+
+
 def hash_uniform(*parts: Column | str) -> Column:
-    """Uniform in [0, 1) from a hash: reproducible, independent of partitioning."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / float(1 << 53)
+    """Uniform in [0, 1) from the first 52 bits of a digest: reproducible, independent of partitioning."""
+    return F.conv(F.substring(digest(*parts), 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
 
 
 def segment_conditioning(df: DataFrame, seed: int = 42, key: str = "segment_id") -> DataFrame:
@@ -160,9 +165,9 @@ def segment_conditioning(df: DataFrame, seed: int = 42, key: str = "segment_id")
     u = [hash_uniform(tag, F.col(key), F.lit(i)) for i in range(10)]
 
     def mixture(i: int, scale: float) -> Column:
-        low, draw = 1.0 / scale, hash_uniform(tag, F.col(key), F.lit(i))
-        raw = F.when(F.xxhash64(tag, F.col(key), F.lit(100 + i)) % 2 == 0, F.lit(low) + draw * (1.0 - low)).otherwise(F.lit(1.0) + draw * (scale - 1.0))
-        return (raw - low) / (scale - low)
+        """Either side of the knee with equal chance; the knee is where a scale of one lies between 1/scale and scale."""
+        knee, draw = 1.0 / (1.0 + scale), hash_uniform(tag, F.col(key), F.lit(i))
+        return F.when(hash_uniform(tag, F.col(key), F.lit(100 + i)) < 0.5, draw * knee).otherwise(F.lit(knee) + draw * (1.0 - knee))
 
     return df.withColumn("conditioning", F.array(*u, mixture(10, 1.25), mixture(11, 1.25), mixture(12, 1.5)))
 

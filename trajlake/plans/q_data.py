@@ -265,7 +265,7 @@ def _(spark, sf):
     return cu.pending(px.table(spark, sf, "orders").select("o_orderkey"), done, ["o_orderkey"])
 
 
-@query("f01_sample_per_group")
+@query("f01_sample_per_group", "select p_brand, p_partkey, p_size from (select *, row_number() over (partition by p_brand order by md5(concat_ws(':', p_partkey, 3)), p_partkey) as r from part) where r <= 8")
 def _(spark, sf):
     p = px.table(spark, sf, "part").select("p_brand", "p_partkey", "p_size")
     return cu.sample_per_group(p, ["p_brand"], ["p_partkey"], 8, seed=3)
@@ -277,9 +277,20 @@ def _(spark, sf):
     return s.select("segment_id", cu.episode_seed(42, "train", F.col("town"), F.col("segment_id")).alias("seed"))
 
 
-@query("f04_segment_conditioning")
+def uniform_sql(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13))::bigint / {float(1 << 52)!r}"
+
+
+def _mixture_sql(i: int, scale: float) -> str:
+    draw, knee = uniform_sql("'conditioning:42'", "c_custkey", str(i)), f"(1.0e0 / (1.0e0 + {scale}e0))"
+    return f"case when {uniform_sql(chr(39) + 'conditioning:42' + chr(39), 'c_custkey', str(100 + i))} < 0.5e0 then {draw} * {knee} else {knee} + {draw} * (1.0e0 - {knee}) end"
+
+
+@query("f04_segment_conditioning", f"""with d as (select c_custkey as segment_id, unnest([{', '.join([uniform_sql("'conditioning:42'", 'c_custkey', str(i)) for i in range(10)] + [_mixture_sql(i, s) for i, s in ((10, 1.25), (11, 1.25), (12, 1.5))])}]) as v, unnest(range(13)) as dim from customer)
+    select segment_id, cast(dim as bigint) as dim, {r('v', 'value')} from d""")
 def _(spark, sf):
-    return cu.segment_conditioning(px.segment(spark, sf).select("segment_id"))
+    wide = cu.segment_conditioning(px.segment(spark, sf).select("segment_id"))
+    return rounded(wide.select("segment_id", F.posexplode("conditioning").alias("dim", "value")).withColumn("dim", F.col("dim").cast("long")), "value")
 
 
 @query("f10_first_per_group", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts, event_id) as rn from events) where rn = 1")
