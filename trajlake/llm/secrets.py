@@ -111,12 +111,13 @@ def _scanned(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """(_row, _text, _spans): the whole row as a struct, so that its names meet no others."""
     indexed = [r for r in rules if query_of(r.pattern) is not None]
     wanted = sorted({t for r in indexed for c in query_of(r.pattern) for t in c})
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"))
     if indexed:
         found = candidates(postings(docs, wanted), indexed).select(F.col("doc_id").alias("_found"), "kinds")
         rows = rows.join(found, F.col("_id").eqNullSafe(F.col("_found")), "left")
     else:
         rows = rows.withColumn("kinds", F.array().cast("array<string>"))
+    rows = rows.withColumn("_text", F.coalesce(F.col("_row")["text"], F.lit("")))  # after the join, which moves the text once
     text = F.col("_text")
     each = [F.when(F.array_contains("kinds", r.kind), matches(text, r)).otherwise(_none()) if r in indexed else matches(text, r) for r in rules]
     rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
