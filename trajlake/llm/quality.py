@@ -190,4 +190,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects, with their columns."""
     rules = learned_rules(docs, table(spark, sf_dir, "labels"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    return judge(rows, rules, ["_row"]).filter("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    # A filter would be pushed below the statistics and repeat them for each condition that names them.
+    kept = judge(rows, rules, ["_row"]).select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row"))
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
