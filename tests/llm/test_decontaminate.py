@@ -75,3 +75,31 @@ def test_blocks_and_odd_rows(spark, odd_docs, sf, monkeypatch):
     assert dc.find_passages(odd_docs, bench.limit(0)).count() == 0 and dc.find_passages(odd_docs.limit(0), bench).count() == 0
     out = dc.stage(spark, odd_docs, sf)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
+
+
+def test_short_excerpts_at_every_offset(sf):
+    bench = ds.dataset(f"{sf}/benchmark.parquet").to_table().to_pydict()["text"]
+    index, size = dc.Index(list(enumerate(bench))), dc.SHORT + dc.SHORT_STRIDE - 1
+    for i, b in enumerate(bench[:8]):
+        for at in range(len(b) - size + 1):
+            assert i in {r[0] for r in dc.regions(index, f"qq xx {b[at : at + size]} zz yy")}, (i, at)
+
+
+def test_a_dropped_added_or_changed_word_hides_no_item():
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randrange(2, 13)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((11, 12, 14, 16, 20, 26, 32, 40))]
+    index = dc.Index(items)
+    for i, text in items:
+        w = text.split(" ")
+        for j in range(len(w)):
+            for new in ([], [w[j], "zebrafishes"], ["qqqqqqqqqqq"]):
+                assert i in {r[0] for r in dc.regions(index, "x y " + " ".join(w[:j] + new + w[j + 1 :]) + " z v")}, (i, j, new)
+
+
+def test_short_items_are_found():
+    items = [(1, "name all of them"), (2, "what is the capital of peru"), (3, " " * 20)]
+    index = dc.Index(items)
+    assert [r[0] for r in dc.regions(index, "he said: name all of them, then" + " " * 30)] == [1]
+    assert [r[0] for r in dc.regions(index, "so what is the capitol of peru, please")] == [2]
+    assert dc.regions(index, "so what is the capital of chad, please") == []

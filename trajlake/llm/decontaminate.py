@@ -1,17 +1,23 @@
 """Benchmark decontamination by the q-gram lemma in diagonal bands.
 
-Benchmark items are cut into overlapping windows.  A text that holds a window of L characters within k edits shares
-at least L - q + 1 - k q of its character q-grams with it, all on diagonals (text position minus window position)
-at most 2 k apart.  So the shared q-grams are counted in bands of diagonals that overlap by half; a band that
-reaches the bound marks a region, and a banded alignment decides whether the window really is there within k edits.
+Benchmark items are cut into overlapping windows of two lengths: short ones, so close that every excerpt of
+``SHORT + SHORT_STRIDE - 1`` characters holds one, and long ones for passages with edits all over.  A text that holds
+a window of L characters with k scattered edits shares at least L - q + 1 - k q of its character q-grams with it; if
+one run of b characters is dropped, added or replaced (a changed word), L - b - 2 q + 2.  Both lie on diagonals (text
+position minus window position) no further apart than the edits.  So the shared q-grams are counted in bands of
+diagonals that overlap by half; a band that reaches the lower of the two bounds marks a region, and a banded alignment
+decides whether the window really is there within its edits.  The bounds hold for ``EDIT_SHARE`` scattered edits or
+one changed run of ``WORD_SHARE``; other mixtures up to ``WORD_SHARE`` are found if they share enough q-grams.
+
+A region's ``windows`` are those that lie side by side in it, so windows inside one another count once.
 
 The index of the benchmark goes to every task, so its size is checked: beyond ``INDEX_CHARS`` characters the items
 are taken in blocks, one pass over the texts for each.
 
 Texts are compared with A-Z in lower case and white space characters as spaces, which keeps every position.
 
-Defined results: NULL, empty or short texts hold nothing; NULL items and those shorter than ``LEAST`` characters
-find nothing; very long texts are searched whole, in pieces that overlap by more than a window; repeated rows are
+Defined results: NULL, empty or short texts hold nothing; NULL or blank items and those shorter than ``LEAST``
+characters find nothing; items under 24 characters are found verbatim, those under 40 within one edit; very long texts are searched whole, in pieces that overlap by more than a window; repeated rows are
 searched row by row; empty tables give an empty result.  Other columns are not read by the search.
 """
 
@@ -29,9 +35,12 @@ from trajlake.llm.common import table
 Q = 12
 WINDOW = 120
 STRIDE = 40
-LEAST = 40
+SHORT = 50
+SHORT_STRIDE = 10
+LEAST = Q
 EDIT_SHARE = 0.05
-INDEX_CHARS = 4_000_000
+WORD_SHARE = 0.2
+INDEX_CHARS = 1_500_000  # a character is in three long and five short windows
 PIECE = 1 << 20
 BITS = 22
 
@@ -60,7 +69,26 @@ def gram_hashes(c: np.ndarray) -> np.ndarray:
 
 
 def edits_allowed(length: int) -> int:
-    return int(length * EDIT_SHARE)
+    """Edits of a window that still count as found: a changed word, or in a short item one edit or none."""
+    if length < 40:
+        return 1 if length >= 2 * Q else 0
+    return int(length * WORD_SHARE)
+
+
+def grams_needed(length: int) -> int:
+    """The q-grams that a window keeps under scattered edits or one changed run, whichever leaves fewer."""
+    run = edits_allowed(length)
+    scattered = min(run, int(length * EDIT_SHARE))
+    return max(1, length - Q + 1 - max(scattered * Q, run + Q - 1 if run else 0))
+
+
+def window_bounds(length: int) -> list[tuple[int, int]]:
+    """(start, size) of an item's windows, long ones first."""
+    out = {}
+    for size, stride in ((WINDOW, STRIDE), (SHORT, SHORT_STRIDE)):
+        last = max(0, length - size)
+        out |= dict.fromkeys((start, min(size, length)) for start in sorted({*range(0, last, stride), last}))
+    return list(out)
 
 
 class Index:
@@ -71,11 +99,10 @@ class Index:
         hashes, owners, places = [], [], []
         for item, text in items:
             c = code_points(text)
-            if len(c) < LEAST:
+            if len(c) < LEAST or (c == ord(" ")).all():
                 continue
-            last = max(0, len(c) - WINDOW)
-            for start in sorted({*range(0, last, STRIDE), last}):
-                w = c[start : start + WINDOW]
+            for start, size in window_bounds(len(c)):
+                w = c[start : start + size]
                 h = gram_hashes(w)
                 hashes.append(h)
                 owners.append(np.full(len(h), len(self.windows), np.int64))
@@ -86,7 +113,7 @@ class Index:
         self.hashes = joined[order]
         self.owners = np.concatenate(owners)[order] if hashes else np.empty(0, np.int64)
         self.places = np.concatenate(places)[order] if hashes else np.empty(0, np.int64)
-        self.need = np.array([max(1, len(w) - Q + 1 - edits_allowed(len(w)) * Q) for _, _, w in self.windows], np.int64)
+        self.need = np.array([grams_needed(len(w)) for _, _, w in self.windows], np.int64)
         self.filter = np.zeros(1 << BITS, bool)
         self.filter[self.hashes >> np.uint64(64 - BITS)] = True
 
@@ -131,7 +158,10 @@ def banded_distance(window: np.ndarray, text: np.ndarray, k: int, band: int) ->
 
 
 def search(index: Index, c: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(item, start in the item, start, end, edits) of every window that the text holds."""
+    """(item, start in the item, start, end, edits) of every window that the text holds.
+
+    A window inside one that was found is not looked at again in that place, as it adds nothing to the region.
+    """
     found = {}
     for shift in range(0, max(1, len(c)), PIECE):
         piece = c[shift : shift + PIECE + 2 * WINDOW]
@@ -147,46 +177,52 @@ def search(index: Index, c: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         order = np.lexsort((diagonal, owner))
         owner, diagonal = owner[order], diagonal[order]
         edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        held: dict[int, list[tuple[int, int, int, int]]] = {}  # by item: diagonal, start and end in the item, edits
         for lo, hi in zip(edges, np.append(edges[1:], len(owner)), strict=True):
             item, start, w = index.windows[owner[lo]]
             k, need = edits_allowed(len(w)), index.need[owner[lo]]
             d, step = diagonal[lo:hi], k + 1
             lines, counts = np.unique(d, return_counts=True)
-            done = []
+            done = [(line + start, e) for line, a, b, e in held.get(item, ()) if a <= start and start + len(w) <= b]
             for at in lines[counts >= need].tolist():  # no gaps: the edits on one diagonal are plain mismatches
                 here = piece[max(at, 0) : at + len(w)] if at >= 0 else piece[:0]
-                if len(here) == len(w) and (edits := int((here != w).sum())) <= k:
-                    done.append(at)
-                    key, value = (item, start, shift + at), (edits, shift + at + len(w))
+                if (at, 0) not in done and len(here) == len(w) and (edits := int((here != w).sum())) <= k:
+                    done.append((at, edits))
+                    held.setdefault(item, []).append((at - start, start, start + len(w), edits))
+                    key, value = (item, start, len(w), shift + at), (edits, shift + at + len(w))
                     found[key] = min(found.get(key, value), value)
             for half in (0, 1):  # bands of width 2 (k + 1) that overlap by half
                 band = (d + half * step) // (2 * step)
                 cells, counts = np.unique(band, return_counts=True)
                 for cell in cells[counts >= need].tolist():
                     base = cell * 2 * step - half * step + step
-                    if any(abs(base - at) <= step for at in done):
+                    if any(abs(base - at) <= step + e for at, e in done):
                         continue
                     low = max(0, base - 2 * step)
                     got = banded_distance(w, piece[low : low + len(w) + 4 * step + 1], k, 2 * step)
                     if got:
                         edits, a, b = got
-                        done.append(low + a)
-                        key, value = (item, start, shift + low + a), (edits, shift + low + b)
+                        done.append((low + a, edits))
+                        held.setdefault(item, []).append((low + a - start, start, start + len(w), edits))
+                        key, value = (item, start, len(w), shift + low + a), (edits, shift + low + b)
                         found[key] = min(found.get(key, value), value)
-    return sorted((item, start, a, b, e) for (item, start, a), (e, b) in found.items())
+    return sorted((item, start, a, b, e) for (item, start, _, a), (e, b) in found.items())
 
 
 def regions(index: Index, text: str | None) -> list[tuple[int, int, int, int, int]]:
     """(item, start, end, windows, edits): overlapping windows of one item joined to regions of the text."""
     out: list[list[int]] = []
+    free = 0  # where the last counted window ends
     got = search(index, code_points(text)) if text else []
     for item, _, a, b, e in sorted(got, key=lambda x: (x[0], x[2])):
         if out and out[-1][0] == item and a <= out[-1][2]:
             out[-1][2] = max(out[-1][2], b)
-            out[-1][3] += 1
+            if a >= free:
+                out[-1][3], free = out[-1][3] + 1, b
             out[-1][4] = max(out[-1][4], e)
         else:
             out.append([item, a, b, 1, e])
+            free = b
     return [tuple(r) for r in out]
 
 
