@@ -46,3 +46,19 @@ def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(3, text), (1, text), (2, text + " more"), (4, "other"), (4, "other")], "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in neardup.stage(spark, docs, "").collect()) == [1, 4]
+
+
+def test_unlike_texts_under_one_id_or_none_stay(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (3, d + " more"), (None, None), (8, ""), (8, e)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = [(None, a), (None, b), (7, c), (3, d + " more"), (None, None), (8, ""), (8, e)]
+    assert sorted(map(str, map(tuple, neardup.stage(spark, docs, "").collect()))) == sorted(map(str, want))
+
+
+def test_a_leak_takes_no_other_row_of_its_id(spark, tmp_path):
+    bench = " ".join(f"word{i}" for i in range(30))
+    spark.createDataFrame([(1, bench)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "clean text"), (None, f"see {bench} here"), (5, "other clean text"), (5, bench), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(str, map(tuple, decontaminate.stage(spark, docs, str(tmp_path)).collect()))) == sorted(map(str, map(tuple, [rows[0], rows[2], rows[4]])))

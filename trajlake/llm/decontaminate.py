@@ -270,9 +270,10 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark, with their columns."""
-    found = find_passages(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
+    """Rows without any passage of the benchmark, with their columns; a row is known by its id and the hash of its text."""
+    known = docs.select(F.struct("doc_id", F.xxhash64("text").alias("print")).alias("doc_id"), "text")
+    found = find_passages(known, table(spark, sf_dir, "benchmark")).select(F.col("doc_id.doc_id").alias("_hit"), F.col("doc_id.print").alias("_hp")).distinct()
     names = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
-    rows = docs.select(F.col("doc_id").alias("_doc"), *names)
-    out = rows.join(found, F.col("_doc").eqNullSafe(F.col("_hit")), "left_anti")
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_print"), *names)
+    out = rows.join(found, F.col("_doc").eqNullSafe(F.col("_hit")) & (F.col("_print") == F.col("_hp")), "left_anti")
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -183,8 +183,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return met.mapInArrow(_confirm(k, percent), "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
+def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, print, n, root, least) per row of ``docs``: the component and its smallest id; no root for an empty set."""
     signed = cut_lineage(signed_sets(docs, k))
     nodes = signed.filter("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "print")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = cut_lineage(nodes)
@@ -205,10 +205,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = nodes.select("key", F.col("first.doc_id").alias("id")).join(roots.withColumnRenamed("v", "key"), "key", "left")
     named = named.withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("id").alias("least"))
-    named = named.join(least, "root").select(F.col("key").alias("_key"), "least")
+    named = named.join(least, "root").select(F.col("key").alias("_key"), "root", "least")
     out = signed.join(named, (F.col("key") == F.col("_key")) & (F.col("n") > 0), "left")
+    return out.select("doc_id", "print", "n", "root", "least")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
     component = F.coalesce("least", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return grouped(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def tied(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -297,9 +302,16 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest id; of rows that repeat an id, one stays."""
-    ids = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"))
-    met = rows.join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
-    one = met.groupBy("_doc").agg(F.min_by("_row", F.coalesce(F.col("_row")["text"], F.lit(""))).alias("_row"))
+    """One document of each group, the one with the smallest id; of rows that repeat an id and its text, one stays.
+
+    A row is known by its id and the hash of its text, so unlike texts under one id, or none, are told apart.
+    """
+    rows_of = cut_lineage(grouped(docs).select("doc_id", "print", "root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("f")
+    alone = rows_of.filter("root IS NULL").select("doc_id", "print").distinct()
+    stay = rows_of.filter("root IS NOT NULL").groupBy("root").agg(first).select("f.doc_id", "f.print").union(alone)
+    stay = stay.select(F.col("doc_id").alias("_id"), F.col("print").alias("_p"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_print"))
+    met = rows.join(stay, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_p")), "left_semi")
+    one = met.groupBy("_doc", "_print").agg(F.min_by("_row", F.coalesce(F.col("_row")["text"], F.lit(""))).alias("_row"))
     return one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
