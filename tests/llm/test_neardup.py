@@ -108,3 +108,11 @@ def _reach(v, near):
                 seen.add(o)
                 todo.append(o)
     return seen
+
+
+def test_a_null_id_inside_a_group_does_not_break_it(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text), (6, text), (None, text), (9, text + " more"), (None, "no other like it")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in got if r["n_shingles"] > 3) == [("5", 59, 5, True), ("6", 59, 5, False), ("9", 60, 5, False), ("None", 59, 5, False)]
+    assert [(r["component_id"], r["kept"]) for r in got if r["n_shingles"] == 3] == [(None, True)]

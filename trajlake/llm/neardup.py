@@ -186,7 +186,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, print, n, root, least) per row of ``docs``: the component and its smallest id; no root for an empty set."""
     signed = cut_lineage(signed_sets(docs, k))
-    nodes = signed.filter("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "print")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = signed.filter("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "print")).alias("first"), F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = cut_lineage(nodes)
     met, crowded = candidate_pairs(nodes)
     pairs = cut_lineage(thinned(met, nodes, percent))
@@ -202,7 +202,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if not rest.isEmpty():
         roots = tied(roots, cut_lineage(confirmed(rest, texts, k, percent)))
 
-    named = nodes.select("key", F.col("first.doc_id").alias("id")).join(roots.withColumnRenamed("v", "key"), "key", "left")
+    named = nodes.select("key", "id").join(roots.withColumnRenamed("v", "key"), "key", "left")
     named = named.withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("id").alias("least"))
     named = named.join(least, "root").select(F.col("key").alias("_key"), "root", "least")
