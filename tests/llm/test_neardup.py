@@ -116,3 +116,7 @@ def test_a_null_id_inside_a_group_does_not_break_it(spark):
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in got if r["n_shingles"] > 3) == [("5", 59, 5, True), ("6", 59, 5, False), ("9", 60, 5, False), ("None", 59, 5, False)]
     assert [(r["component_id"], r["kept"]) for r in got if r["n_shingles"] == 3] == [(None, True)]
+
+
+def test_crowded_nodes_lose_no_more_pairs_than_the_trees():
+    assert 0.2**neardup.MEETINGS < 1e-6 and neardup.MEETINGS <= neardup.TOKENS
