@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from trajlake.llm import chat, decontaminate, langid, mixing, neardup, pii, quality, secrets, sql, toxicity, urls
+from trajlake.llm import chat, decontaminate, langid, mixing, neardup, pii, quality, secrets, spelling, sql, toxicity, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_pii": pii.op8,
     "op9_near_duplicates": neardup.op9,
     "op10_quality_rules": quality.op10,
+    "op11_spelling_variants": spelling.op11,
 }
 ORACLE: dict[str, str] = {
     "op4_chat_formatting": sql.CHAT,
