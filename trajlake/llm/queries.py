@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from trajlake.llm import chat, decontaminate, langid, mixing, neardup, pii, quality, secrets, spelling, sql, toxicity, urls, whitening
+from trajlake.llm import chat, decontaminate, extraction, langid, mixing, neardup, pii, quality, secrets, spelling, sql, toxicity, urls, whitening
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_near_duplicates": neardup.op9,
     "op10_quality_rules": quality.op10,
     "op11_spelling_variants": spelling.op11,
+    "op12_html_extraction": extraction.op12,
     "op13_embedding_whitening": whitening.op13,
 }
 ORACLE: dict[str, str] = {
