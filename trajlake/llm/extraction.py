@@ -1,9 +1,9 @@
 """Main text of web pages: structure names the article, site templates are counted per host and removed.
 
 Every element that is not inline has a hash of its subtree (tags and text).  Spark counts on how many different pages of
-a host a subtree stands, and subtrees that recur across many of them are template: beside the content from
-``OUTSIDE_SHARE`` of the host's pages (notices and adverts rotate), within it, where a passage may recur by itself, from
-``INSIDE_SHARE``.  The content is the article, or the main element, or the whole body where there is neither.  Pages
+a host a subtree stands, and subtrees that recur across many of them are template, wherever they stand: if they recur
+beside the content, from ``OUTSIDE_SHARE`` of the host's pages (notices and adverts rotate), if within it, where a
+passage may recur by itself, from ``INSIDE_SHARE``.  What lies in marked furniture is not counted apart.  The content is the article, or the main element, or the whole body where there is neither.  Pages
 count as different by the smallest hash of their content's three-word shingles, so that copies and near copies of one
 text, which share all its subtrees, count once.  A second pass deletes the templates with what tags, roles and class
 names mark as menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments, and returns the rest of
@@ -23,7 +23,8 @@ from hashlib import blake2b
 from html.parser import HTMLParser
 from zlib import crc32
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,9 @@ from trajlake.llm.urls import host_of
 OUTSIDE_SHARE, OUTSIDE_PAGES = 0.01, 3
 INSIDE_SHARE, INSIDE_PAGES = 0.7, 20
 SHINGLE = 3
+MIX = np.uint64(0x9E3779B97F4A7C15)
 PAGE = 0
+SEEN = pa.schema([("host", pa.string()), ("subtree", pa.int64()), ("inside", pa.bool_()), ("sketch", pa.int64())])
 
 # Element names of the HTML standard, by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,7 +60,7 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.tags, self.marked, self.inside, self.hashes = [], [], [], []
+        self.tags, self.marked, self.inside, self.covered, self.hashes = [], [], [], [], []
         self.parts: list[list[bytes]] = []
         self.open: list[int] = []
         self.counts: dict[str, int] = {}
@@ -77,6 +80,8 @@ class Page(HTMLParser):
         content = self.counts.get("article", 0) + self.counts.get("main", 0) > 0
         self.tags.append(tag)
         self.inside.append(content)
+        parent = self.open[-1] if self.open else -1
+        self.covered.append(parent >= 0 and (self.covered[parent] or self.marked[parent]))
         self.marked.append(self._furniture(tag, attrs, content))
         self.hashes.append(0)
         self.parts.append([])
@@ -157,8 +162,13 @@ class Page(HTMLParser):
                 return found
         return set()
 
-    def blocks(self, template: frozenset[tuple[int, bool]] | set[tuple[int, bool]]) -> list[str]:
-        """The content's blocks without furniture and without the listed (hash, inside) subtrees."""
+    def counted(self) -> set[tuple[int, bool]]:
+        """(hash, inside) of the subtrees to count: not inline, with text, and not within furniture."""
+        rows = zip(self.hashes, self.inside, self.covered, self.tags, strict=True)
+        return {(h, inside) for h, inside, covered, tag in rows if h and not covered and tag not in INLINE}
+
+    def blocks(self, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
+        """The content's blocks without furniture and without the listed subtrees."""
         wanted = self.content()
         out, text = [], []
         taken, dropped = 0 if wanted else 1, 0
@@ -181,7 +191,7 @@ class Page(HTMLParser):
                 text.append(" ")
             if element in wanted:
                 taken += step
-            elif self.marked[element] or (self.hashes[element], self.inside[element]) in template:
+            elif self.marked[element] or self.hashes[element] in template:
                 dropped += step
         end_block()
         return out
@@ -189,27 +199,31 @@ class Page(HTMLParser):
 
 def _sketch(blocks: list[str]) -> int:
     """The smallest hash of three words in a row: equal for texts that are largely the same."""
-    words = " ".join(blocks).split()
-    if len(words) < SHINGLE:
-        return crc32(" ".join(words).encode("utf-8", "surrogatepass"))
-    return min(crc32(" ".join(w).encode("utf-8", "surrogatepass")) for w in zip(*(words[k:] for k in range(SHINGLE)), strict=False))
-
-
-def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    words = " ".join(blocks).encode("utf-8", "surrogatepass").split()
+    codes = np.fromiter(map(crc32, words), np.uint64, len(words))
+    if len(codes) < SHINGLE:
+        return crc32(b" ".join(words))
+    rolled = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
+    for k in range(SHINGLE):
+        rolled = (rolled ^ codes[k : len(codes) - SHINGLE + 1 + k]) * MIX
+        rolled ^= rolled >> np.uint64(29)
+    return int(rolled.min() >> np.uint64(1))
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for host, html in zip(batch["host"], batch["html"], strict=True):
-            page = Page(html)
-            sketch = _sketch(page.blocks(frozenset()))
-            found = {(h, i) for h, i, t in zip(page.hashes, page.inside, page.tags, strict=True) if h and t not in INLINE}
-            rows += [(host, h, i, sketch) for h, i in found | {(PAGE, False)}]
-        yield pd.DataFrame(rows, columns=["host", "subtree", "inside", "sketch"])
+            page = Page(html.as_py())
+            host, sketch = host.as_py(), _sketch(page.blocks())
+            rows += [(host, subtree, inside, sketch) for subtree, inside in page.counted() | {(PAGE, False)}]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SEEN.types, strict=True)], schema=SEEN) if rows else SEEN.empty_table().to_batches()[0]
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template: array of (subtree, inside)) of ``pages`` (host, html)."""
+    """(host, template: array of subtree hashes) of ``pages`` (host, html)."""
     seen = pages.filter((F.col("host") != "") & F.col("html").isNotNull()).select("host", "html")
-    seen = seen.mapInPandas(_subtrees, "host string, subtree long, inside boolean, sketch long").distinct()
+    seen = seen.mapInArrow(_subtrees, "host string, subtree long, inside boolean, sketch long").distinct()
     counted = seen.groupBy("host", "subtree", "inside").agg(F.count("*").alias("pages")).filter((F.col("subtree") == PAGE) | (F.col("pages") >= OUTSIDE_PAGES))
     # A host's own row and those of its subtrees meet in one aggregation.
     listed = F.collect_list(F.when(F.col("subtree") != PAGE, F.struct("subtree", "inside", "pages")))
@@ -217,23 +231,24 @@ def templates(pages: DataFrame) -> DataFrame:
     share = lambda x: F.when(x["inside"], F.lit(INSIDE_SHARE)).otherwise(F.lit(OUTSIDE_SHARE)) * F.col("all")
     least = lambda x: F.when(x["inside"], F.lit(INSIDE_PAGES)).otherwise(F.lit(OUTSIDE_PAGES))
     kept = F.filter("listed", lambda x: (x["pages"] >= share(x)) & (x["pages"] >= least(x)))
-    return hosts.select("host", F.transform(kept, lambda x: F.struct(x["subtree"].alias("subtree"), x["inside"].alias("inside"))).alias("template")).filter(F.size("template") > 0)
+    return hosts.select("host", F.array_distinct(F.transform(kept, lambda x: x["subtree"])).alias("template")).filter(F.size("template") > 0)
 
 
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for html, template in zip(batch["html"], batch["template"], strict=True):
-            gone = set() if template is None else {(t["subtree"], t["inside"]) for t in template}
-            texts.append("\n".join(Page(html or "").blocks(gone)))
-        yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        texts = [
+            "\n".join(Page(html.as_py() or "").blocks(set(template.values.to_numpy().tolist()) if template.is_valid else frozenset()))
+            for html, template in zip(batch["html"], batch["template"], strict=True)
+        ]
+        lengths = pa.array([len(t) for t in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), lengths], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html)."""
-    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    rows = pages.select(F.col("page_id").cast("long"), "url", host_of(F.col("url")).alias("host"), "html")
     joined = rows.join(written(templates(rows)), "host", "left").select("page_id", "url", "html", "template")
-    return joined.mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 
 def op12(spark, sf_dir: str) -> DataFrame:

@@ -21,4 +21,6 @@ ORACLE: dict[str, str] = {
     "op4_chat_formatting": sql.CHAT,
     "op7_mixing": sql.MIXING,
     "op9_near_duplicates": sql.NEAR_DUPLICATES,
+    "op11_spelling_variants": sql.SPELLING_VARIANTS,
+    "op12_html_extraction": sql.HTML_EXTRACTION,
 }

