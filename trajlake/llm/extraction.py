@@ -3,11 +3,12 @@
 Every element that is not inline has a hash of its subtree (tags and text).  Spark counts on how many different pages of
 a host a subtree stands, and subtrees that recur across many of them are template, wherever they stand: if they recur
 beside the content, from ``OUTSIDE_SHARE`` of the host's pages (notices and adverts rotate), if within it, where a
-passage may recur by itself, from ``INSIDE_SHARE``.  What lies in marked furniture is not counted apart.  The content is the article, or the main element, or the whole body where there is neither.  Pages
-count as different by the smallest hash of their content's three-word shingles, so that copies and near copies of one
-text, which share all its subtrees, count once.  A second pass deletes the templates with what tags, roles and class
-names mark as menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments, and returns the rest of
-the content, one line per block.  A host with few pages shows no recurrence; there the markup alone decides.
+passage may recur by itself, from ``INSIDE_SHARE``.  What lies in marked furniture is not counted apart.  The content is
+the article, or the main element, or the whole body where there is neither.  Pages count as different by the smallest
+hash of three words in a row in their longest block, so that copies and near copies of one text, which share all its
+subtrees, count about once.  A second pass deletes the templates with what tags, roles and class names mark as menus,
+headers, footers, sidebars, notices, adverts, forms, scripts and comments, and returns the rest of the content, one line
+per block.  A host with few pages shows no recurrence; there the markup alone decides.
 
 Defined results: NULL or empty html has an empty text; a NULL URL or one without a host has no templates, only the
 structural rules; unclosed and misnested elements end with the element around them; very long pages are read whole;
@@ -36,6 +37,7 @@ INSIDE_SHARE, INSIDE_PAGES = 0.7, 20
 SHINGLE = 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 PAGE = 0
+UNFINISHED = re.compile("<[a-zA-Z/!?]")
 SEEN = pa.schema([("host", pa.string()), ("subtree", pa.int64()), ("inside", pa.bool_()), ("sketch", pa.int64())])
 
 # Element names of the HTML standard, by what they mean here.
@@ -66,6 +68,8 @@ class Page(HTMLParser):
         self.counts: dict[str, int] = {}
         self.events: list[tuple[int, str | None]] = []
         self.feed(html)
+        if UNFINISHED.match(self.rawdata):
+            self.rawdata = ""
         self.close()
         self._close_to(0)
         if "article" not in self.counts and "main" not in self.counts:
@@ -198,8 +202,8 @@ class Page(HTMLParser):
 
 
 def _sketch(blocks: list[str]) -> int:
-    """The smallest hash of three words in a row: equal for texts that are largely the same."""
-    words = " ".join(blocks).encode("utf-8", "surrogatepass").split()
+    """The smallest hash of three words in a row in the longest block: equal for texts that are largely the same."""
+    words = max(blocks, key=len, default="").encode("utf-8", "surrogatepass").split()
     codes = np.fromiter(map(crc32, words), np.uint64, len(words))
     if len(codes) < SHINGLE:
         return crc32(b" ".join(words))
