@@ -53,7 +53,7 @@ def test_prepare_roads(spark):
     segs = spark.createDataFrame([(0.0, 0.0, 10.0, 0.0, 4), (0.0, 0.0, 1.0, 0.0, 6), (0.0, 0.0, 1.0, 0.0, 7)], "x0 double, y0 double, x1 double, y1 double, road_type int")
     got = sorted((r["draw_pass"], r["draw_type"], r["x0"], r["x1"], r["width"]) for r in rd.prepare_roads(segs).collect())
     assert got == [(0, 12, 0.0, 1.0, 0.25), (1, 11, -2.25, 12.25, 4.5)]
-    with pytest.raises(Exception, match="already contain"):
+    with pytest.raises(Exception, match="only this step may give"):
         rd.prepare_roads(segs.withColumn("road_type", F.lit(11))).collect()
 
 

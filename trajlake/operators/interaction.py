@@ -18,7 +18,7 @@ from trajlake.functions.geometry import (
     with_box_distance,
     world_to_ego,
 )
-from trajlake.operators.grid import cover_cells, expanding_search, extent, with_cell
+from trajlake.operators.grid import box_join, cover_cells, nearest_candidates, with_cell
 
 FRAME = ["scenario_id", "rollout", "step"]
 FAR = 1e10
@@ -49,83 +49,58 @@ def _other() -> Box:
     return Box(*[F.col(f"o_{c}") for c in ("x", "y", "length", "width", "hx", "hy")])
 
 
-def _candidates(points: DataFrame, targets: DataFrame, frame: list[str], radius: float, how: str) -> DataFrame:
-    """Pairs whose centres are within ``radius`` plus the half diagonal of the other box."""
-    # Cells of twice the radius keep the replication of the target side near four.
-    size = 2 * radius
-    left = with_cell(points, F.col("x"), F.col("y"), size)
-    reach = F.lit(radius) + _half_diagonal()
-    right = cover_cells(targets, F.col("x") - reach, F.col("x") + reach, F.col("y") - reach, F.col("y") + reach, size)
-    right = _renamed(right, [*frame, *_CELL_KEYS])
-    dx, dy = F.col("o_x") - F.col("x"), F.col("o_y") - F.col("y")
-    wide = F.lit(radius) + F.hypot(F.col("o_length"), F.col("o_width")) / 2
-    near = (F.col("agent_id") != F.col("o_agent_id")) & (dx * dx + dy * dy <= wide * wide)
-    keys = [*frame, *_CELL_KEYS]
-    on = near
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"r_{k}"))
-    right = right.withColumnsRenamed({k: f"r_{k}" for k in keys})
-    return left.join(right, on, how).drop(*[f"r_{k}" for k in keys], *_CELL_KEYS)
+def _bounds(prefix: str = "", more: Column | float = 0.0) -> tuple[Column, Column, Column, Column]:
+    """Axis-aligned bounds (x0, x1, y0, y1) of a turned box, ``more`` metres wider on every side."""
+    x, y, length, width, hx, hy = (F.col(prefix + c) for c in ("x", "y", "length", "width", "hx", "hy"))
+    more = F.lit(more) if isinstance(more, float) else more
+    ex, ey = (F.abs(hx) * length + F.abs(hy) * width) / 2 + more, (F.abs(hy) * length + F.abs(hx) * width) / 2 + more
+    return x - ex, x + ex, y - ey, y + ey
 
 
 def pairwise_distances(state: DataFrame, max_range: float = 40.0, frame: list[str] = FRAME) -> DataFrame:
     """Signed box distance of every ordered pair of valid agents whose boxes are within ``max_range``."""
     boxes = _boxes(_valid(state), frame)
-    # A box gap below the range needs centres within range plus both half diagonals.
-    reach = boxes.agg(F.max(_half_diagonal())).first()[0] or 0.0
-    pairs = _candidates(boxes, boxes, frame, max_range + reach, "inner")
+    pairs = box_join(boxes, _renamed(boxes, frame), frame, _bounds(more=max_range), _bounds("o_"), 2 * max_range).filter("agent_id <> o_agent_id")
     out = with_box_distance(pairs, Box.of(heading=False), _other(), "distance")
     return out.select(*frame, "agent_id", F.col("o_agent_id").alias("other_id"), "distance").filter(F.col("distance") <= max_range)
 
 
-def nearest_object(state: DataFrame, frame: list[str] = FRAME, max_range: float | None = None, start: float = 16.0) -> DataFrame:
+def nearest_object(state: DataFrame, frame: list[str] = FRAME, max_range: float | None = None, cell: float = 8.0) -> DataFrame:
     """Adds ``nearest_distance`` (signed, negative = overlap; NULL without another valid agent) to every row.
 
-    With ``max_range`` one pass is enough and farther neighbours read as NULL; without, the search
-    grows until every row is settled.
+    With ``max_range`` farther neighbours read as NULL.
     """
-    targets = _boxes(_valid(state), frame)
-    points = _boxes(state, frame)
-
-    def search(pending: DataFrame, radius: float) -> DataFrame:
-        # Later rounds only look at the frames that still have an unsettled row.
-        near = targets if radius <= start else targets.join(pending.select(*frame).distinct(), frame, "left_semi")
-        pairs = _candidates(pending, near, frame, radius, "left")
-        pairs = with_box_distance(pairs, Box.of(heading=False), _other(), "_d")
-        best = pairs.groupBy(*points.columns).agg(F.min("_d").alias("nearest_distance"))
-        # Unseen boxes start beyond radius + their half diagonal, hence beyond radius - own half diagonal.
-        settled = F.coalesce(F.col("nearest_distance") <= radius - _half_diagonal(), F.lit(False))
-        return best.withColumn("settled", settled)
-
+    targets, points = _renamed(_boxes(_valid(state), frame), frame), _boxes(state, frame)
     if max_range is not None:
-        reach = points.agg(F.max(_half_diagonal())).first()[0] or 0.0
-        found = search(points, max_range + reach).drop("settled")
+        pairs = box_join(points, targets, frame, _bounds(more=max_range), _bounds("o_"), 2 * max_range)
     else:
-        found = expanding_search(points, search, start, lambda: extent([(state, ["x"], ["y"])]))
-    return state.join(found.select(*frame, "agent_id", "nearest_distance"), [*frame, "agent_id"])
+        pairs = nearest_candidates(points, targets, frame, ("o_x", "o_y"), _bounds("o_"), cell, _half_diagonal(), need=2)
+    pairs = with_box_distance(pairs.filter("agent_id <> o_agent_id"), Box.of(heading=False), _other(), "_d")
+    found = pairs.groupBy(*frame, "agent_id").agg(F.min("_d").alias("nearest_distance"))
+    if max_range is not None:
+        found = found.filter(F.col("nearest_distance") <= max_range)
+    return state.join(found, [*frame, "agent_id"], "left")
 
 
 def time_to_collision(state: DataFrame, frame: list[str] = FRAME, cell: float = 32.0, wrap_yaw: bool = False) -> DataFrame:
     """Adds ``ttc``: seconds to the followed box, capped at five; needs ``speed`` and valid others.
 
-    Only boxes closer than five seconds of own travel can change the result, so each ego looks up
-    the grid cells of its own corridor ahead rather than the whole scenario.
+    Only boxes closer than five seconds of own travel can change the result, so each ego walks along its corridor in
+    pieces of one cell and meets the boxes that stand in the cells of a piece.  Rows grow with speed, for any heading.
     """
     ego = _boxes(state, frame, "heading", "speed")
-    other = _boxes(_valid(state), frame, "heading", "speed")
-    h = _half_diagonal()
-    # Centre of a relevant box: at most this far ahead, and this far to the side, of the ego centre.
-    widest = other.agg(F.max(h)).first()[0] or 0.0
-    ahead = F.col("speed") * MAX_TTC + F.col("length") / 2 + widest
-    side = F.col("width") / 2 + widest
-    fx, fy = F.col("x") + ahead * F.col("hx"), F.col("y") + ahead * F.col("hy")
-    looking = cover_cells(
-        ego.filter(F.col("speed") > 0),
-        F.least(F.col("x"), fx) - side, F.greatest(F.col("x"), fx) + side,
-        F.least(F.col("y"), fy) - side, F.greatest(F.col("y"), fy) + side, cell,
-    )
-    right = _renamed(with_cell(other, F.col("x"), F.col("y"), cell), [*frame, *_CELL_KEYS])
-    pairs = looking.join(right, [*frame, *_CELL_KEYS]).filter(F.col("agent_id") != F.col("o_agent_id"))
+    other = _renamed(_boxes(_valid(state), frame, "heading", "speed"), frame)
+    # The corridor in pieces of a cell's length, each with the bounds of its own turned rectangle.
+    count = F.ceil(F.col("speed") * MAX_TTC / cell).cast("int")
+    pieces = ego.filter(F.col("speed") > 0).withColumn("_piece", F.explode(F.sequence(F.lit(0), count - 1)))
+    middle = F.col("length") / 2 + (F.col("_piece") + 0.5) * cell
+    long, wide = F.lit(cell / 2), F.col("width") / 2
+    ex, ey = F.abs(F.col("hx")) * long + F.abs(F.col("hy")) * wide, F.abs(F.col("hy")) * long + F.abs(F.col("hx")) * wide
+    mx, my = F.col("x") + middle * F.col("hx"), F.col("y") + middle * F.col("hy")
+    # A box whose projections overlap the corridor reaches it within half its length plus half its width.
+    r = (F.col("o_length") + F.col("o_width")) / 2
+    theirs = (F.col("o_x") - r, F.col("o_x") + r, F.col("o_y") - r, F.col("o_y") + r)
+    pairs = box_join(pieces, other, frame, (mx - ex, mx + ex, my - ey, my + ey), theirs, cell).filter(F.col("agent_id") != F.col("o_agent_id"))
     yaw = F.abs(F.col("o_heading") - F.col("heading"))
     if wrap_yaw:
         from trajlake.functions.geometry import wrap_angle
@@ -265,17 +240,11 @@ def crop_agents(frame: DataFrame, actors: DataFrame, on: list[str], radius: floa
 def placement_pairs(agents: DataFrame, by: list[str], gap: float = 0.0) -> DataFrame:
     """Unordered pairs whose circumscribed circles intersect, with their slack and whether the boxes overlap.
 
-    Circles can only meet within the sum of the two radii, so the join is on a cell twice the largest radius.
+    Each circle stands in the cells of its own square.
     """
     boxes = _boxes(agents, by)
-    reach = 2 * (boxes.agg(F.max(_half_diagonal())).first()[0] or 0.0) + gap
-    reach = max(reach, 1e-3)
-    left = with_cell(boxes, F.col("x"), F.col("y"), reach)
-    right = _renamed(
-        cover_cells(boxes, F.col("x") - reach, F.col("x") + reach, F.col("y") - reach, F.col("y") + reach, reach),
-        [*by, *_CELL_KEYS],
-    )
-    pairs = left.join(right, [*by, *_CELL_KEYS]).filter(F.col("agent_id") < F.col("o_agent_id"))
+    circle = lambda p, more: [F.col(f"{p}{c}") + s * (F.hypot(F.col(f"{p}length"), F.col(f"{p}width")) / 2 + more) for c in "xy" for s in (-1, 1)]
+    pairs = box_join(boxes, _renamed(boxes, by), by, tuple(circle("", gap)), tuple(circle("o_", 0.0)), 8.0).filter(F.col("agent_id") < F.col("o_agent_id"))
     slack = circle_slack(Box.of(heading=False), _other(), gap)
     return pairs.select(
         *by, "agent_id", F.col("o_agent_id").alias("other_id"), slack.alias("slack"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trajlake.operators.curation import hash_uniform
 from trajlake.operators.egostate import arclength
-from trajlake.operators.grid import cell_of, cover_cells, expanding_search, extent, with_cell
+from trajlake.operators.grid import box_join, cell_of, cover_cells, with_cell
 from trajlake.operators.ordered import prefix_scan
 from trajlake.session import cut_lineage
 
@@ -79,7 +79,7 @@ def lane_walk(start: DataFrame, lane: DataFrame, edges: DataFrame, distance: flo
     for hop in range(max_hops + 1):
         at = walkers.join(ways, [*on, "lane_id"], "left")
         room = F.col("length") - F.col("s")
-        step = F.least("_left", room)  # NULL for walkers that stand and for unknown lanes
+        step = F.when(F.col("_left").isNotNull() & room.isNotNull(), F.least("_left", room))  # NULL for walkers that stand and for unknown lanes
         count = F.lit(0) if hop == max_hops else F.coalesce(F.size("_ways"), F.lit(0))
         way = F.when((F.col("_left") > room) & (count > 0), F.get("_ways", F.pmod(F.xxhash64(*key, F.lit(seed), F.lit(hop)), F.greatest(count, F.lit(1))).cast("int")))
         at = at.withColumns({"_step": step, "_way": way})
@@ -122,32 +122,45 @@ def pose_at(query: DataFrame, points: DataFrame, by: list[str], bucket: float =
     )
 
 
-def sample_goal(state: DataFrame, points: DataFrame, on: list[str], ids: list[str], target: float = 30.0, start: float = 8.0) -> DataFrame:
+def sample_goal(state: DataFrame, points: DataFrame, on: list[str], ids: list[str], target: float = 30.0, ring: float = 8.0, block: float = 32.0) -> DataFrame:
     """The lane point ahead whose distance is closest to ``target``; NULL when no lane point lies ahead.
 
-    Search over rings: with radius r only points whose distance is within r of the target are looked at,
-    and a hit within r cannot be beaten by anything outside.
+    First the points whose distance is within ``ring`` of the target: a hit there cannot be beaten from outside.  Rows
+    without one are held against their map's occupied blocks: bounds on a block's distances say which blocks can
+    hold the answer, and only the points of those are looked at.
     """
     keep = list(dict.fromkeys([*ids, *on]))
     base = state.select(*keep, "x", "y", F.cos("heading").alias("hx"), F.sin("heading").alias("hy"))
-    pts = points.select(*on, F.col("polyline_id"), F.col("pt_idx"), F.col("x").alias("px"), F.col("y").alias("py"))
-
-    def search(pending: DataFrame, radius: float) -> DataFrame:
-        reach = target + radius
-        left = with_cell(pending, F.col("x"), F.col("y"), reach).withColumnsRenamed({k: f"l_{k}" for k in on} | {"cx": "l_cx", "cy": "l_cy"})
-        right = cover_cells(pts, F.col("px") - reach, F.col("px") + reach, F.col("py") - reach, F.col("py") + reach, reach)
-        dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
-        cond = (F.col("l_cx") == F.col("cx")) & (F.col("l_cy") == F.col("cy"))
-        for k in on:
-            cond = cond & (F.col(f"l_{k}") == F.col(k))
-        cond = cond & (dx * F.col("hx") + dy * F.col("hy") > 0) & (F.abs(F.hypot(dx, dy) - target) <= radius)
-        j = left.join(right, cond, "left").drop(*on, "cx", "cy", "l_cx", "l_cy").withColumnsRenamed({f"l_{k}": k for k in on})
-        item = F.when(F.col("px").isNotNull(), F.struct(F.abs(F.hypot(dx, dy) - target).alias("err"), "polyline_id", "pt_idx", "px", "py"))
-        best = j.groupBy(*base.columns).agg(F.min(item).alias("_b"))
-        return best.select(*base.columns, F.col("_b.px").alias("goal_x"), F.col("_b.py").alias("goal_y"), F.col("_b").isNotNull().alias("settled"))
-
-    found = expanding_search(base, search, start, lambda: extent([(state, ["x"], ["y"]), (points, ["x"], ["y"])]))
-    return found.select(*keep, "goal_x", "goal_y")
+    pts = points.select(*on, "polyline_id", "pt_idx", F.col("x").alias("px"), F.col("y").alias("py"))
+    dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
+    ahead, error = dx * F.col("hx") + dy * F.col("hy") > 0, F.abs(F.hypot(dx, dy) - target)
+    item = F.struct(error.alias("err"), "polyline_id", "pt_idx", "px", "py")
+    reach = target + ring
+    around = (F.col("x") - reach, F.col("x") + reach, F.col("y") - reach, F.col("y") + reach)
+    met = box_join(base, pts, on, around, (F.col("px"), F.col("px"), F.col("py"), F.col("py")), 2 * reach).filter(ahead & (error <= ring))
+    first = met.groupBy(*keep).agg(F.min(item).alias("_b"))
+    first = cut_lineage(base.join(first, keep, "left"))
+
+    blocks = pts.withColumns({"_bx": cell_of(F.col("px"), block), "_by": cell_of(F.col("py"), block)})
+    bounds = blocks.groupBy(*on, "_bx", "_by").agg(F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"))
+    open_ = first.filter("_b is null").drop("_b")
+    seen = open_.join(bounds, on)
+    corner = lambda a, b: (F.col(a) - F.col("x")) * F.col("hx") + (F.col(b) - F.col("y")) * F.col("hy")
+    dots = [corner(a, b) for a in ("x0", "x1") for b in ("y0", "y1")]
+    gap = lambda lo, hi, at: F.greatest(F.col(lo) - F.col(at), F.col(at) - F.col(hi), F.lit(0.0))
+    wide = lambda lo, hi, at: F.greatest(F.abs(F.col(lo) - F.col(at)), F.abs(F.col(hi) - F.col(at)))
+    seen = seen.withColumns({"_near": F.hypot(gap("x0", "x1", "x"), gap("y0", "y1", "y")), "_far": F.hypot(wide("x0", "x1", "x"), wide("y0", "y1", "y"))})
+    seen = seen.filter(F.greatest(*dots) > 0).withColumns({
+        "_least": F.greatest(F.col("_near") - target, target - F.col("_far"), F.lit(0.0)),
+        "_most": F.when(F.least(*dots) > 0, F.greatest(F.abs(F.col("_near") - target), F.abs(F.col("_far") - target))),
+    })
+    best = F.min("_most").over(Window.partitionBy(*keep))
+    slack = 1e-9  # bounds and distances round differently
+    chosen = seen.withColumn("_best", best).filter(F.coalesce(F.col("_least") <= F.col("_best") + slack, F.lit(True)))
+    rest = chosen.select(*open_.columns, "_bx", "_by").join(blocks, [*on, "_bx", "_by"]).filter(ahead)
+    rest = rest.groupBy(*keep).agg(F.min(item).alias("_b"))
+    out = first.filter("_b is not null").select(*keep, "_b").union(open_.join(rest, keep, "left").select(*keep, "_b"))
+    return out.select(*keep, F.col("_b.px").alias("goal_x"), F.col("_b.py").alias("goal_y"))
 
 
 def fallback_goal(found: DataFrame, initial: DataFrame, scene: list[str], order: str) -> DataFrame:

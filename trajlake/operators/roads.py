@@ -19,7 +19,7 @@ from trajlake.functions.geometry import (
     world_to_ego,
     wrap_angle,
 )
-from trajlake.operators.grid import CELL, cell_of, cover_cells, expanding_search, extent, spiral, with_cell
+from trajlake.operators.grid import CELL, box_join, cell_of, cover_cells, nearest_candidates, spiral, with_cell
 
 # Road type codes.
 LANE, LINE, EDGE, STOP_SIGN, CROSSWALK, SPEED_BUMP, DRIVEWAY = 4, 5, 6, 7, 8, 9, 10
@@ -132,34 +132,28 @@ def _with_candidates(
 
 def road_edge_distance(
     state: DataFrame, edges: DataFrame, on: list[str] = ["scenario_id"], ids: list[str] = ["scenario_id", "agent_id", "rollout", "step"],
-    start: float = 3.0,
+    cell: float = 2.0, tolerance: float | None = 1e-3,
 ) -> DataFrame:
     """Adds ``road_edge_distance``: the largest signed corner distance to its nearest edge segment.
 
-    NULL where the map has no edge; positive means off-road.
+    NULL where the map has no edge; positive means off-road.  Polylines whose ends meet within ``tolerance`` are closed,
+    so that the segments at their seam know each other; ``None`` leaves them open.
     """
     keep = list(dict.fromkeys([*ids, *on]))
+    if tolerance is not None:
+        edges = close_seams(edges, [*on, "polyline_id"], tolerance)
     known = state.join(edges.select(*on).distinct(), on, "left_semi")
     points = (
         known.select(*keep, F.posexplode(box_corners(Box.of())).alias("corner", "c"))
         .select(*keep, "corner", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
     )
     segs = edges.select(*on, *_SEG, "xp", "yp", "x2", "y2")
-
-    def search(pending: DataFrame, radius: float) -> DataFrame:
-        # Later rounds only replicate the maps that still have an unsettled corner.
-        near = segs if radius <= start else segs.join(pending.select(*on).distinct(), on, "left_semi")
-        pairs = _with_candidates(pending, near, on, radius).withColumnsRenamed({"x": "px", "y": "py"})
-        # Ranked by the true distance: the signed one is zero on the extended line of a segment.
-        item = F.when(F.col("polyline_id").isNotNull(), F.struct("_d", "polyline_id", "seg_idx", "_s"))
-        best = _with_signed_distance(pairs).groupBy(*keep, "corner", "px", "py").agg(F.min(item).alias("_n"))
-        return best.select(
-            *keep, "corner", F.col("px").alias("x"), F.col("py").alias("y"), F.col("_n._s").alias("signed"),
-            F.coalesce(F.col("_n._d") <= radius, F.lit(False)).alias("settled"),
-        )
-
-    found = expanding_search(points, search, start, lambda: extent([(state, ["x"], ["y"]), (edges, ["x0", "x1"], ["y0", "y1"])]))
-    return state.join(found.groupBy(*ids).agg(F.max("signed").alias("road_edge_distance")), ids, "left")
+    bounds = (F.least("x0", "x1"), F.greatest("x0", "x1"), F.least("y0", "y1"), F.greatest("y0", "y1"))
+    pairs = nearest_candidates(points, segs, on, ("x0", "y0"), bounds, cell, few=0).withColumnsRenamed({"x": "px", "y": "py"})
+    # Ranked by the true distance: the signed one is zero on the extended line of a segment.
+    item = F.when(F.col("polyline_id").isNotNull(), F.struct("_d", "polyline_id", "seg_idx", "_s"))
+    best = _with_signed_distance(pairs).groupBy(*keep, "corner").agg(F.min(item).alias("_n"))
+    return state.join(best.groupBy(*ids).agg(F.max("_n._s").alias("road_edge_distance")), ids, "left")
 
 
 def nearest_lane(
@@ -222,8 +216,10 @@ def offroad_flags(
     crossing = F.lit(False)
     for i in range(4):
         crossing = crossing | segments_intersect(corners[i], corners[(i + 1) % 4], (F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1")))
-    reach = movers.agg(F.max(F.hypot("length", "width"))).first()[0] or 1.0
-    hits = _with_candidates(movers, edges.select(*on, *_SEG), on, max(reach / 2, 4.0), "inner").filter(crossing).select(*ids).distinct()
+    xs, ys = F.array(*[c[0] for c in corners]), F.array(*[c[1] for c in corners])
+    own = (F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys))
+    theirs = (F.least("x0", "x1"), F.greatest("x0", "x1"), F.least("y0", "y1"), F.greatest("y0", "y1"))
+    hits = box_join(movers, edges.select(*on, *_SEG), on, own, theirs, 8.0).filter(crossing).select(*ids).distinct()
     out = state.join(hits.withColumn("_hit", F.lit(True)), ids, "left").withColumn("offroad", F.coalesce("_hit", F.lit(False))).drop("_hit")
     if lanes is not None:
         near = _with_candidates(boxes, lanes.select(*on, *_SEG), on, lane_width / 2, "inner").filter(

@@ -55,6 +55,16 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def crowd(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
+    """The log with all users of a track and step in one frame: blocks of agents, some of them apart."""
+    base = log(spark, sf) if base is None else base
+    u = F.col("agent_id")
+    return base.withColumns({
+        "scenario_id": F.expr(f"scenario_id div {_SHIFT}"), "x": F.col("x") + (u % 13) * F.lit(6.0) + F.when(u % 29 == 0, 400.0).otherwise(0.0),
+        "y": F.col("y") + F.expr("agent_id div 13") * F.lit(1.5), "rollout": F.lit(-1).cast("long"),
+    })
+
+
 def sim(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     """Simulated agents: four deterministic perturbations of the log."""
     base = log(spark, sf) if base is None else base
@@ -146,6 +156,9 @@ SQL = {
          1 + (user_id % 7) % 3 as object_type, cast((idx % {TRACK}) * 100000 + k * 1000 as bigint) as timestamp_micros
   from (select user_id, event_type, value, {_K} as k,
                row_number() over (partition by user_id order by ts, event_id) - 1 as idx from events))""",
+    "crowd": f"""crowd as (
+  select * replace (scenario_id // {_SHIFT} as scenario_id, x + 6.0e0 * (agent_id % 13) + case when agent_id % 29 = 0 then 400.0e0 else 0.0e0 end as x,
+         y + 1.5e0 * (agent_id // 13) as y), cast(-1 as bigint) as rollout from log)""",
     "sim": f"""sim as (
   select scenario_id, map_id, agent_id, rollout, step, x + 0.25e0 * rollout * (agent_id % 7 - 3) as x,
          y + 0.125e0 * (rollout - 1) as y, heading + 0.0625e0 * rollout as heading, length, width, object_type
@@ -181,7 +194,7 @@ SQL = {
   select cast(label as bigint) as segment_id, vec_id, cast(embedding as double[]) as target,
          list_reverse(cast(embedding as double[])) as pred from embeddings)""",
 }
-_NEEDS = {"sim": ["log"], "road_segment": ["road_point"]}
+_NEEDS = {"sim": ["log"], "crowd": ["log"], "road_segment": ["road_point"]}
 
 
 def with_views(body: str, *names: str) -> str:

@@ -68,6 +68,17 @@ def _(spark, sf):
     return n.select(*RID, r6("nearest_distance").alias("nearest_distance"), (F.col("nearest_distance") < 0).alias("collision"))
 
 
+CROWD = box_distance_sql(PAIRS.format(src="crowd", valid="b.valid"), PAIR_IDS)
+
+
+@query("c05_nearest_object_crowd", px.with_views(
+    f"""{CROWD}, nearest as (select scenario_id, step, agent_id, min(distance) as nearest_distance from dist group by scenario_id, step, agent_id)
+    select scenario_id, step, agent_id, {r('nearest_distance', 'nearest_distance')} from crowd left join nearest using (scenario_id, step, agent_id)""", "crowd"))
+def _(spark, sf):
+    n = ia.nearest_object(cut_lineage(px.crowd(spark, sf)))
+    return n.select("scenario_id", "step", "agent_id", r6("nearest_distance").alias("nearest_distance"))
+
+
 TTC = """
 , tp as (select a.scenario_id, a.rollout, a.step, a.agent_id, b.agent_id as other_id, b.speed as other_speed, abs(b.heading - a.heading) as yaw,
     (b.x - a.x) * cos(a.heading) + (b.y - a.y) * sin(a.heading) as rx, (b.y - a.y) * cos(a.heading) - (b.x - a.x) * sin(a.heading) as ry,
