@@ -79,18 +79,36 @@ def test_sample_agents_joint_rows(spark):
 
 
 def test_dedupe_displacement_goldens(spark):
-    def kept(xs, thr, piece=500000):
+    def kept(xs, thr):
         df = spark.createDataFrame([("t", i, float(x), 0.0) for i, x in enumerate(xs)], "town string, i long, x double, y double")
-        return sorted(r["i"] for r in sq.dedupe_displacement(df, ["town"], ["i"], thr, piece=piece).collect())
+        return sorted(r["i"] for r in sq.dedupe_displacement(df, ["town"], ["i"], thr).collect())
 
     assert kept([0, 70, 70, 110], 25) == [0, 1, 3]
     assert kept([0, 5, 9, 12], 25) == [0]
     assert kept([0, 5, 9, 12], 0) == [0, 1, 2, 3]
+
+
+def test_dedupe_displacement_equals_the_walk(spark):
+    # A drive, a long stay with jitter around a ring that reaches no farther than the threshold, NULL towns and a lone row.
     rnd = random.Random(4)
-    xs = [0.0]
-    for _ in range(60):
-        xs.append(xs[-1] + rnd.uniform(-3, 9))
-    assert kept(xs, 12, piece=7) == kept(xs, 12)
+    tracks, at = {"a": [], None: [], "lone": [(1.0, 1.0)], "ring": []}, [0.0, 0.0]
+    for k in range(700):
+        stay = 200 < k < 600
+        at = [at[0] + rnd.uniform(-0.1, 0.1), at[1]] if stay else [at[0] + rnd.uniform(-3, 9), at[1] + rnd.uniform(-2, 2)]
+        tracks["a"].append(tuple(at))
+    for k in range(300):
+        tracks["ring"].append((11.0 * math.cos(k), 11.0 * math.sin(k)) if k else (0.0, 0.0))
+        tracks[None].append((rnd.uniform(0, 40), rnd.uniform(0, 40)))
+    rows = [(t, i, x, y) for t, pts in tracks.items() for i, (x, y) in enumerate(pts)]
+    got = {(r["town"], r["i"]) for r in sq.dedupe_displacement(spark.createDataFrame(rows, "town string, i long, x double, y double"), ["town"], ["i"], 12.0).collect()}
+    want = set()
+    for t, pts in tracks.items():
+        last = None
+        for i, p in enumerate(pts):
+            if last is None or math.dist(p, last) >= 12.0:
+                last = p
+                want.add((t, i))
+    assert got == want
 
 
 def test_track_route_monotone(spark):
@@ -102,6 +120,22 @@ def test_track_route_monotone(spark):
     assert out[-1]["completion"] == 1.0 and out[2]["deviation"] == pytest.approx(1.0)
 
 
+def test_track_route_streams_long_drives_and_keeps_poses_without_a_route(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        route = spark.createDataFrame([(e, i, 2.0 * i, 0.0, i % 40 == 39) for e in ("e", "f") for i in range(300)] + [("g", 0, 0.0, 0.0, False)], "ep string, pt_idx long, x double, y double, is_goal boolean")
+        pose = spark.createDataFrame([(e, t, 1.1 * t + (0.3 if e == "f" else 0.0), 1.0) for e in ("e", "f", "g", None) for t in range(400)], "ep string, t long, x double, y double")
+        out = sq.track_route(pose, route, ["ep"], "t", radius=1.0).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(out) == 1600 and all(r["route_index"] is None and r["completion"] is None for r in out if r["ep"] in ("g", None))
+    for e, shift in (("e", 0.0), ("f", 0.3)):
+        mine = sorted((r for r in out if r["ep"] == e), key=lambda r: r["t"])
+        want = [min(299, math.floor((1.1 * t + shift) / 2 + 0.5 - 1e-9)) for t in range(400)]
+        assert all(abs(r["route_index"] - w) <= 1 for r, w in zip(mine, want, strict=True))
+        assert [r["goal_cursor"] for r in mine] == [sum(2.0 * g - 1.0 <= 2.0 * r["route_index"] for g in range(39, 299, 40)) for r in mine]
+
+
 def ego(spark, poses, **kw):
     rows = [("s", int(1e5 * i), [math.cos(h), -math.sin(h), 0.0, x, math.sin(h), math.cos(h), 0.0, y, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]) for i, (x, y, h) in enumerate(poses)]
     df = spark.createDataFrame(rows, "segment_id string, timestamp_micros long, pose array<double>")

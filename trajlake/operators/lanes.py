@@ -67,21 +67,21 @@ def lane_walk(start: DataFrame, lane: DataFrame, edges: DataFrame, distance: flo
 
     One relation of walkers, each with what it still has to go (``_left``, NULL once it stands), and one left join per
     hop with one row per lane, which lists the few successors of known length.  A walker whose lane has no known
-    length stays where it is; at a dead end it stops at the end of its lane.  The lineage is cut every few hops, and
-    the loop ends as soon as nobody moves.
+    length stays where it is; at a dead end it stops at the end of its lane.  Every few hops the lineage is cut and
+    those who stand leave the working set; the loop ends as soon as nobody moves.
     """
     lengths = lane.select(*on, "lane_id", "length")
     named = lengths.select(*on, F.col("lane_id").alias("successor"), F.col("length").alias("slen"))
     ways = edges.join(named, [*on, "successor"]).groupBy(*on, "lane_id").agg(F.sort_array(F.collect_list(F.struct("successor", "slen"))).alias("_ways"))
     ways = cut_lineage(lengths.join(ways, [*on, "lane_id"], "left"))
     cols = [*on, *key, "lane_id", "s", "travelled"]
-    walkers = start.withColumns({"travelled": F.lit(0.0), "_left": F.lit(float(distance))})
+    walkers, standing = start.withColumns({"travelled": F.lit(0.0), "_left": F.lit(float(distance))}), []
     for hop in range(max_hops + 1):
         at = walkers.join(ways, [*on, "lane_id"], "left")
         room = F.col("length") - F.col("s")
         step = F.when(F.col("_left").isNotNull() & room.isNotNull(), F.least("_left", room))  # NULL for walkers that stand and for unknown lanes
         count = F.lit(0) if hop == max_hops else F.coalesce(F.size("_ways"), F.lit(0))
-        way = F.when((F.col("_left") > room) & (count > 0), F.get("_ways", F.pmod(F.xxhash64(*key, F.lit(seed), F.lit(hop)), F.greatest(count, F.lit(1))).cast("int")))
+        way = F.when((F.col("_left") > room) & (count > 0), F.get("_ways", F.floor(hash_uniform(*key, F.lit(seed), F.lit(hop)) * count).cast("int")))
         at = at.withColumns({"_step": step, "_way": way})
         walkers = at.select(
             *on, *key, F.coalesce("_way.successor", "lane_id").alias("lane_id"),
@@ -89,11 +89,16 @@ def lane_walk(start: DataFrame, lane: DataFrame, edges: DataFrame, distance: flo
             (F.col("travelled") + F.coalesce("_step", F.lit(0.0))).alias("travelled"),
             F.when(F.col("_way").isNotNull(), F.col("_left") - F.col("_step")).alias("_left"),
         )
-        if hop % every == every - 1 or hop == 0:
+        if hop % every == every - 1 or hop in (0, max_hops):
             walkers = cut_lineage(walkers)
-            if walkers.filter("_left is not null").isEmpty():
+            standing.append(walkers.filter("_left is null").select(*cols))
+            walkers = walkers.filter("_left is not null")
+            if walkers.isEmpty():
                 break
-    return walkers.select(*cols)
+    out = standing[0]
+    for part in [*standing[1:], walkers.select(*cols)]:
+        out = out.unionByName(part)
+    return out
 
 
 def pose_at(query: DataFrame, points: DataFrame, by: list[str], bucket: float = 10.0) -> DataFrame:

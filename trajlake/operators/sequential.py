@@ -1,8 +1,8 @@
-"""Operators whose next step depends on the last kept row: bounded pieces, carried state."""
+"""Operators whose next step depends on the last one: pointers that double, and folds in one pass over sorted rows."""
 
 from __future__ import annotations
 
-from itertools import accumulate
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,116 +10,157 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajlake.operators.ordered import null_safe_join, with_index
+from trajlake.operators.ordered import with_index
 from trajlake.session import cut_lineage
 
-PIECE = 500_000
+FAN = 16
 
 
-def keep_moved(x: np.ndarray, y: np.ndarray, threshold: float, start: tuple[float, float] | None) -> np.ndarray:
-    """Mask of rows at least ``threshold`` from the last kept one; ``start`` is the one kept before."""
-    mask = np.zeros(len(x), bool)
-    last = start
-    for i in range(len(x)):
-        if last is None or (x[i] - last[0]) ** 2 + (y[i] - last[1]) ** 2 >= threshold * threshold:
-            mask[i], last = True, (x[i], y[i])
-    return mask
+def first_far(rows: DataFrame, threshold: float, x: str, y: str) -> DataFrame:
+    """(_group, _i, _next): for each row the first later row of its group at least ``threshold`` away, if any.
 
-
-def dedupe_displacement(df: DataFrame, by: list[str], order: list[str], threshold: float, x: str = "x", y: str = "y", piece: int = PIECE) -> DataFrame:
+    ``rows`` has ``_group`` and a dense position ``_i``.  Blocks of ``FAN`` rows, of ``FAN`` blocks and so on have bounding
+    boxes.  Each row looks along the siblings after it, climbs where they all lie within the threshold, and descends into
+    the first one that reaches beyond it; single rows are the lowest blocks, so the answer is exact.  All rows move
+    at once, and the rounds follow the logarithm of how far ahead the answers lie.
+    """
+    depth, last = 0, rows.agg(F.max("_i")).first()[0] or 0
+    while last >= FAN ** (depth + 1):
+        depth += 1
+    point = rows.select("_group", F.col("_i").alias("_block"), F.lit(0).alias("_level"), *[F.col(c).cast("double").alias(n) for n, c in (("_x0", x), ("_x1", x), ("_y0", y), ("_y1", y))])
+    levels, low = [point], point
+    for level in range(1, depth + 1):
+        low = cut_lineage(low.groupBy("_group", F.expr(f"_block div {FAN}").alias("_block")).agg(*[f(c).alias(c) for f, c in ((F.min, "_x0"), (F.max, "_x1"), (F.min, "_y0"), (F.max, "_y1"))]))
+        levels.append(low.select("_group", "_block", F.lit(level).alias("_level"), "_x0", "_x1", "_y0", "_y1"))
+    blocks = levels[0]
+    for more in levels[1:]:
+        blocks = blocks.union(more)
+    names = {"_group": "_g", "_block": "_b", "_level": "_l"}
+    blocks = cut_lineage(blocks).withColumnsRenamed(names)
+    state = rows.select("_group", "_i", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), (F.col("_i") + 1).alias("_at"), F.lit(0).alias("_level"))
+    done = []
+    wide = lambda lo, hi, at: F.greatest(F.abs(F.col(lo) - F.col(at)), F.abs(F.col(hi) - F.col(at)))
+    while True:
+        look = state.withColumn("_block", F.explode(F.sequence("_at", F.expr(f"(_at div {FAN}) * {FAN} + {FAN - 1}"))))
+        met = look.join(blocks, (F.col("_group") == F.col("_g")) & (F.col("_level") == F.col("_l")) & (F.col("_block") == F.col("_b")))
+        reach = F.pow(wide("_x0", "_x1", "_x"), F.lit(2)) + F.pow(wide("_y0", "_y1", "_y"), F.lit(2)) >= threshold * threshold
+        seen = met.groupBy(*state.columns).agg(F.min(F.when(reach, F.col("_block"))).alias("_hit"))
+        down, up = F.col("_hit").isNotNull(), F.expr(f"_at div {FAN} + 1")
+        moved = cut_lineage(seen.select(
+            "_group", "_i", "_x", "_y", F.when(down & (F.col("_level") == 0), F.col("_hit")).alias("_next"),
+            F.when(down, F.col("_hit") * FAN).otherwise(up).alias("_at"), F.when(down, F.col("_level") - 1).otherwise(F.col("_level") + 1).alias("_level"),
+        ))
+        done.append(moved.filter("_next is not null").select("_group", "_i", "_next"))
+        # Whoever saw no block at all is past the end of the group; above the last level nothing is left either.
+        state = moved.filter((F.col("_next").isNull()) & (F.col("_level") <= depth)).drop("_next")
+        if state.isEmpty():
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
+
+
+def orbit(pointers: DataFrame) -> DataFrame:
+    """(_group, _i) of all rows that position 0 of each group leads to, by pointers that double in length each round."""
+    jump = cut_lineage(pointers)
+    reached = cut_lineage(pointers.filter("_i = 0").select("_group", "_i"))
+    while True:
+        landed = reached.join(jump, ["_group", "_i"]).select("_group", F.col("_next").alias("_i"))
+        reached = cut_lineage(reached.union(landed))
+        onward = jump.select(F.col("_group").alias("_g"), F.col("_i").alias("_b"), F.col("_next").alias("_further"))
+        jump = cut_lineage(jump.join(onward, (F.col("_group") == F.col("_g")) & (F.col("_next") == F.col("_b"))).select("_group", "_i", F.col("_further").alias("_next")))
+        if jump.filter("_i = 0").isEmpty():
+            return reached
+
+
+def dedupe_displacement(df: DataFrame, by: list[str], order: list[str], threshold: float, x: str = "x", y: str = "y") -> DataFrame:
     """Rows that moved at least ``threshold`` since the last *kept* row of their group; <= 0 keeps all.
 
-    The chain is sequential, so a group is walked in pieces of at most ``piece`` rows: round k handles the
-    k-th piece of every group in parallel and hands only the last kept position to round k + 1.
+    Kept are the first row and then always the first later row at least ``threshold`` away from the last kept one: the
+    orbit of a pointer that every row has.  Pointers come from ``first_far``, their orbit from doubling; rounds grow
+    with logarithms, groups may have any size, and NULL is a group like any other.  A row without a position
+    is never far from another, so it is kept only where it comes first, and then alone.
     """
     if threshold <= 0:
         return df
-    rows = with_index(df, by, order, "_i").withColumn("_piece", F.floor(F.col("_i") / piece))
-    rounds = int(rows.agg(F.max("_piece")).first()[0] or 0) + 1
-    if rounds > 1:
-        rows = cut_lineage(rows)
-    carry_schema = T.StructType([f for f in df.schema if f.name in by] + [T.StructField("_lx", T.DoubleType()), T.StructField("_ly", T.DoubleType())])
-    carry = df.sparkSession.createDataFrame([], carry_schema)
-    names, kept = df.columns, []
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        start = pdf[["_lx", "_ly"]].iloc[0]
-        mask = keep_moved(pdf[x].to_numpy(float), pdf[y].to_numpy(float), threshold, None if start.isna().any() else (start["_lx"], start["_ly"]))
-        return pdf.loc[mask, [*names, "_i"]]
-
-    schema = T.StructType([*df.schema.fields, T.StructField("_i", T.LongType())])
-    for k in range(rounds):
-        part = null_safe_join(rows.filter(F.col("_piece") == k), carry, by, "left")
-        out = part.groupBy(*by).applyInPandas(walk, schema)
-        if rounds > 1:
-            out = cut_lineage(out)
-            newest = out.groupBy(*by).agg(F.max_by(F.struct(F.col(x).alias("_lx"), F.col(y).alias("_ly")), "_i").alias("_l")).select(*by, "_l._lx", "_l._ly")
-            old = null_safe_join(carry, newest, by, "left_anti")
-            carry = cut_lineage(newest.unionByName(old))
-        kept.append(out.drop("_i"))
-    result = kept[0]
-    for part in kept[1:]:
-        result = result.unionByName(part)
-    return result
+    group = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
+    rows = cut_lineage(with_index(df, by, order, "_i").withColumn("_group", group))
+    kept = orbit(first_far(rows.select("_group", "_i", x, y), threshold, x, y)).withColumnsRenamed({"_group": "_g", "_i": "_b"})
+    # A group whose first row has no far row after it has no pointer: that row is kept all the same.
+    met = rows.join(kept, (F.col("_group") == F.col("_g")) & (F.col("_i") == F.col("_b")), "left")
+    return met.filter((F.col("_i") == 0) | F.col("_b").isNotNull()).select(*df.columns)
 
 
 # How far behind and ahead of the last index a pose is looked for, in route points.
 BEHIND, AHEAD = 5, 250
-# A drive or route beyond this is refused rather than gathered into one task.
-LONGEST_DRIVE = 1_000_000
 
 
-def route_progress(pose: np.ndarray, route: np.ndarray, goals: np.ndarray, radius: float) -> pd.DataFrame:
-    """Progress of one drive along one route, from (n, 2) positions and (m, 2) route points.
+class Follower:
+    """Progress of one drive along its route, pose by pose: the state that a drive carries from one batch to the next.
 
-    The index is a fold: the nearest point of a window around the index before, never going back.  All else follows
-    from the indices: the distance along the route, and for each goal the first pose at or after the previous
-    goal's that has passed it (along the route to within the radius, or by being near).
+    The index is the nearest point of a window around the index before, never going back.  The cursor counts the goals
+    passed: along the route to within the radius, or by being near, each at or after the one before it.
     """
-    arc = np.append(0.0, np.hypot(*np.diff(route, axis=0).T).cumsum())
 
-    def advance(state: tuple[int, float], here: np.ndarray) -> tuple[int, float]:
-        window = slice(max(0, state[0] - BEHIND), state[0] + AHEAD)
-        gaps = np.hypot(*(route[window] - here).T)
-        return max(state[0], window.start + int(gaps.argmin())), float(gaps.min())
+    def __init__(self, route: np.ndarray, goals: np.ndarray, radius: float):
+        self.route, self.goals, self.radius = route, np.union1d(goals, len(route) - 1), radius
+        self.arc = np.append(0.0, np.hypot(*np.diff(route, axis=0).T).cumsum())
+        self.index = self.cursor = 0
+
+    def follow(self, pose: np.ndarray) -> list[tuple[int, float, float, int, float]]:
+        out = []
+        for here in pose:
+            start = max(0, self.index - BEHIND)
+            gaps = np.hypot(*(self.route[start : self.index + AHEAD] - here).T)
+            self.index = max(self.index, start + int(gaps.argmin()))
+            progress = float(self.arc[self.index])
+            while self.cursor < len(self.goals) - 1:
+                goal = self.goals[self.cursor]
+                if progress < self.arc[goal] - self.radius and np.hypot(*(here - self.route[goal])) > self.radius:
+                    break
+                self.cursor += 1
+            whole = float(self.arc[-1])
+            out.append((self.index, progress, float(gaps.min()), self.cursor, min(max(progress / whole, 0.0), 1.0) if whole > 0 else 0.0))
+        return out
 
-    index, deviation = zip(*list(accumulate(pose, advance, initial=(0, 0.0)))[1:], strict=True)
-    progress = arc[list(index)]
-    last, when = 0, []
-    for g in goals[:-1]:
-        passed = (progress >= arc[g] - radius) | (np.hypot(*(pose - route[g]).T) <= radius)
-        last += int(passed[last:].argmax()) if passed[last:].any() else len(pose) - last
-        when.append(last)
-    cursor = np.searchsorted(np.array(when, int), np.arange(len(pose)), side="right")
-    completion = np.clip(progress / arc[-1], 0.0, 1.0) if arc[-1] > 0 else np.zeros(len(pose))
-    return pd.DataFrame({"route_index": index, "progress": progress, "deviation": deviation, "goal_cursor": cursor, "completion": completion})
+
+PROGRESS = ["route_index", "progress", "deviation", "goal_cursor", "completion"]
 
 
 def track_route(pose: DataFrame, route: DataFrame, by: list[str], order: str, goal: str = "is_goal", radius: float = 5.0) -> DataFrame:
-    """Route progress per pose.  Poses and route points of one drive are cogrouped; longer ones than ``LONGEST_DRIVE`` raise."""
-    schema = T.StructType(
-        [f for f in pose.schema if f.name in (*by, order)]
-        + [T.StructField("route_index", T.LongType()), T.StructField("progress", T.DoubleType()), T.StructField("deviation", T.DoubleType()),
-           T.StructField("goal_cursor", T.LongType()), T.StructField("completion", T.DoubleType())]
-    )
+    """Route progress per pose; poses without a route of at least two points have none.
 
-    def run(poses: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        if len(points) < 2:
-            # No route to follow: the poses stay, without progress.
-            return poses[[*by, order]].reindex(columns=[f.name for f in schema.fields]).astype(object).where(lambda d: d.notna(), None)
-        if max(len(poses), len(points)) > LONGEST_DRIVE:
-            raise ValueError("a drive or its route is too long to follow in one task")
-        if poses.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        poses, points = poses.sort_values(order), points.sort_values("pt_idx")
-        goals = np.union1d(np.flatnonzero(points[goal].to_numpy(bool)), len(points) - 1)
-        out = route_progress(poses[["x", "y"]].to_numpy(float), points[["x", "y"]].to_numpy(float), goals, radius)
-        return pd.concat([poses[[*by, order]].reset_index(drop=True), out], axis=1)[[f.name for f in schema.fields]]
-
-    # Fresh column identities: both sides may come from one table, which a cogroup cannot tell apart.
-    pose, route = (d.select([F.col(c).alias(c) for c in d.columns]) for d in (pose, route))
-    return pose.groupBy(*by).cogroup(route.groupBy(*by)).applyInPandas(run, schema)
+    Route points and poses of a drive stream through one task in order, the route first: a task holds one route and
+    one batch of poses, so drives of any length go through.
+    """
+    kinds = {f.name: f.dataType for f in pose.schema.fields}
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in (*by, order)] + [T.StructField(c, T.LongType() if c in ("route_index", "goal_cursor") else T.DoubleType()) for c in PROGRESS])
+    group = F.struct(*[F.col(c) for c in by])
+    points = route.select(group.alias("_group"), F.lit(0).alias("_kind"), F.col("pt_idx").cast("long").alias("_at"), "x", "y", F.coalesce(F.col(goal), F.lit(False)).alias("_goal"), F.lit(None).cast(kinds[order]).alias("_order"))
+    poses = pose.select(group.alias("_group"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_at"), "x", "y", F.lit(False).alias("_goal"), F.col(order).alias("_order"))
+    rows = points.unionByName(poses).withColumn("_key", F.to_json("_group", {"ignoreNullFields": "false"}))
+    rows = rows.repartition("_key").sortWithinPartitions("_key", "_kind", "_at", "_order").select("_key", "_kind", "x", "y", "_goal", *[F.col(f"_group.{c}").alias(c) for c in by], F.col("_order").alias(order))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, gathered, follower = None, [], None
+        for batch in batches:
+            for k, part in batch.groupby("_key", sort=False):
+                if k != key:
+                    key, gathered, follower = k, [], None
+                gathered.append(part.loc[part["_kind"] == 0, ["x", "y", "_goal"]])
+                here = part[part["_kind"] == 1]
+                if here.empty:
+                    continue
+                if follower is None:
+                    whole = pd.concat(gathered)
+                    gathered = []
+                    follower = Follower(whole[["x", "y"]].to_numpy(float), np.flatnonzero(whole["_goal"].to_numpy(bool)), radius) if len(whole) > 1 else False
+                told = follower.follow(here[["x", "y"]].to_numpy(float)) if follower else [(None,) * len(PROGRESS)] * len(here)
+                told = pd.DataFrame(told, columns=PROGRESS, index=here.index).astype({"route_index": "Int64", "goal_cursor": "Int64"})
+                yield pd.concat([here[[*by, order]], told], axis=1)
+
+    return rows.mapInPandas(run, schema)
 
 
 def random_baseline(log: DataFrame, rollouts: int, seed: int = 0, mean: float = 1.0, sigma: float = 0.1) -> DataFrame:

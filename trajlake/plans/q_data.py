@@ -271,7 +271,16 @@ def _(spark, sf):
     return cu.sample_per_group(p, ["p_brand"], ["p_partkey"], 8, seed=3)
 
 
-@query("f03_episode_seed")
+def crc32_sql(rows: str, text: str) -> str:
+    """CTEs up to ``coded``: the columns of ``rows`` and ``crc``, CRC-32 of the UTF-8 bytes of ``text``, from its polynomial."""
+    return f"""with recursive bits(i, k, v) as (select i, 0, i::bigint from range(256) t(i) union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8)
+    , tab as (select list(v order by i) as t from bits where k = 8)
+    , hexed as (select *, hex(encode({text})) as x from {rows})
+    , bytes as (select *, list_transform(range(0, length(x) // 2), lambda k: 16 * (strpos('0123456789ABCDEF', substr(x, 2 * k + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(x, 2 * k + 2, 1)) - 1) as b from hexed)
+    , coded as (select * exclude (x, b, t), xor(list_reduce(b, lambda a, y: xor(a >> 8, t[1 + (xor(a, y) & 255)]), 4294967295::bigint), 4294967295) as crc from bytes, tab)"""
+
+
+@query("f03_episode_seed", f"{crc32_sql('customer', chr(39) + '42:train:' + chr(39) + ' || c_nationkey || ' + chr(39) + ':' + chr(39) + ' || c_custkey')} select c_custkey as segment_id, crc as seed from coded")
 def _(spark, sf):
     s = px.segment(spark, sf)
     return s.select("segment_id", cu.episode_seed(42, "train", F.col("town"), F.col("segment_id")).alias("seed"))

@@ -17,7 +17,7 @@ from trajlake.operators import kinematics as kin
 from trajlake.operators.ordered import with_index
 from trajlake.plans import proxies as px
 from trajlake.plans.q_core import ID, IDS, KIN, SPEED, VALID, edge_bin_sql, segments, speed_sides
-from trajlake.plans.q_data import DRIVE, TRACE_SQL, trace
+from trajlake.plans.q_data import AGENT_DIM, DRIVE, TRACE_SQL, trace, uniform_sql
 from trajlake.plans.q_spatial import lanes
 from trajlake.plans.registry import query, r, r6, rounded
 from trajlake.sources import files as fs
@@ -165,9 +165,20 @@ def _(spark, sf):
     return rounded(ro.clip_reward(ro.bootstrap_truncation(px.transition(spark, sf))).select(*TR, "reward", "done"), "reward")
 
 
-@query("f08_prioritized_sample")
+ADVANTAGES = """
+, n as (select *, coalesce(least(ratio, 1.0e0) * (lead(reward) over w + 0.98e0 * lead(value) over w * (1 - lead(terminal) over w) - value), 0) as d,
+    coalesce(0.98e0 * 0.95e0 * least(ratio, 1.0e0) * (1 - lead(terminal) over w), 0) as k from transition window w as (partition by segment order by t))
+, pr as (select a.segment, a.t, b.t as u, b.d, exp(sum(ln(nullif(c.k, 0)))) as f, count(*) filter (c.k = 0) as zeros from n a join n b on a.segment = b.segment and b.t >= a.t
+    left join n c on c.segment = a.segment and c.t >= a.t and c.t < b.t group by a.segment, a.t, b.t, b.d)
+, adv as (select segment, t, sum(case when zeros > 0 then 0.0e0 else coalesce(f, 1.0e0) * d end) as advantage from pr group by segment, t)"""
+
+
+@query("f08_prioritized_sample", px.with_views(
+    f"""{ADVANTAGES}, per as (select segment, power(sum(abs(advantage)), 0.8e0) + 1e-6 as p from adv group by segment)
+    , q as (select segment, p / (select sum(p) from per) as probability, (select count(*) from per) as n from per)
+    select segment, {r('probability', 'probability')}, {r('power(n * probability, -0.2e0)', 'importance')} from q order by -ln({uniform_sql('segment', '0')} + 1e-18) / probability limit 64""", "transition"))
 def _(spark, sf):
-    return ro.prioritized_sample(ro.clipped_advantage(px.transition(spark, sf)), 64)
+    return rounded(ro.prioritized_sample(ro.clipped_advantage(px.transition(spark, sf)), 64), "probability", "importance")
 
 
 def returned(spark, sf):
@@ -403,9 +414,22 @@ def _(spark, sf):
     return rounded(sensitivity(sim_k, kin.kinematic_validity(log_k), [SPEED], [0, 1, 2, 4]).withColumnRenamed(f"ll_{SPEED.name}", "mean_loglik"), "mean_loglik")
 
 
-@query("e18_random_baseline")
+def normal_sql(tag: int) -> str:
+    u, v = (uniform_sql("scenario_id", "agent_id", "rollout", "step", "0", str(tag + i)) for i in (0, 1))
+    return f"sqrt(-2 * ln(1.0e0 - {u})) * cos({v} * (2 * pi()))"
+
+
+@query("e18_random_baseline", px.with_views(
+    f""", b as (select *, unnest(range(32)) as rollout from log)
+    , d as (select *, case when step > 0 then {normal_sql(0)} * 0.1e0 + 1.0e0 else 0.0e0 end as dx, case when step > 0 then {normal_sql(10)} * 0.1e0 else 0.0e0 end as dy,
+        case when step > 0 then {normal_sql(20)} * 0.1e0 else 0.0e0 end as dh from b)
+    , h as (select *, first_value(heading) over w + sum(dh) over w as turned from d window w as (partition by scenario_id, agent_id, rollout order by step rows between unbounded preceding and current row))
+    , m as (select *, coalesce(lag(turned) over (partition by scenario_id, agent_id, rollout order by step), turned) as was from h)
+    , s as (select *, first_value(x) over w + sum(dx * cos(was) - dy * sin(was)) over w as sx, first_value(y) over w + sum(dx * sin(was) + dy * cos(was)) over w as sy
+        from m window w as (partition by scenario_id, agent_id, rollout order by step rows between unbounded preceding and current row))
+    select {IDS}, rollout, {r('sx', 'x')}, {r('sy', 'y')}, {r('turned', 'heading')} from s""", "log"))
 def _(spark, sf):
-    return sq.random_baseline(px.log(spark, sf), 2).select(*ID, "rollout", "x", "y", "heading")
+    return rounded(sq.random_baseline(px.log(spark, sf), 32).select(*ID, "rollout", "x", "y", "heading"), "x", "y", "heading")
 
 
 # ---------------------------------------------------------------- C15, C17, C22, C24, C26, F11, I3, I4
@@ -447,30 +471,64 @@ def _(spark, sf):
     return ln.link_audit(link)
 
 
-@query("c24_sample_agents")
+@query("c24_sample_agents", f"""with a as ({AGENT_DIM.replace("from part", ", p_partkey from part")})
+    , rows as (select *, row_number() over (partition by object_type order by p_partkey) - 1 as row_idx from a)
+    , k as (select object_type, count(*) as n, count(*) / (select count(*) from a) as prob from a group by object_type)
+    , c as (select object_type, n, prob, sum(prob) over (order by object_type) as hi from k)
+    , d as (select i as draw, {uniform_sql('i', '0')} * (select max(hi) from c) as u, {uniform_sql('i', '1')} as v from range((select count(*) from a)) t(i))
+    , p as (select d.draw, c.object_type, cast(floor(d.v * c.n) as bigint) as row_idx from d join c on d.u >= c.hi - c.prob and d.u < c.hi)
+    select object_type, row_idx, draw, p_partkey, {r('length', 'length')}, {r('width', 'width')}, {r('height', 'height')} from p join rows using (object_type, row_idx)""")
 def _(spark, sf):
     from trajlake.plans.q_data import agent_dim
 
     dim = agent_dim(spark, sf)
     rows = with_index(dim, ["object_type"], ["p_partkey"], "row_idx", bucket=F.expr(f"p_partkey div {px.KEYS_PER_BUCKET}"))
     types = cu.agent_distribution(dim).select("object_type", "prob", F.col("n").alias("count"))
-    return ln.sample_agents(dim.count(), types, rows)
-
-
-@query("c26_lane_walk")
+    return rounded(ln.sample_agents(dim.count(), types, rows), "length", "width", "height")
+
+
+LANES = """
+, p as (select *, lead(x) over w as nx, lead(y) over w as ny, lag(x) over w as px, lag(y) over w as py from road_point where road_type = 4 window w as (partition by polyline_id order by pt_idx))
+, leg as (select map_id, polyline_id as lane_id, pt_idx, x, y, coalesce(sqrt(power(x - px, 2) + power(y - py, 2)), 0) as d, px, py from p)
+, arcs as (select *, sum(d) over (partition by map_id, lane_id order by pt_idx) as arc from leg)
+, lens as (select map_id, lane_id, max(arc) as length, count(*) as n from arcs group by map_id, lane_id having max(arc) >= 1 and count(*) >= 2)
+, l as (select map_id, polyline_id as lane_id, arg_min((x, y, nx, ny), pt_idx) as s, arg_max((x, y, px, py), pt_idx) as e, count(*) as n from p group by 1, 2)
+, q as (select l.map_id, l.lane_id, s[1] as sx, s[2] as sy, s[3] - s[1] as stx, s[4] - s[2] as sty, e[1] as ex, e[2] as ey, e[1] - e[3] as etx, e[2] - e[4] as ety from l join lens using (map_id, lane_id))
+, j as (select a.map_id, a.lane_id, b.lane_id as successor, row_number() over (partition by a.map_id, a.lane_id order by b.lane_id) as rn from q a join q b on a.map_id = b.map_id and a.lane_id <> b.lane_id
+    and power(b.sx - a.ex, 2) + power(b.sy - a.ey, 2) <= 0.25e0 and (a.etx * b.stx + a.ety * b.sty) / (sqrt(a.etx * a.etx + a.ety * a.ety) * sqrt(b.stx * b.stx + b.sty * b.sty)) >= 0.2588e0)
+, ways as (select *, rn - 1 as k, count(*) over (partition by map_id, lane_id) as ways from j where rn <= 8)"""
+
+
+@query("c26_lane_walk", px.with_views(
+    f"""{LANES}
+    , walk(map_id, walker, lane_id, s, travelled, rest, hop) as (
+      select map_id, lane_id, lane_id, 0.0e0, 0.0e0, 150.0e0, 0 from lens
+      union all
+      select w.map_id, w.walker, coalesce(y.successor, w.lane_id), case when y.successor is null then w.s + least(w.rest, n.length - w.s) else 0.0e0 end,
+        w.travelled + least(w.rest, n.length - w.s), case when y.successor is not null then w.rest - (n.length - w.s) end, w.hop + 1
+      from walk w join lens n on n.map_id = w.map_id and n.lane_id = w.lane_id
+      left join ways y on y.map_id = w.map_id and y.lane_id = w.lane_id and w.rest > n.length - w.s and w.hop < 64 and y.k = cast(floor({uniform_sql('w.walker', '0', 'w.hop')} * y.ways) as bigint)
+      where w.rest is not null)
+    , stand as (select * from walk where rest is null)
+    , piece as (select map_id, lane_id, lag(arc) over v as a, arc as b, px as x0, py as y0, x as x1, y as y1, arc = max(arc) over (partition by map_id, lane_id) as at_end from arcs window v as (partition by map_id, lane_id order by pt_idx))
+    select t.map_id, t.walker, t.lane_id, {r('t.s', 's')}, {r('t.travelled', 'travelled')}, {r('x0 + (s - a) / (b - a) * (x1 - x0)', 'x')}, {r('y0 + (s - a) / (b - a) * (y1 - y0)', 'y')}, {r('atan2(y1 - y0, x1 - x0)', 'heading')}
+    from stand t left join piece p on p.map_id = t.map_id and p.lane_id = t.lane_id and b > a and s >= a and (s < b or (at_end and s <= b))""".replace("walk(map_id", "walk(map_id"), "road_point").replace("with road_point", "with recursive road_point"))
 def _(spark, sf):
     pts = lane_points(spark, sf).withColumnRenamed("polyline_id", "lane_id")
     lane = ln.lane_table(pts, ["map_id", "lane_id"])
     edges = ln.lane_successors(lane, ["map_id"])
     start = lane.select("map_id", "lane_id", F.col("lane_id").alias("walker"), F.lit(0.0).alias("s"))
     ended = ln.lane_walk(start, lane, edges, 150.0, ["map_id"], ["walker"])
-    return ln.pose_at(ended, ln.lane_points(pts, ["map_id", "lane_id"]), ["map_id", "lane_id"])
+    return rounded(ln.pose_at(ended, ln.lane_points(pts, ["map_id", "lane_id"]), ["map_id", "lane_id"]), "s", "travelled", "x", "y", "heading")
 
 
-@query("f11_sample_lane_points")
+@query("f11_sample_lane_points", px.with_views(
+    f"""{LANES}, axis as (select *, sum(length) over (order by map_id, lane_id) as hi from lens)
+    , d as (select i as draw, {uniform_sql('i', '0')} * (select max(hi) from axis) as p from range((select count(*) from lens)) t(i))
+    select draw, map_id, lane_id, {r('p - (hi - length)', 's')} from d join axis on p >= hi - length and p < hi""", "road_point"))
 def _(spark, sf):
     lane = lane_relation(spark, sf).select("map_id", "lane_id", "length")
-    return ln.sample_lane_points(lane, lane.count(), ["map_id", "lane_id"])
+    return rounded(ln.sample_lane_points(lane, lane.count(), ["map_id", "lane_id"]), "s")
 
 
 @query("i03_dedupe_displacement", """with recursive s as (select cast(c_nationkey as bigint) as town, c_custkey as segment_id, c_acctbal as start_x, c_acctbal / 50.0e0 as x from customer)
@@ -482,8 +540,39 @@ def _(spark, sf):
     return sq.dedupe_displacement(s, ["town"], ["segment_id"], 25.0).select("town", "segment_id", "start_x")
 
 
-@query("i04_track_route")
+ROUTE = """
+, pose as (select scenario_id, agent_id, step as t, x + 0.5e0 as x, y from log)
+, pt as (select scenario_id, agent_id, row_number() over w - 1 as i, x, y, step % 10 = 9 or step = max(step) over (partition by scenario_id, agent_id) as goal,
+    sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) as leg from log window w as (partition by scenario_id, agent_id order by step))
+, arcs as (select *, coalesce(sum(leg) over (partition by scenario_id, agent_id order by i), 0) as arc, count(*) over (partition by scenario_id, agent_id) as m from pt)
+, d as (select p.scenario_id, p.agent_id, p.t, a.i, sqrt(power(p.x - a.x, 2) + power(p.y - a.y, 2)) as d from pose p join arcs a using (scenario_id, agent_id) where m > 1)
+, f(scenario_id, agent_id, t, idx, deviation) as (
+    select scenario_id, agent_id, -1::bigint, 0::bigint, 0.0e0 from (select distinct scenario_id, agent_id from d)
+    union all
+    select d.scenario_id, d.agent_id, d.t, greatest(any_value(f.idx), (min(struct_pack(d := d.d, i := d.i))).i), min(d.d)
+    from f join d on d.scenario_id = f.scenario_id and d.agent_id = f.agent_id and d.t = f.t + 1 and d.i >= f.idx - 5 and d.i < f.idx + 250
+    group by d.scenario_id, d.agent_id, d.t)
+, at as (select f.scenario_id, f.agent_id, f.t, f.idx, f.deviation, a.arc as progress, p.x, p.y from f
+    join arcs a on a.scenario_id = f.scenario_id and a.agent_id = f.agent_id and a.i = f.idx join pose p on p.scenario_id = f.scenario_id and p.agent_id = f.agent_id and p.t = f.t)
+, goals as (select scenario_id, agent_id, arc, x, y, row_number() over (partition by scenario_id, agent_id order by i) - 1 as g, count(*) over (partition by scenario_id, agent_id) as n from arcs where goal)
+, open as (select at.scenario_id, at.agent_id, at.t, g.g from at join goals g using (scenario_id, agent_id)
+    where g.g = n - 1 or (at.progress < g.arc - 5.0e0 and sqrt(power(at.x - g.x, 2) + power(at.y - g.y, 2)) > 5.0e0))
+, cur(scenario_id, agent_id, t, c) as (
+    select distinct scenario_id, agent_id, -1::bigint, 0::bigint from open
+    union all
+    select o.scenario_id, o.agent_id, o.t, min(o.g) from cur join open o on o.scenario_id = cur.scenario_id and o.agent_id = cur.agent_id and o.t = cur.t + 1 and o.g >= cur.c
+    group by o.scenario_id, o.agent_id, o.t)
+, whole as (select scenario_id, agent_id, max(arc) as total from arcs group by scenario_id, agent_id)"""
+
+
+@query("i04_track_route", px.with_views(
+    f"""{ROUTE} select log.scenario_id, log.agent_id, log.step, at.idx as route_index, {r('at.progress', 'progress')}, {r('at.deviation', 'deviation')}, cur.c as goal_cursor,
+    {r('case when total > 0 then least(greatest(at.progress / total, 0), 1) when at.t is not null then 0.0e0 end', 'completion')}
+    from log left join at on at.scenario_id = log.scenario_id and at.agent_id = log.agent_id and at.t = log.step
+    left join cur on cur.scenario_id = log.scenario_id and cur.agent_id = log.agent_id and cur.t = log.step
+    left join whole on whole.scenario_id = at.scenario_id and whole.agent_id = at.agent_id""", "log").replace("with log", "with recursive log"))
 def _(spark, sf):
     log = px.log(spark, sf)
     route = log.select(*DRIVE, F.col("step").alias("pt_idx"), "x", "y", (F.col("step") % 10 == 9).alias("is_goal"))
-    return sq.track_route(log.select(*ID, (F.col("x") + 0.5).alias("x"), "y"), route, DRIVE, "step")
+    out = sq.track_route(log.select(*ID, (F.col("x") + 0.5).alias("x"), "y"), route, DRIVE, "step")
+    return rounded(out, "progress", "deviation", "completion")

@@ -5,13 +5,23 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trajlake.operators.sequential import keep_moved
+
+
+def keep_moved(x: np.ndarray, y: np.ndarray, threshold: float, start: tuple[float, float] | None) -> np.ndarray:
+    """Mask of rows at least ``threshold`` from the last kept one; ``start`` is the one kept before this batch."""
+    mask = np.zeros(len(x), bool)
+    last = start
+    for i in range(len(x)):
+        if last is None or (x[i] - last[0]) ** 2 + (y[i] - last[1]) ** 2 >= threshold * threshold:
+            mask[i], last = True, (x[i], y[i])
+    return mask
 
 
 def gated_metrics(stream: DataFrame, key: str, metrics: list[str], n: int) -> DataFrame:
