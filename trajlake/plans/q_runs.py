@@ -471,7 +471,7 @@ def _(spark, sf):
     return ln.link_audit(link)
 
 
-@query("c24_sample_agents", f"""with a as ({AGENT_DIM.replace("from part", ", p_partkey from part")})
+@query("c24_sample_agents", f"""with a as (select * from ({AGENT_DIM.replace("from part", ", p_partkey from part")}) where length > 0.1e0 and width > 0.1e0 and height > 0.1e0)
     , rows as (select *, row_number() over (partition by object_type order by p_partkey) - 1 as row_idx from a)
     , k as (select object_type, count(*) as n, count(*) / (select count(*) from a) as prob from a group by object_type)
     , c as (select object_type, n, prob, sum(prob) over (order by object_type) as hi from k)
@@ -481,7 +481,7 @@ def _(spark, sf):
 def _(spark, sf):
     from trajlake.plans.q_data import agent_dim
 
-    dim = agent_dim(spark, sf)
+    dim = agent_dim(spark, sf).filter("length > 0.1 and width > 0.1 and height > 0.1")
     rows = with_index(dim, ["object_type"], ["p_partkey"], "row_idx", bucket=F.expr(f"p_partkey div {px.KEYS_PER_BUCKET}"))
     types = cu.agent_distribution(dim).select("object_type", "prob", F.col("n").alias("count"))
     return rounded(ln.sample_agents(dim.count(), types, rows), "length", "width", "height")
@@ -552,11 +552,11 @@ ROUTE = """
     select d.scenario_id, d.agent_id, d.t, greatest(any_value(f.idx), (min(struct_pack(d := d.d, i := d.i))).i), min(d.d)
     from f join d on d.scenario_id = f.scenario_id and d.agent_id = f.agent_id and d.t = f.t + 1 and d.i >= f.idx - 5 and d.i < f.idx + 250
     group by d.scenario_id, d.agent_id, d.t)
-, at as (select f.scenario_id, f.agent_id, f.t, f.idx, f.deviation, a.arc as progress, p.x, p.y from f
+, place as (select f.scenario_id, f.agent_id, f.t, f.idx, f.deviation, a.arc as progress, p.x, p.y from f
     join arcs a on a.scenario_id = f.scenario_id and a.agent_id = f.agent_id and a.i = f.idx join pose p on p.scenario_id = f.scenario_id and p.agent_id = f.agent_id and p.t = f.t)
 , goals as (select scenario_id, agent_id, arc, x, y, row_number() over (partition by scenario_id, agent_id order by i) - 1 as g, count(*) over (partition by scenario_id, agent_id) as n from arcs where goal)
-, open as (select at.scenario_id, at.agent_id, at.t, g.g from at join goals g using (scenario_id, agent_id)
-    where g.g = n - 1 or (at.progress < g.arc - 5.0e0 and sqrt(power(at.x - g.x, 2) + power(at.y - g.y, 2)) > 5.0e0))
+, open as (select place.scenario_id, place.agent_id, place.t, g.g from place join goals g using (scenario_id, agent_id)
+    where g.g = n - 1 or (place.progress < g.arc - 5.0e0 and sqrt(power(place.x - g.x, 2) + power(place.y - g.y, 2)) > 5.0e0))
 , cur(scenario_id, agent_id, t, c) as (
     select distinct scenario_id, agent_id, -1::bigint, 0::bigint from open
     union all
@@ -566,11 +566,11 @@ ROUTE = """
 
 
 @query("i04_track_route", px.with_views(
-    f"""{ROUTE} select log.scenario_id, log.agent_id, log.step, at.idx as route_index, {r('at.progress', 'progress')}, {r('at.deviation', 'deviation')}, cur.c as goal_cursor,
-    {r('case when total > 0 then least(greatest(at.progress / total, 0), 1) when at.t is not null then 0.0e0 end', 'completion')}
-    from log left join at on at.scenario_id = log.scenario_id and at.agent_id = log.agent_id and at.t = log.step
+    f"""{ROUTE} select log.scenario_id, log.agent_id, log.step, place.idx as route_index, {r('place.progress', 'progress')}, {r('place.deviation', 'deviation')}, cur.c as goal_cursor,
+    {r('case when total > 0 then least(greatest(place.progress / total, 0), 1) when place.t is not null then 0.0e0 end', 'completion')}
+    from log left join place on place.scenario_id = log.scenario_id and place.agent_id = log.agent_id and place.t = log.step
     left join cur on cur.scenario_id = log.scenario_id and cur.agent_id = log.agent_id and cur.t = log.step
-    left join whole on whole.scenario_id = at.scenario_id and whole.agent_id = at.agent_id""", "log").replace("with log", "with recursive log"))
+    left join whole on whole.scenario_id = place.scenario_id and whole.agent_id = place.agent_id""", "log").replace("with log", "with recursive log"))
 def _(spark, sf):
     log = px.log(spark, sf)
     route = log.select(*DRIVE, F.col("step").alias("pt_idx"), "x", "y", (F.col("step") % 10 == 9).alias("is_goal"))
