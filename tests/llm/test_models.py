@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trajlake.llm import langid, toxicity, urls
 from trajlake.llm.queries import QUERIES
@@ -125,8 +126,38 @@ def test_url_parts_rules_and_verdicts(spark):
     assert [r["verdict"] for r in only.collect()] == ["allow"]
 
 
-def test_trees_follow_the_listed_pages(spark):
+def test_scores_of_unlisted_pages_vary_and_labels_without_lexical_cause_block_nothing(spark):
     got = QUERIES["op5_url_filter"](spark, SF).collect()
     assert len(got) == 250 and all(r["verdict"] in ("allow", "block") for r in got)
     open_ = [r for r in got if r["rule"] is None]
-    assert open_ and sum(r["verdict"] == "allow" for r in open_) >= 0.8 * len(open_)  # nobody listed them
+    assert len({r["blocked"] for r in open_}) > 5
+    assert sum(r["verdict"] == "allow" for r in open_) >= 0.9 * len(open_)
+
+
+def test_trees_find_odd_urls_and_hold_out(spark):
+    # Listed: numbered parameter farms are blocked, plain articles allowed.  Held out and unlisted pages follow the looks.
+    rnd = random.Random(11)
+    odd = lambda host: f"http://{host}/{rnd.randrange(10**12)}/{rnd.randrange(10**9)}.php?" + "&".join(f"k{j}={rnd.randrange(10**8)}" for j in range(rnd.randrange(4, 9)))
+    plain = lambda host: f"https://{host}/{rnd.choice(['news', 'blog', 'about'])}/{rnd.choice(['a-walk', 'the-sea', 'old-town'])}.html"
+    urls_ = [odd("bad.example") for _ in range(300)] + [plain("good.example") for _ in range(300)] + [odd("other.example") for _ in range(60)] + [plain("other.example") for _ in range(60)]
+    urls_ += [urls_[700]] * 2 + ["http://other.example/" + "x" * 20_000, "http://other.example/" + "9" * 20_000]
+    pages = spark.createDataFrame([(i, u, "h", 1.0, "s") for i, u in enumerate(urls_)], "page_id bigint, url string, host string, entropy double, suffix string")
+    rules = [("block", "bad.example", "/"), ("allow", "good.example", "/")]
+    got = {r["page_id"]: r for r in urls.judge(pages, rules).collect()}
+    assert len(got) == len(urls_)
+    unlisted = [(i < 660, got[i]["verdict"] == "block") for i in range(600, 720)]
+    assert sum(a == b for a, b in unlisted) >= 0.95 * len(unlisted)
+    held = pages.filter("page_id % 4 = 3")
+    some = [("block", "bad.example", "/"), ("allow", "good.example", "/")]
+    blind = held.withColumn("url", F.regexp_replace("url", r"(bad|good)[.]example", "else.example"))
+    seen = urls.judge(pages.filter("page_id % 4 <> 3").select("page_id", "url").union(blind.select("page_id", "url")), some).filter("page_id % 4 = 3 and page_id < 600").collect()
+    assert sum((r["page_id"] < 300) == (r["verdict"] == "block") for r in seen) >= 0.95 * len(seen)
+
+
+def test_letters_are_category_l_on_both_sides(spark):
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate(["der und die", "the and of", "½² der", "Ⅷ the", "und so", "and so"])], "doc_id bigint, text string, lang string")
+    model = langid.learn(docs)
+    odd = spark.createDataFrame([(1, "\u00b2\u00bd \u2460"), (2, "\u2167 123 _"), (3, "\u00aa"), (4, "der\u00b2die")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in langid.identify(odd, model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2)] == ["und", "und"] and got[1]["score"] == 0
+    assert got[3]["lang_pred"] != "und" and langid.words_of("der\u00b2die") == ["der", "die"]

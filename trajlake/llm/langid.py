@@ -5,7 +5,7 @@ the product of the pieces' probabilities there; a forward pass over the word sum
 the logarithms over all its words.  Piece probabilities come from expected counts over all segmentations of the
 words of a bounded sample of labelled documents (``SAMPLE_DOCS``), in ``ROUNDS`` rounds that each are one Spark job.
 
-Words are maximal runs of letters in lower case, with the vocabulary's mark for a word's start; words over ``CUT``
+Words are maximal runs of letters (Unicode category L, for learning and scoring alike) in lower case, with the vocabulary's mark for a word's start; words over ``CUT``
 letters are read in stretches of that length.  A letter that the vocabulary lacks has a small fixed probability.
 
 Defined results: NULL text or text without a letter is ``und`` with score 0; very long texts are scored whole;
@@ -15,11 +15,11 @@ ties go to the language that sorts first; repeated rows are scored row by row; w
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ RARE = 1e-7
 KNOWN_WORDS = 400_000
 SLOTS = 22
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 
 
 def vocabulary(path: str = VOCABULARY) -> list[str]:
@@ -71,6 +71,8 @@ class Pieces:
                 if t[slot] == self.absent:
                     t[slot] = i
                     break
+            else:
+                raise ValueError(f"no free slot for the piece {p!r}: raise SLOTS")
 
     @staticmethod
     def _hash(codes: np.ndarray, start: int, length: int) -> np.ndarray:
@@ -172,11 +174,11 @@ def _table(n_pieces: int, n_langs: int) -> np.ndarray:
 
 
 def learn(docs: DataFrame, path: str = VOCABULARY, bound: int = SAMPLE_DOCS) -> Model:
-    """Piece probabilities per language from about ``bound`` documents (text, lang), chosen by a hash of their ids."""
+    """Piece probabilities per language from about ``bound`` documents (text, lang), chosen by a hash of id and text."""
     spark, vocab = docs.sparkSession, vocabulary(path)
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = min(1.0, bound / max(1, known.select("lang").count()))
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
     split = F.split(F.lower("text"), r"[^\p{L}]+")
     stretches = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length("w") - 1) / CUT), F.lit(0))), lambda i: F.substring("w", (i * CUT + 1).cast("int"), F.lit(CUT)))
     found = sample.select("lang", F.explode(split).alias("w")).filter("w <> ''").select("lang", F.explode(stretches).alias("w"))

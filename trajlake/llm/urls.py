@@ -2,12 +2,15 @@
 
 A rule names a host and a path prefix.  It fits the host and its subdomains where the path begins with its path, and
 the longest fitting rule decides.  Pages without a rule are judged by gradient-boosted trees that learn from labelled
-URLs: pages that a rule blocks are positive, pages that a rule allows are negative, and pages without a rule, which
-nobody has blocked, are weak negatives of ``UNLISTED_WEIGHT``.  Suffix statistics are the blocked share of a host's
-last two labels among the labelled URLs.  Learning takes about ``SAMPLE_ROWS`` URLs, chosen by a hash.
+URLs, which are the pages that a rule blocks or allows; both kinds weigh the same in total.  What only repeats a rule, its
+host or the language at the start of its path, is no feature.  Suffix statistics are the blocked share, drawn towards a
+half, of the labelled URLs whose last path part ends alike.  A page is blocked where the trees are sure (``BLOCK_AT``), and only if that is borne out: of the
+quarter of the labelled URLs that the trees do not learn from, at least ``TRUST`` (by weight) of those they would
+block must be blocked ones.  So labels which lexical features do not explain block nothing.  Learning takes about
+``SAMPLE_ROWS`` labelled URLs, chosen by a hash.
 
 Defined results: a NULL URL or one without :// has an empty host and path, no rule, and is judged by the trees on its
-characters; an empty table gives an empty result; where only one kind of label exists, every other page is allowed;
+characters; very long URLs are read whole; columns besides ``page_id`` and ``url`` are dropped, so none can clash; an empty table gives an empty result; where only one kind of label exists, every other page is allowed;
 repeated rows are judged row by row.  Only ``page_id`` and ``url`` are read.
 """
 
@@ -32,10 +35,12 @@ RULES = [
 ]
 MOST_RULES = 1_000
 SAMPLE_ROWS = 20_000
-UNLISTED_WEIGHT = 0.25
 MOST_SUFFIXES = 256
-TREES, DEPTH = 12, 4
-FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_share", "hyphens", "parameters", "entropy", "path_entropy", "secure", "suffix_share", "suffix_known", "lang_hash"]
+DOUBT = 20.0
+BLOCK_AT = 0.8
+TRUST = 0.9
+TREES, DEPTH, LEAF = 12, 3, 10
+FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_share", "hyphens", "parameters", "entropy", "path_entropy", "secure", "suffix_share", "suffix_known"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,27 +89,33 @@ def lexical(pages: DataFrame) -> DataFrame:
         "digit_share": F.length(F.regexp_replace(url, "[^0-9]", "")) / n, "hyphens": _count(host, "-"),
         "parameters": F.when(query == "", F.lit(0)).otherwise(F.size(F.split(query, "&"))),
         "entropy": _entropy(url), "path_entropy": _entropy(path), "secure": F.startswith(url, F.lit("https:")).cast("int"),
-        "lang_hash": F.pmod(F.crc32(F.regexp_extract(path, "^/([a-z]{2})/", 1).cast("binary")), F.lit(97)),
-        "suffix": F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1),
+        "suffix": F.when(F.endswith(path, F.lit("/")), F.lit("/")).otherwise(F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1))),
     })
 
 
 def _with_suffix(pages: DataFrame, shares: dict[str, float]) -> DataFrame:
     known = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]) if shares else F.create_map().cast("map<string,double>")
     share = F.try_element_at(known, F.col("suffix"))
-    return pages.withColumns({"suffix_share": F.coalesce(share, F.lit(0.0)), "suffix_known": share.isNotNull().cast("int")})
+    return pages.withColumns({"suffix_share": F.coalesce(share, F.lit(0.5)), "suffix_known": share.isNotNull().cast("int")})
 
 
-def learn(labelled: DataFrame) -> tuple[GBTClassificationModel, dict[str, float]] | None:
-    """Trees and suffix shares from a bounded table (url, host, path, y, weight); None without both labels."""
-    rows = cut_lineage(lexical(labelled).coalesce(4))
-    if rows.select("y").distinct().count() < 2:
+def learn(labelled: DataFrame) -> tuple[GBTClassificationModel, dict[str, float], bool] | None:
+    """Trees, suffix shares and whether the held-out quarter bears the trees out, from a bounded table (url, host, path, y)."""
+    # The sample is cut first, by as many tasks as the table has; only what is left is folded together.
+    rows = lexical(cut_lineage(labelled).coalesce(4))
+    rows = rows.withColumn("held", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(4)) == 0)
+    sizes = {r["y"]: r["count"] for r in rows.filter("not held").groupBy("y").count().collect()}
+    if len(sizes) < 2:
         return None
-    shares = rows.groupBy("suffix").agg(F.sum("weight").alias("w"), (F.sum(F.col("y") * F.col("weight")) / F.sum("weight")).alias("p"))
+    rows = rows.withColumn("weight", F.when(F.col("y") == 1.0, F.lit(0.5 / sizes[1.0])).otherwise(F.lit(0.5 / sizes[0.0])) * sum(sizes.values()))
+    shares = rows.filter("not held").groupBy("suffix").agg(F.sum("weight").alias("w"), ((F.sum(F.col("y") * F.col("weight")) + DOUBT / 2) / (F.sum("weight") + DOUBT)).alias("p"))
     known = {r["suffix"]: r["p"] for r in shares.orderBy(F.desc("w"), "suffix").limit(MOST_SUFFIXES).collect()}
-    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_with_suffix(rows, known)).select("features", "y", "weight")
-    trees = GBTClassifier(labelCol="y", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=5, checkpointInterval=-1)
-    return trees.fit(ready), known
+    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_with_suffix(rows, known)).select("features", "y", "weight", "held")
+    trees = GBTClassifier(labelCol="y", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF, maxBins=32, seed=5, checkpointInterval=-1)
+    model = trees.fit(ready.filter("not held"))
+    sure = model.setProbabilityCol("probability").transform(ready.filter("held")).filter(vector_to_array("probability")[1] >= BLOCK_AT)
+    tested = sure.agg(F.sum("weight").alias("all"), F.sum(F.col("weight") * F.col("y")).alias("right")).first()
+    return model, known, bool(tested["all"]) and tested["right"] >= TRUST * tested["all"]
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, bound: int = SAMPLE_ROWS) -> DataFrame:
@@ -113,18 +124,18 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, bou
     parts = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     parts = parts.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     rows = parts.select("page_id", "url", "host", "path", "_rule.rule", F.col("_rule.verdict").alias("listed"))
-    share = min(1.0, bound / max(1, pages.count()))
-    sample = rows.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    weight = F.when(F.col("listed").isNull(), F.lit(UNLISTED_WEIGHT)).otherwise(F.lit(1.0))
-    labelled = sample.select("url", "host", "path", F.coalesce(F.col("listed") == "block", F.lit(False)).cast("double").alias("y"), weight.alias("weight"))
+    listed = rows.filter("listed is not null")
+    share = min(1.0, bound / max(1, listed.count()))
+    sample = listed.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    labelled = sample.select("url", "host", "path", (F.col("listed") == "block").cast("double").alias("y"))
     learned = learn(labelled)
     if learned is None:
         return rows.select("page_id", "url", "host", "path", "rule", F.coalesce("listed", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("blocked"))
-    model, known = learned
+    model, known, trusted = learned
     keep = ["page_id", "url", "host", "path", "rule", "listed"]
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_with_suffix(lexical(rows), known)).select(*keep, "features")
     scored = model.setProbabilityCol("probability").transform(ready).withColumn("_p", vector_to_array("probability")[1])
-    verdict = F.coalesce("listed", F.when(F.col("_p") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
+    verdict = F.coalesce("listed", F.when(F.lit(trusted) & (F.col("_p") >= BLOCK_AT), F.lit("block")).otherwise(F.lit("allow")))
     return scored.select(*keep[:5], verdict.alias("verdict"), F.when(F.col("listed").isNull(), F.col("_p")).alias("blocked"))
 
 
