@@ -428,6 +428,11 @@ def agent_sql() -> str:
    / (count(*) filter (rollout >= 0) + 0.002e0)) as ll_{n} from r_{n} group by scenario_id, agent_id)"""
                     for n, cond in (("collision_indication", "f_distance_to_nearest_object < 0"), ("offroad_indication", "f_distance_to_road_edge > 0")))
     joins += [f"left join l_{n} using (scenario_id, agent_id)" for n in ("collision_indication", "offroad_indication")]
+    flags += """
+, strayed as (select s.scenario_id, s.agent_id, s.rollout, sum(case when l.valid then sqrt(power(s.x - l.x, 2) + power(s.y - l.y, 2)) else 0 end) / greatest(count(*) filter (l.valid), 1) as a
+   from sim s join log l on l.scenario_id = s.scenario_id and l.agent_id = s.agent_id and l.step = s.step group by s.scenario_id, s.agent_id, s.rollout)
+, ades as (select scenario_id, agent_id, avg(a) as ade, min(a) as min_ade from strayed group by scenario_id, agent_id)"""
+    joins.append("left join ades using (scenario_id, agent_id)")
     return f"{FEATURE_SQL}{''.join(parts)}{flags}, agents as (select distinct scenario_id, agent_id from feat)\n, agent as (select * from agents {' '.join(joins)})"
 
 
@@ -435,16 +440,16 @@ METRICS = [*NAMES, "collision_indication", "offroad_indication"]
 
 
 @query("agent_log_likelihoods", px.with_views(
-    f"{agent_sql()} select scenario_id, agent_id, {', '.join(r(f'll_{m}', f'll_{m}') for m in METRICS)} from agent", "log", "sim", "road_segment"))
+    f"{agent_sql()} select scenario_id, agent_id, {', '.join(r(f'll_{m}', f'll_{m}') for m in METRICS)}, {r('ade', 'ade')}, {r('min_ade', 'min_ade')} from agent", "log", "sim", "road_segment"))
 def agent_log_likelihoods(spark: SparkSession, sf: str) -> DataFrame:
     feat = rl.features(all_states(spark, sf), cut_lineage(edges(spark, sf)), ["map_id"])
-    return rounded(rl.agent_scores(feat), *[f"ll_{m}" for m in METRICS])
+    return rounded(rl.agent_scores(feat), *[f"ll_{m}" for m in METRICS], "ade", "min_ade")
 
 
 def scenario_sql() -> str:
     meta = " + ".join(f"exp(avg(ll_{m})) * {sc.WEIGHTS[m]!r}::double" for m in sc.WEIGHTS)
     return f"""{agent_sql()}
-, scene as (select scenario_id, {', '.join(f'round_even(exp(avg(ll_{m})), 3) as {m}' for m in METRICS)}, round_even({meta}, 3) as realism_meta_score, count(*) as num_agents
+, scene as (select scenario_id, {', '.join(f'round_even(exp(avg(ll_{m})), 3) as {m}' for m in METRICS)}, round_even({meta}, 3) as realism_meta_score, round_even(avg(ade), 3) as ade, round_even(avg(min_ade), 3) as min_ade, count(*) as num_agents
    from agent group by scenario_id having {' and '.join(f'avg(ll_{m}) is not null' for m in METRICS)})"""
 
 
@@ -454,7 +459,7 @@ def scenario_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("d07_scenario_scores", px.with_views(
-    f"{scenario_sql()} select scenario_id, {', '.join(f'{m} + 0.0e0 as {m}' for m in [*METRICS, 'realism_meta_score'])}, num_agents from scene", "log", "sim", "road_segment"))
+    f"{scenario_sql()} select scenario_id, {', '.join(f'{m} + 0.0e0 as {m}' for m in [*METRICS, 'realism_meta_score', 'ade', 'min_ade'])}, num_agents from scene", "log", "sim", "road_segment"))
 def _(spark, sf):
     return scenario_table(spark, sf)
 
@@ -479,8 +484,8 @@ def _(spark, sf):
 
 
 @query("d09_dataset_summary", px.with_views(
-    f"""{scenario_sql()} select {', '.join(r(f'avg({m})', m) for m in [*METRICS, 'realism_meta_score'])}, {r('stddev_samp(realism_meta_score)', 'realism_meta_score_std')},
+    f"""{scenario_sql()} select {', '.join(r(f'avg({m})', m) for m in [*METRICS, 'realism_meta_score', 'ade', 'min_ade'])}, {r('stddev_samp(realism_meta_score)', 'realism_meta_score_std')},
     cast(coalesce(sum(num_agents), 0) as bigint) as total_num_agents, count(*) as unique_scenarios from scene""", "log", "sim", "road_segment"))
 def _(spark, sf):
     out = sc.dataset_summary(scenario_table(spark, sf))
-    return rounded(out, *METRICS, "realism_meta_score", "realism_meta_score_std")
+    return rounded(out, *METRICS, "realism_meta_score", "ade", "min_ade", "realism_meta_score_std")

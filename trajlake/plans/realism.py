@@ -2,8 +2,9 @@
 
 Log and simulated states go through the feature operators together (the log is rollout -1, and every
 join is keyed by rollout, so they cannot mix).  Scoring needs no join at all: histograms are pooled
-over time, so the mean log-likelihood of an agent's logged values follows from two bin-count vectors,
-the simulated and the logged one, which one aggregation per agent produces.
+over time, so the mean log-likelihood of an agent's logged values follows from the simulated and the logged count of
+each bin.  All counts are one long relation (agent, kind, bin): bins of the seven histograms, rollouts with a
+collision or a departure from the road, and rollouts with their displacement.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ def stack(sim: DataFrame, log: DataFrame, extra: list[str]) -> DataFrame:
     marks = kinematic_validity(log).withColumn("log_valid", F.col("valid"))
     mask = ["log_valid", "speed_valid", "acceleration_valid"]
     a = marks.withColumn("rollout", F.lit(LOG_ROLLOUT).cast("long")).select(*_BASE, *extra, "valid", *mask)
-    b = sim.join(marks.select("scenario_id", "agent_id", "step", *mask), ["scenario_id", "agent_id", "step"])
-    return a.unionByName(b.withColumn("valid", F.lit(True)).select(*_BASE, *extra, "valid", *mask))
+    a = a.withColumn("displacement", F.lit(0.0))
+    ref = marks.select("scenario_id", "agent_id", "step", *mask, F.col("x").alias("_lx"), F.col("y").alias("_ly"))
+    b = sim.join(ref, ["scenario_id", "agent_id", "step"]).withColumn("valid", F.lit(True))
+    return a.unionByName(b.select(*_BASE, *extra, "valid", *mask, F.hypot(F.col("x") - F.col("_lx"), F.col("y") - F.col("_ly")).alias("displacement")))
 
 
 def features(states: DataFrame, edges: DataFrame | None, on: list[str]) -> DataFrame:
@@ -45,7 +48,7 @@ def features(states: DataFrame, edges: DataFrame | None, on: list[str]) -> DataF
     else:
         f = f.withColumn("road_edge_distance", F.lit(None).cast("double"))
     return f.select(
-        "scenario_id", "agent_id", "rollout", "step", "object_type", "log_valid", "speed_valid", "acceleration_valid",
+        "scenario_id", "agent_id", "rollout", "step", "object_type", "log_valid", "speed_valid", "acceleration_valid", "displacement",
         F.col("speed").alias("linear_speed"), F.col("acceleration").alias("linear_acceleration"), "angular_speed", "angular_acceleration",
         F.coalesce("nearest_distance", F.lit(FAR)).alias("distance_to_nearest_object"),
         F.col("ttc").alias("time_to_collision"),
@@ -53,41 +56,50 @@ def features(states: DataFrame, edges: DataFrame | None, on: list[str]) -> DataF
     )
 
 
+FLAGS = ["collision_indication", "offroad_indication"]
+
+
 def agent_scores(feat: DataFrame) -> DataFrame:
-    """One row per agent with ``ll_<metric>`` for the seven histogram and the two Bernoulli metrics."""
-    feat = feat.withColumns(
-        {
-            "valid": F.col("log_valid"),
-            "vehicle_valid": F.col("log_valid") & (F.col("object_type") == 1),
-            "_hit": (F.col("distance_to_nearest_object") < 0) & F.col("log_valid"),
-            "_off": (F.col("distance_to_road_edge") > 0) & F.col("log_valid"),
-        }
-    )
+    """One row per agent: ``ll_<metric>`` for the seven histogram and the two Bernoulli metrics, ``ade`` and ``min_ade``.
+
+    A state gives at most ten entries (kind, bin, simulated, logged, distance), which are summed by bin before they are
+    shuffled; the scores of an agent are sums over its few bins.
+    """
     logged = F.col("rollout") == LOG_ROLLOUT
-    for s in REALISM:
+    masks = {"valid": F.col("log_valid"), "vehicle_valid": F.col("log_valid") & (F.col("object_type") == 1)}
+    one, none = F.lit(1), F.lit(0)
+
+    def entry(kind: int, at, sim=F.when(logged, none).otherwise(one), log=F.when(logged, one).otherwise(none), far=F.lit(0.0)):
+        return F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("bin"), sim.alias("sim"), log.alias("log"), far.alias("far"))
+
+    entries = []
+    for i, s in enumerate(REALISM):
         # On the log side only values under the metric's mask are scored; simulated samples all count.
-        feat = feat.withColumn(f"_b_{s.name}", F.when(~logged | F.col(s.valid), bin_index(F.col(s.name), s)))
-    per_rollout = feat.groupBy("scenario_id", "agent_id", "rollout").agg(
-        *[F.count_if(F.col(f"_b_{s.name}") == b).alias(f"{s.name}_{b}") for s in REALISM for b in range(s.bins)],
-        F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("_hit"),
-        F.coalesce(F.bool_or("_off"), F.lit(False)).alias("_off"),
-    )
-    cells = [f"{s.name}_{b}" for s in REALISM for b in range(s.bins)]
-    per_agent = per_rollout.groupBy("scenario_id", "agent_id").agg(
-        *[F.sum(F.when(~logged, F.col(c)).otherwise(0)).alias(f"s_{c}") for c in cells],
-        *[F.sum(F.when(logged, F.col(c)).otherwise(0)).alias(f"l_{c}") for c in cells],
-        *[F.count_if(~logged & F.col(f)).alias(f"n{f}") for f in ("_hit", "_off")],
-        *[F.bool_or(logged & F.col(f)).alias(f"l{f}") for f in ("_hit", "_off")],
-        F.count_if(~logged).alias("_rollouts"),
-    )
-    out = {}
-    for s in REALISM:
-        sims = [F.col(f"s_{s.name}_{b}") for b in range(s.bins)]
-        logs = [F.col(f"l_{s.name}_{b}") for b in range(s.bins)]
-        total = sum(sims[1:], sims[0]) + s.smoothing * s.bins
-        weighted = [n * F.ln((c + s.smoothing) / total) for n, c in zip(logs, sims)]
-        seen = sum(logs[1:], logs[0])
-        out[f"ll_{s.name}"] = F.when(seen > 0, sum(weighted[1:], weighted[0]) / seen)
-    for name, f in (("collision_indication", "_hit"), ("offroad_indication", "_off")):
-        out[f"ll_{name}"] = bernoulli_loglik(F.col(f"l{f}"), F.col(f"n{f}"), F.col("_rollouts"), BERNOULLI_SMOOTHING)
-    return per_agent.select("scenario_id", "agent_id", *[c.alias(k) for k, c in out.items()])
+        at = F.when(~logged | masks.get(s.valid, F.col(s.valid)), bin_index(F.col(s.name), s))
+        entries.append(F.when(at.isNotNull(), entry(i, at)))
+    hit, off, ride = (len(REALISM) + i for i in range(3))
+    for kind, flag in ((hit, F.col("distance_to_nearest_object") < 0), (off, F.col("distance_to_road_edge") > 0)):
+        entries.append(F.when(flag & F.col("log_valid"), entry(kind, F.col("rollout"))))
+    steps = F.when(F.col("log_valid"), one).otherwise(none)
+    entries.append(F.when(~logged, entry(ride, F.col("rollout"), steps, none, F.when(F.col("log_valid"), F.col("displacement")).otherwise(0.0))))
+    long = feat.select("scenario_id", "agent_id", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("scenario_id", "agent_id", "e.*")
+    cells = long.groupBy("scenario_id", "agent_id", "kind", "bin").agg(F.sum("sim").alias("sim"), F.sum("log").alias("log"), F.sum("far").alias("far"))
+
+    sums, out = [], {}
+    for i, s in enumerate(REALISM):
+        own = F.col("kind") == i
+        sums += [
+            F.sum(F.when(own, F.col("log") * F.ln(F.col("sim") + s.smoothing))).alias(f"_w{i}"),
+            F.sum(F.when(own, F.col("log"))).alias(f"_l{i}"), F.sum(F.when(own, F.col("sim"))).alias(f"_s{i}"),
+        ]
+        total = F.col(f"_s{i}") + s.smoothing * s.bins
+        out[f"ll_{s.name}"] = F.when(F.col(f"_l{i}") > 0, F.col(f"_w{i}") / F.col(f"_l{i}") - F.ln(total))
+    own = F.col("kind") == ride
+    ade = F.when(own, F.col("far") / F.greatest(F.col("sim"), one))
+    sums += [F.count_if(own).alias("_rollouts"), F.avg(ade).alias("ade"), F.min(ade).alias("min_ade")]
+    for name, kind in zip(FLAGS, (hit, off), strict=True):
+        own = F.col("kind") == kind
+        sums += [F.count_if(own & (F.col("sim") > 0)).alias(f"_n{kind}"), F.coalesce(F.bool_or(own & (F.col("log") > 0)), F.lit(False)).alias(f"_f{kind}")]
+        out[f"ll_{name}"] = bernoulli_loglik(F.col(f"_f{kind}"), F.col(f"_n{kind}"), F.col("_rollouts"), BERNOULLI_SMOOTHING)
+    per_agent = cells.groupBy("scenario_id", "agent_id").agg(*sums)
+    return per_agent.select("scenario_id", "agent_id", *[c.alias(k) for k, c in out.items()], "ade", "min_ade")
