@@ -48,8 +48,14 @@ def ranges_overlap(blocks: DataFrame, by: str, base: str) -> DataFrame:
     return span.join(F.broadcast(ref), F.lit(True)).select(by, "low", "high", ((F.col("low") <= F.col("_h")) & (F.col("_l") <= F.col("high"))).alias("overlaps"))
 
 
-def compare_runs(metric_log: DataFrame, base: str, value: str, run: str = "run", on: list[str] = ["epoch"]) -> DataFrame:
-    """Every run against the base run at matched epochs: difference and ratio."""
+def compare_runs(metric_log: DataFrame, base: str, value: str, run: str = "run", on: list[str] = ["epoch"], steps: str | None = None) -> DataFrame:
+    """Every run against the base run at matched epochs: difference and ratio.
+
+    Counts grow with the length of what they were counted over: with ``steps`` they are compared per 100 steps
+    (NULL where a run has none).
+    """
+    if steps is not None:
+        metric_log = metric_log.withColumn(value, F.when(F.col(steps) > 0, F.col(value) * 100.0 / F.col(steps)))
     ref = metric_log.filter(F.col(run) == base).select(*on, F.col(value).alias("base_value"))
     j = metric_log.filter(F.col(run) != base).join(ref, on)
     return j.withColumns(

@@ -126,9 +126,12 @@ def time_to_collision(state: DataFrame, frame: list[str] = FRAME, cell: float =
     )
 
 
-def collision_partner(state: DataFrame, frame: list[str] = FRAME, reach: float = 15.0, pedestrian: int = 2) -> DataFrame:
-    """Adds ``partner_id``: the first other agent (by id order) within 15 m whose box overlaps.  Pedestrians are skipped."""
-    active = _boxes(_valid(state).filter(F.col("object_type") != pedestrian), frame)
+def collision_partner(state: DataFrame, frame: list[str] = FRAME, reach: float = 15.0, pedestrian: int = 2, order: str = "agent_id") -> DataFrame:
+    """Adds ``partner_id``: the first other agent within 15 m whose box overlaps.  Pedestrians are skipped.
+
+    ``order`` names the column that tells who comes first (ids break ties), as the order in which agents are active.
+    """
+    active = _boxes(_valid(state).filter(F.col("object_type") != pedestrian), frame, F.col(order).alias("turn"))
     left = with_cell(active, F.col("x"), F.col("y"), reach)
     right = _renamed(
         cover_cells(active, F.col("x") - reach, F.col("x") + reach, F.col("y") - reach, F.col("y") + reach, reach),
@@ -140,7 +143,7 @@ def collision_partner(state: DataFrame, frame: list[str] = FRAME, reach: float =
         .filter((F.col("agent_id") != F.col("o_agent_id")) & (dx * dx + dy * dy <= reach * reach))
         .filter(boxes_overlap(Box.of(heading=False), _other()))
         .groupBy(*frame, "agent_id")
-        .agg(F.min("o_agent_id").alias("partner_id"))
+        .agg(F.min_by("o_agent_id", F.struct("o_turn", "o_agent_id")).alias("partner_id"))
     )
     return state.join(hits, [*frame, "agent_id"], "left")
 

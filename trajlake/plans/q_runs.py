@@ -262,10 +262,10 @@ def _(spark, sf):
 
 
 @query("d25_reward_attribution", px.with_views(
-    f"""{TRACE_SQL}, s as (select scenario_id, agent_id, count(*) as n, {', '.join(f'sum({t}) as {t}' for t in REWARD_TERMS)}, {' + '.join(f'abs(sum({t}))' for t in REWARD_TERMS)} as gross from trace group by 1, 2)
-    {' union all '.join(f"select scenario_id, agent_id, '{t}' as term, {r(t, 'total')}, {r(f'{t} / n', 'per_step')}, {r(f'abs({t}) / case when gross = 0 then 1 else gross end', 'share')} from s" for t in REWARD_TERMS)}""", "log"))
+    f"""{TRACE_SQL}, s as (select scenario_id, agent_id, count(*) as n, {', '.join(f'sum({t}) as {t}, count(*) filter ({t} <> 0) as h_{t}' for t in REWARD_TERMS)}, {' + '.join(f'abs(sum({t}))' for t in REWARD_TERMS)} as gross from trace group by 1, 2)
+    {' union all '.join(f"select scenario_id, agent_id, '{t}' as term, {r(t, 'total')}, {r(f'{t} / n', 'per_step')}, {r(f'abs({t}) / case when gross = 0 then 1 else gross end', 'share')}, h_{t} as steps_hit from s" for t in REWARD_TERMS)}""", "log"))
 def _(spark, sf):
-    a = ep.reward_attribution(trace(px.log(spark, sf)), DRIVE, REWARD_TERMS).drop("steps_hit")
+    a = ep.reward_attribution(trace(px.log(spark, sf)), DRIVE, REWARD_TERMS)
     return rounded(a, "total", "per_step", "share")
 
 
@@ -287,12 +287,13 @@ def _(spark, sf):
 
 @query("d27_eval_summary", f"""with p as (select l_orderkey, avg(l_quantity) as q, avg(case when l_returnflag <> 'N' then l_discount end) as d from lineitem group by 1)
     select count(*) as episodes, {r("avg(case when o_orderstatus = 'F' then 1.0e0 else 0.0e0 end)", 'success_rate')}, {r('avg(q)', 'mean_quantity')}, {r('avg(d)', 'mean_discount')},
-      (select count(*) from orders where o_orderpriority = '1-URGENT') as urgent from orders left join p on o_orderkey = l_orderkey""")
+      any_value(k.reason) as reason, any_value(k.n) as n from orders left join p on o_orderkey = l_orderkey cross join (select o_orderpriority as reason, count(*) as n from orders group by 1) k group by k.reason""")
 def _(spark, sf):
     step = px.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("episode"), F.col("l_quantity").alias("quantity"), F.when(F.col("l_returnflag") != "N", F.col("l_discount")).alias("discount"))
     episode = px.table(spark, sf, "orders").select(F.col("o_orderkey").alias("episode"), (F.col("o_orderstatus") == "F").alias("success"), F.col("o_orderpriority").alias("termination"))
     s = ep.eval_summary(step, episode, "episode", ["quantity", "discount"])
-    return rounded(s.withColumn("urgent", F.col("terminations")["1-URGENT"]).drop("terminations"), "success_rate", "mean_quantity", "mean_discount")
+    s = s.select("episodes", "success_rate", "mean_quantity", "mean_discount", F.explode("terminations").alias("reason", "n"))
+    return rounded(s, "success_rate", "mean_quantity", "mean_discount")
 
 
 @query("d32_info_means", f"""select event_type as key, 'flat' as kind, {r('avg(value)', 'mean')} from events group by 1 union all
@@ -344,6 +345,15 @@ def _(spark, sf):
     return rounded(ex.compare_runs(px.metric_log(spark, sf), "click", "metric").select("run", "epoch", "delta", "ratio"), "delta", "ratio")
 
 
+@query("d37_compare_runs_per_100_steps", px.with_views(
+    f""", c as (select run, epoch, floor(metric) as hits, 50 + epoch % 100 as steps from metric_log)
+    select a.run, epoch, {r('100.0e0 * a.hits / a.steps - 100.0e0 * b.hits / b.steps', 'delta')}, {r('(100.0e0 * a.hits / a.steps) / nullif(100.0e0 * b.hits / b.steps, 0)', 'ratio')}
+    from c a join c b using (epoch) where a.run <> 'click' and b.run = 'click'""", "metric_log"))
+def _(spark, sf):
+    m = px.metric_log(spark, sf).select("run", "epoch", F.floor("metric").alias("hits"), (F.lit(50) + F.col("epoch") % 100).alias("steps"))
+    return rounded(ex.compare_runs(m, "click", "hits", steps="steps").select("run", "epoch", "delta", "ratio"), "delta", "ratio")
+
+
 @query("e16_downsample", px.with_views(
     f""", n as (select *, count(*) over (partition by run) as n, row_number() over (partition by run order by epoch desc) - 1 as back from metric_log)
     , b as (select run, case when back = 0 then 50 else 49 - (back - 1) // ((n - 1) // 50) end as bucket, metric from n)

@@ -54,9 +54,9 @@ LOGPAIR = PAIRS.format(src="(select *, -1 as rollout from log)", valid="a.valid
 
 
 @query("c04_pairwise_distances", px.with_views(
-    f"""{box_distance_sql(LOGPAIR, PAIR_IDS)} select scenario_id, step, agent_id, other_id, {r('distance', 'distance')} from dist where distance <= 20.0e0""", "log"))
+    f"""{box_distance_sql(LOGPAIR, PAIR_IDS)} select scenario_id, step, agent_id, other_id, {r('distance', 'distance')} from dist where distance <= 40.0e0""", "log"))
 def _(spark, sf):
-    d = ia.pairwise_distances(log_states(spark, sf), 20.0)
+    d = ia.pairwise_distances(log_states(spark, sf))
     return d.select("scenario_id", "step", "agent_id", "other_id", r6("distance").alias("distance"))
 
 
@@ -116,6 +116,12 @@ def _(spark, sf):
     return c.select("scenario_id", "step", "agent_id", "partner_id")
 
 
+@query("c10_collision_partner_by_turn", px.with_views(partner_sql().replace("min(other_id) as partner_id", "arg_min(other_id, (other_id * 7 % 10, other_id)) as partner_id") + " select scenario_id, step, agent_id, partner_id from hit", "log"))
+def _(spark, sf):
+    turn = log_states(spark, sf).withColumn("turn", F.col("agent_id") * 7 % 10)
+    return ia.collision_partner(turn, order="turn").filter("partner_id is not null").select("scenario_id", "step", "agent_id", "partner_id")
+
+
 @query("c11_remove_bad_tracks", px.with_views(
     f"""{partner_sql()}, role as (select distinct scenario_id, agent_id, case when agent_id % 4 = 0 then 'static' else 'active' end as role from log)
     , firsts as (select h.scenario_id, h.agent_id, arg_min(partner_id, step) as partner_id from hit h join role using (scenario_id, agent_id) where role = 'active' group by h.scenario_id, h.agent_id)
@@ -136,9 +142,9 @@ def _(spark, sf):
         from b a join b o on a.scenario_id = o.scenario_id and a.step = o.step and a.agent_id <> o.agent_id
         where (o.x - a.x) * (o.x - a.x) + (o.y - a.y) * (o.y - a.y) <= 2500.0e0)
     select scenario_id, step, agent_id, slot, partner_id, {r('rel_x', 'rel_x')}, {r('rel_y', 'rel_y')}, {r('width', 'width')}, {r('length', 'length')},
-      {r('cos_heading', 'cos_heading')}, {r('sin_heading', 'sin_heading')}, {r('speed', 'speed')} from p where slot <= 4""", "log"))
+      {r('cos_heading', 'cos_heading')}, {r('sin_heading', 'sin_heading')}, {r('speed', 'speed')} from p where slot <= 31""", "log"))
 def _(spark, sf):
-    p = ia.partner_features(log_states(spark, sf), k=4).drop("rollout")
+    p = ia.partner_features(log_states(spark, sf)).drop("rollout")
     return rounded(p, "rel_x", "rel_y", "width", "length", "cos_heading", "sin_heading", "speed")
 
 
@@ -146,11 +152,11 @@ def _(spark, sf):
     f""", p as (select a.scenario_id, a.step, a.agent_id as ego_id, o.agent_id, o.x - a.x as dx, o.y - a.y as dy, a.heading as yaw, o.heading as h
        from log a join log o on a.scenario_id = o.scenario_id and a.step = o.step and a.agent_id <> o.agent_id)
     select scenario_id, step, ego_id, agent_id, {r('dx * cos(yaw) + dy * sin(yaw)', 'ego_x')}, {r('dy * cos(yaw) - dx * sin(yaw)', 'ego_y')},
-      {r('cos(h - yaw)', 'cos_heading')}, {r('sin(h - yaw)', 'sin_heading')} from p where dx * dx + dy * dy <= 144.0e0""", "log"))
+      {r('cos(h - yaw)', 'cos_heading')}, {r('sin(h - yaw)', 'sin_heading')} from p where dx * dx + dy * dy <= 48400.0e0""", "log"))
 def _(spark, sf):
     log = px.log(spark, sf)
     frame = log.select("scenario_id", "step", F.col("agent_id").alias("ego_id"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("heading").alias("yaw"))
-    c = ia.crop_agents(frame, log, ["scenario_id", "step"], 12.0)
+    c = ia.crop_agents(frame, log, ["scenario_id", "step"])
     cols = ["ego_x", "ego_y", "cos_heading", "sin_heading"]
     return rounded(c.select("scenario_id", "step", "ego_id", "agent_id", *cols), *cols)
 
@@ -267,9 +273,9 @@ def spiral_sql() -> str:
         row_number() over (partition by scenario_id, agent_id, step order by ring, polyline_id, seg_idx) as slot
         from e cross join (values {spiral_sql()}) s(ring, ox, oy) join m on m.map_id = e.map_id and m.gx = e.ex + ox and m.gy = e.ey + oy)
     select {IDS}, slot, polyline_id, seg_idx, {r('(rx * hx + ry * hy) * 0.02e0', 'rel_x')}, {r('(ry * hx - rx * hy) * 0.02e0', 'rel_y')}, {r('half / 100.0e0', 'length')},
-      {r('ux / half * hx + uy / half * hy', 'cos_angle')}, {r('uy / half * hx - ux / half * hy', 'sin_angle')}, {r('road_type - 4.0e0', 'type')} from j where slot <= 24""", "log", "road_segment"))
+      {r('ux / half * hx + uy / half * hy', 'cos_angle')}, {r('uy / half * hx - ux / half * hy', 'sin_angle')}, {r('road_type - 4.0e0', 'type')} from j where slot <= 128""", "log", "road_segment"))
 def _(spark, sf):
-    f = rd.road_features(px.log(spark, sf), segments(spark, sf), ["map_id"], ID, k=24).drop("width")
+    f = rd.road_features(px.log(spark, sf), segments(spark, sf), ["map_id"], ID, k=128).drop("width")
     return rounded(f, "rel_x", "rel_y", "length", "cos_angle", "sin_angle", "type")
 
 
