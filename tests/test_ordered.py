@@ -87,6 +87,20 @@ def test_upsert_by_distance(spark):
     assert got == kept == {2, 4, 7, 8}
 
 
+def test_upsert_with_a_dozen_parameters(spark):
+    rnd = random.Random(12)
+    names, rows = [f"p{i}" for i in range(12)], []
+    for base in range(40):
+        centre = [rnd.choice([0.0, 1.0, rnd.random()]) for _ in names]
+        for _ in range(4):
+            step = [rnd.gauss(0, 1) for _ in names]
+            scale = rnd.choice([0.5e-6, 0.99e-6, 1.01e-6, 3e-6]) / sum(v * v for v in step) ** 0.5
+            rows.append((len(rows), *[c + v * scale for c, v in zip(centre, step, strict=True)]))
+    got = {r["s"] for r in ex.upsert_runs(spark.createDataFrame(rows, "s long, " + ", ".join(f"{n} double" for n in names)), names, "s").collect()}
+    gap = lambda a, b: sum((x - y) ** 2 for x, y in zip(a[1:], b[1:], strict=True)) ** 0.5
+    assert got == {a[0] for a in rows if not any(b[0] > a[0] and gap(a, b) < 1e-6 for b in rows)} and len(got) < len(rows)
+
+
 def test_pareto_matches_pairwise_definition(spark):
     rnd = random.Random(2)
     rows = [(i, rnd.choice([1.0, 2.0, 2.0 + 5e-7, 3.0, rnd.random() * 4]), rnd.choice([1.0, 1.0 + 5e-7, 2.0, rnd.random() * 3])) for i in range(120)] + [(500, 9.0, 0.5)]

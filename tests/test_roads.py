@@ -35,8 +35,16 @@ def test_drivable_cells_match_brute_force(spark):
 
 def test_polygon_cells(spark):
     tri = spark.createDataFrame([("m", [(0.0, 0.0), (8.0, 0.0), (0.0, 8.0)])], "map_id string, pts array<struct<x:double,y:double>>")
-    got = {(r["cx"], r["cy"]) for r in rd.polygon_cells(tri, ["map_id"], 1.0).collect()}
-    assert got == {(i, j) for i in range(8) for j in range(8) if i + 0.5 + j + 0.5 < 8}
+    cells = lambda df: sorted((x, r["cy"]) for r in df.collect() for x in range(r["lo"], r["hi"] + 1))
+    assert cells(rd.polygon_spans(tri, ["map_id"], 1.0)) == [(i, j) for i in range(8) for j in range(8) if i + 0.5 + j + 0.5 < 8]
+    # A comb: the scan line cuts several spans a row, which only the closing joins.
+    comb = [(0.0, 0.0), (9.0, 0.0), (9.0, 6.0), (7.0, 6.0), (7.0, 2.0), (5.0, 2.0), (5.0, 6.0), (3.0, 6.0), (3.0, 2.0), (2.0, 2.0), (2.0, 6.0), (0.0, 6.0)]
+    spans = rd.polygon_spans(spark.createDataFrame([("m", comb)], tri.schema), ["map_id"], 1.0)
+    inside = set(cells(spans))
+    assert inside == {(i, j) for i in range(9) for j in range(6) if j < 2 or i not in (2, 5, 6)}
+    ring = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    grown = {(a + i, b + j) for a, b in inside for i, j in ring}
+    assert set(cells(rd.closed_spans(spans, ["map_id"], 1))) == {c for c in grown if all((c[0] + i, c[1] + j) in grown for i, j in ring)}
 
 
 def test_rings(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import cos, hypot, sin
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,12 +129,18 @@ def _extended(lists: Column, options: Column) -> Column:
 def upsert_runs(run_obs: DataFrame, params: list[str], seq: str, within: float = 1e-6) -> DataFrame:
     """Observations in the order of ``seq`` (unique), each replacing all earlier ones less than ``within`` away.
 
-    Distance is Euclidean over ``params``.  A point can only have such neighbours in its own grid cell or a touching
-    one, so rows meet on cells; of equal points only the last is left by then.  A row stays unless a later row lies
-    within the distance.
+    Distance is Euclidean over ``params``.  A projection to a line brings no two points farther apart, so near points lie
+    in the same or in touching cells along any line: rows meet on the cells of at most two lines (the coordinates
+    themselves, or two slanted lines through all of them), nine cells a point for any number of parameters, and the full
+    distance decides.  Of equal points only the last is left by then.
     """
     run_obs = run_obs.groupBy(*params).agg(F.max_by(F.struct(*run_obs.columns), seq).alias("_r")).select("_r.*")
-    cells = [F.floor(F.col(p) / within) for p in params]
+    if len(params) > 2:
+        slants = [[cos(i + 1.0) for i in range(len(params))], [sin(2.0 * i + 1.0) for i in range(len(params))]]
+        lines = [sum(F.col(p) * (w / hypot(*slant)) for p, w in zip(params, slant, strict=True)) for slant in slants]
+    else:
+        lines = [F.col(p) for p in params]
+    cells = [F.floor(x / (2 * within)) for x in lines]  # twice as wide as needed, which covers rounding
     beside = [F.array(*[c + d for d in (-1, 0, 1)]) for c in cells]
     around = F.transform(beside[0], lambda x: F.array(x))
     for options in beside[1:]:

@@ -431,65 +431,104 @@ def map_stats(points: DataFrame, by: list[str], road: str = "polyline_id") -> Da
     )
 
 
-def drivable_cells(
+def _row_of(value: Column, resolution: float) -> Column:
+    """First raster row or column whose centre is at or beyond ``value``."""
+    return F.ceil(value / resolution - 0.5).cast("long")
+
+
+def _rows_between(df: DataFrame, low: Column, high: Column, resolution: float) -> DataFrame:
+    """One row per raster row ``cy`` whose centre lies in [low, high]."""
+    first, last = _row_of(low, resolution), F.floor(high / resolution - 0.5).cast("long")
+    return df.filter(first <= last).withColumn("cy", F.explode(F.sequence(first, last)))
+
+
+def lane_spans(lanes: DataFrame, by: list[str], resolution: float, half_width: float) -> DataFrame:
+    """Spans (cy, lo, hi) of raster columns whose centres are within ``half_width`` of a segment, one per segment and row.
+
+    What is near a segment is convex, so a raster row meets it in one interval: between the outermost points where
+    the row's centre line cuts the two end discs and the sides of the strip between them.
+    """
+    rows = _rows_between(lanes, F.least("y0", "y1") - half_width, F.greatest("y0", "y1") + half_width, resolution)
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    rows = rows.withColumns({"_y": (F.col("cy") + 0.5) * resolution, "_len": F.hypot(x1 - x0, y1 - y0)})
+    y = F.col("_y")
+    nx, ny = (y0 - y1) / F.col("_len") * half_width, (x1 - x0) / F.col("_len") * half_width
+    cuts = []
+    for cx, cy in ((x0, y0), (x1, y1)):
+        rest = F.lit(half_width**2) - (y - cy) * (y - cy)
+        half = F.when(rest >= 0, F.sqrt(rest))
+        cuts += [cx - half, cx + half]
+    corners = [(x0 + nx, y0 + ny), (x1 + nx, y1 + ny), (x1 - nx, y1 - ny), (x0 - nx, y0 - ny)]
+    for (ax, ay), (bx, by_) in zip(corners, corners[1:] + corners[:1], strict=True):
+        crosses = (F.col("_len") > 0) & (ay != by_) & (y >= F.least(ay, by_)) & (y <= F.greatest(ay, by_))
+        cuts.append(F.when(crosses, ax + (y - ay) / (by_ - ay) * (bx - ax)))
+    rows = rows.withColumn("_cuts", F.array(*cuts))
+    lo, hi = _row_of(F.array_min("_cuts"), resolution), F.floor(F.array_max("_cuts") / resolution - 0.5).cast("long")
+    return rows.select(*by, "cy", lo.alias("lo"), hi.alias("hi")).filter("lo <= hi")
+
+
+def polygon_spans(polygons: DataFrame, by: list[str], resolution: float) -> DataFrame:
+    """Spans of cells whose centres lie in a polygon (``pts`` array of x, y) by the even-odd rule: a scan line per raster row."""
+    p = polygons.filter(F.size("pts") >= 3)
+    ys = F.transform("pts", lambda q: q["y"])
+    rows = _rows_between(p.select(*by, "pts"), F.array_min(ys), F.array_max(ys), resolution).withColumn("_y", (F.col("cy") + 0.5) * resolution)
+    turned = F.concat(F.slice("pts", 2, F.size("pts") - 1), F.slice("pts", 1, 1))
+    y = F.col("_y")
+    cut = F.zip_with("pts", turned, lambda a, b: F.when((a["y"] > y) != (b["y"] > y), (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]))
+    rows = rows.withColumn("_x", F.array_sort(F.filter(cut, lambda x: x.isNotNull())))
+    pairs = F.filter(F.transform("_x", lambda x, i: F.when(i % 2 == 0, F.struct(x.alias("a"), F.get("_x", i + 1).alias("b")))), lambda q: q.isNotNull())
+    rows = rows.select(*by, "cy", F.explode(pairs).alias("q"))
+    return rows.select(*by, "cy", _row_of(F.col("q.a"), resolution).alias("lo"), (_row_of(F.col("q.b"), resolution) - 1).alias("hi")).filter("lo <= hi")
+
+
+def merged_spans(spans: DataFrame, by: list[str]) -> DataFrame:
+    """The union of the spans of each raster row: touching and overlapping spans become one."""
+    w = Window.partitionBy(*by, "cy").orderBy("lo", "hi")
+    fresh = F.col("lo") > F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1
+    marked = spans.withColumn("_fresh", F.coalesce(fresh, F.lit(True)).cast("int"))
+    marked = marked.withColumn("_part", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*by, "cy", "_part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_part")
+
+
+def closed_spans(spans: DataFrame, by: list[str], reach: int) -> DataFrame:
+    """Morphological closing of disjoint spans with a square of ``reach`` cells: union after growing, intersection after shrinking."""
+    near = lambda df: df.withColumn("cy", F.explode(F.sequence(F.col("cy") - reach, F.col("cy") + reach)))
+    grown = merged_spans(near(spans).withColumns({"lo": F.col("lo") - reach, "hi": F.col("hi") + reach}), by)
+    # A cell stays where all rows around it hold it, shrunk: a sweep over starts and ends counts them.
+    shrunk = near(grown.withColumns({"lo": F.col("lo") + reach, "hi": F.col("hi") - reach}).filter("lo <= hi"))
+    ends = shrunk.select(*by, "cy", F.explode(F.array(F.struct(F.col("lo").alias("x"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("x"), F.lit(-1).alias("d")))).alias("e"))
+    ends = ends.groupBy(*by, "cy", F.col("e.x").alias("x")).agg(F.sum("e.d").alias("d"))
+    w = Window.partitionBy(*by, "cy").orderBy("x")
+    swept = ends.withColumns({"_held": F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.lead("x").over(w)})
+    full = swept.filter(F.col("_held") == 2 * reach + 1).select(*by, "cy", F.col("x").alias("lo"), (F.col("_next") - 1).alias("hi"))
+    return merged_spans(full, by)
+
+
+def drivable_spans(
     segments: DataFrame, by: list[str], resolution: float = 0.5, half_width: float = 2.25, closing: float = 1.0,
     polygons: DataFrame | None = None,
 ) -> DataFrame:
-    """Raster cells whose centre is within ``half_width`` of a lane (or inside a driveway polygon), closed by ``closing``.
-
-    Cells are rows, so a map of any size is spread over the cluster; dilation adds neighbour rows and
-    erosion counts them, both with map-side combining.
+    """Raster cells whose centre is within ``half_width`` of a lane (or inside a driveway polygon), closed by ``closing``,
+    as disjoint spans (cy, lo, hi) of columns: rows grow with the outline, not with the area.
     """
-    lanes = segments.filter(F.col("road_type") == LANE).select(*by, "x0", "y0", "x1", "y1")
-    cells = cover_cells(
-        lanes, F.least("x0", "x1") - half_width, F.greatest("x0", "x1") + half_width,
-        F.least("y0", "y1") - half_width, F.greatest("y0", "y1") + half_width, resolution,
-    )
-    px, py = (F.col("cx") + 0.5) * resolution, (F.col("cy") + 0.5) * resolution
-    inside = cells.filter(
-        point_segment_distance(px, py, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) <= half_width
-    ).select(*by, "cx", "cy").distinct()
+    spans = lane_spans(segments.filter(F.col("road_type") == LANE).select(*by, "x0", "y0", "x1", "y1"), by, resolution, half_width)
     if polygons is not None:
-        inside = inside.unionByName(polygon_cells(polygons, by, resolution)).distinct()
-    r = int(round(closing / resolution))
-    if not r:
-        return inside
-
-    def spread(df: DataFrame) -> DataFrame:
-        return df.withColumn("cx", F.explode(F.sequence(F.col("cx") - r, F.col("cx") + r))).withColumn(
-            "cy", F.explode(F.sequence(F.col("cy") - r, F.col("cy") + r))
-        )
-
-    dilated = spread(inside).distinct()
-    full = (2 * r + 1) ** 2
-    return spread(dilated).groupBy(*by, "cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") == full).drop("n")
+        spans = spans.unionByName(polygon_spans(polygons, by, resolution))
+    spans = merged_spans(spans, by)
+    reach = int(round(closing / resolution))
+    return closed_spans(spans, by, reach) if reach else spans
 
 
-def polygon_cells(polygons: DataFrame, by: list[str], resolution: float) -> DataFrame:
-    """Cells whose centre lies in a polygon (``pts`` array of x, y): even-odd count of edges to the right."""
-    p = polygons.filter(F.size("pts") >= 3)
-    box = p.select(
-        *by, "pts", F.array_min(F.transform("pts", lambda q: q["x"])).alias("x0"), F.array_max(F.transform("pts", lambda q: q["x"])).alias("x1"),
-        F.array_min(F.transform("pts", lambda q: q["y"])).alias("y0"), F.array_max(F.transform("pts", lambda q: q["y"])).alias("y1"),
-    )
-    cells = cover_cells(box, F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), resolution)
-    px, py = (F.col("cx") + 0.5) * resolution, (F.col("cy") + 0.5) * resolution
-    turned = F.concat(F.slice("pts", 2, F.size("pts") - 1), F.slice("pts", 1, 1))
-    crossings = F.aggregate(
-        F.zip_with("pts", turned, lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))),
-        F.lit(0),
-        lambda n, e: n + F.when(
-            ((e["ay"] > py) != (e["by"] > py)) & (px < (e["bx"] - e["ax"]) * (py - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]), 1
-        ).otherwise(0),
-    )
-    return cells.filter(crossings % 2 == 1).select(*by, "cx", "cy").distinct()
+def drivable_cells(segments: DataFrame, by: list[str], **how) -> DataFrame:
+    """The cells of ``drivable_spans``, one row each."""
+    return drivable_spans(segments, by, **how).select(*by, F.explode(F.sequence("lo", "hi")).alias("cx"), "cy")
 
 
-def coverage_share(cells: DataFrame, points: DataFrame, by: list[str], resolution: float = 0.5, margin: float = 10.0) -> DataFrame:
-    """Drivable share of each map's padded bounding box."""
+def coverage_share(spans: DataFrame, points: DataFrame, by: list[str], resolution: float = 0.5, margin: float = 10.0) -> DataFrame:
+    """Drivable share of each map's padded bounding box, from ``drivable_spans``."""
     area = points.groupBy(*by).agg(
         (F.ceil((F.max("x") - F.min("x") + 2 * margin) / resolution) + 1).alias("w"),
         (F.ceil((F.max("y") - F.min("y") + 2 * margin) / resolution) + 1).alias("h"),
     )
-    n = cells.groupBy(*by).agg(F.count("*").alias("n"))
+    n = spans.groupBy(*by).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n"))
     return area.join(n, by, "left").select(*by, F.coalesce("n", F.lit(0)).alias("cells"), (F.coalesce("n", F.lit(0)) / (F.col("w") * F.col("h"))).alias("share"))

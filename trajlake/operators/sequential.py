@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajlake.operators.ordered import with_index
+from trajlake.operators.ordered import prefix_scan, with_index, with_previous
 from trajlake.session import cut_lineage
 
 FAN = 16
@@ -92,6 +92,33 @@ def dedupe_displacement(df: DataFrame, by: list[str], order: list[str], threshol
     return met.filter((F.col("_i") == 0) | F.col("_b").isNotNull()).select(*df.columns)
 
 
+def gated_batches(df: DataFrame, key: list[str], batch: str, metrics: list[str], n: int) -> DataFrame:
+    """What the count gate of a stream gives out, over a whole table: ``batch`` orders its micro-batches.
+
+    Counts and sums of a key grow until a batch ends with at least ``n`` rows since the last output; then their means go
+    out and they start again.  Each batch points to the batch where a count begun after it would go out, found by
+    merging running counts with running counts plus ``n``, and the outputs are the orbit of the start.  What is left
+    over at the end goes out nowhere, as in the stream.
+    """
+    group = F.struct(*[F.col(c) for c in key])
+    per = df.groupBy(*key, batch).agg(F.count("*").alias("_n"), *[F.sum(m).cast("double").alias(f"_s_{m}") for m in metrics])
+    totals = {"_count": ("sum", F.col("_n"))} | {f"_sum_{m}": ("sum", F.col(f"_s_{m}")) for m in metrics}
+    ran = prefix_scan(per, key, [batch], totals)
+    ran = cut_lineage(with_index(ran, key, [batch], "_b").withColumns({"_group": group, "_i": F.col("_b") + 1}))
+    start = ran.select(*key, "_group", F.lit(0).cast("long").alias("_i"), F.lit(0).cast("long").alias("_count")).distinct()
+    spots = ran.select(*key, "_group", "_i", "_count").unionByName(start)
+    marks = spots.select(*key, "_group", "_i", (F.col("_count") + n).alias("_at"), F.lit(0).alias("_kind"))
+    merged = marks.unionByName(spots.filter("_i > 0").select(*key, "_group", "_i", F.col("_count").alias("_at"), F.lit(1).alias("_kind")))
+    # Downwards, the last running count met before a mark is the first one that reaches it.
+    ahead = prefix_scan(merged.drop("_group"), key, [F.desc("_at"), F.desc("_kind"), F.desc("_i")], {"_next": ("last", F.when(F.col("_kind") == 1, F.col("_i")))})
+    pointers = ahead.filter("_kind = 0 and _next is not null").select(group.alias("_group"), "_i", "_next")
+    out = orbit(pointers).filter("_i > 0").withColumnsRenamed({"_group": "_g", "_i": "_b2"})
+    went = ran.join(out, (F.col("_group") == F.col("_g")) & (F.col("_i") == F.col("_b2"))).drop("_g", "_b2")
+    was = with_previous(went, key, [batch], {"_was": "_count"} | {f"_was_{m}": f"_sum_{m}" for m in metrics})
+    rows = F.col("_count") - F.coalesce("_was", F.lit(0))
+    return was.select(*key, batch, rows.alias("n"), *[((F.col(f"_sum_{m}") - F.coalesce(f"_was_{m}", F.lit(0.0))) / rows).alias(m) for m in metrics])
+
+
 # How far behind and ahead of the last index a pose is looked for, in route points.
 BEHIND, AHEAD = 5, 250
 

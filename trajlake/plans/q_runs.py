@@ -22,6 +22,7 @@ from trajlake.plans.q_spatial import lanes
 from trajlake.plans.registry import query, r, r6, rounded
 from trajlake.sources import files as fs
 from trajlake.sources import scenario as sn
+from trajlake.streaming import stateful as st
 
 # ---------------------------------------------------------------- A: ingest
 
@@ -586,3 +587,22 @@ def _(spark, sf):
     route = log.select(*DRIVE, F.col("step").alias("pt_idx"), "x", "y", (F.col("step") % 10 == 9).alias("is_goal"))
     out = sq.track_route(log.select(*ID, (F.col("x") + 0.5).alias("x"), "y"), route, DRIVE, "step")
     return rounded(out, "progress", "deviation", "completion")
+
+
+@query("i01_gated_batches", f"""with recursive e as (select event_type, strftime(ts, '%Y-%m-%d') as day, value from events)
+    , per as (select event_type, day, count(*) as n, sum(value) as s from e group by 1, 2)
+    , c as (select event_type, day, sum(n) over w as cn, sum(s) over w as cs, row_number() over w as i from per window w as (partition by event_type order by day))
+    , g as (select distinct event_type, 0::bigint as i, 0::hugeint as cn, 0.0e0 as cs, cast(null as varchar) as day, 0::hugeint as n, 0.0e0 as mean from c
+      union all
+      select c.event_type, min(c.i), arg_min(c.cn, c.i), arg_min(c.cs, c.i), arg_min(c.day, c.i), arg_min(c.cn - g.cn, c.i), arg_min((c.cs - g.cs) / (c.cn - g.cn), c.i)
+      from g join c on c.event_type = g.event_type and c.i > g.i and c.cn - g.cn >= 40 group by c.event_type)
+    select event_type, day, cast(n as bigint) as n, {r('mean', 'value')} from g where i > 0""")
+def _(spark, sf):
+    e = px.table(spark, sf, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
+    return rounded(sq.gated_batches(e, ["event_type"], "day", ["value"], 40), "value")
+
+
+@query("i05_latest_values", f"select event_type, user_id, {r('arg_max(value, event_id)', 'value')}, max(event_id) as event_id from events group by event_type, user_id")
+def _(spark, sf):
+    e = px.table(spark, sf, "events").select("event_type", "user_id", "event_id", "value")
+    return rounded(st.latest_values(e, ["event_type", "user_id"], "event_id", "value"), "value")

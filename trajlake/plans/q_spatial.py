@@ -17,6 +17,7 @@ from trajlake.plans import realism as rl
 from trajlake.plans.q_core import CORNERS_SQL, ID, IDS, KIN, VALID, box_distance_sql, edge_bin_sql, segments
 from trajlake.plans.registry import query, r, r6, rounded
 from trajlake.session import cut_lineage
+from trajlake.sources.simplify import simplify_roads
 
 RID = ["scenario_id", "agent_id", "rollout", "step"]
 RIDS = "scenario_id, agent_id, rollout, step"
@@ -398,10 +399,44 @@ def _(spark, sf):
     return rounded(rd.map_stats(px.road_point(spark, sf), ["map_id"]), "mean_points")
 
 
-@query("d31_drivable_coverage")
+def polylines(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per polyline with its few points in order."""
+    p = px.road_point(spark, sf).groupBy("map_id", "polyline_id", "road_type")
+    return p.agg(F.array_sort(F.collect_list(F.struct("pt_idx", "x", "y"))).alias("pts"))
+
+
+@query("e12_split_rings", px.with_views(
+    "select polyline_id, pt_idx // 5 as ring, count(*) as points, count(*) = 5 as closed from road_point group by polyline_id, pt_idx // 5 having count(*) > 2", "road_point"))
+def _(spark, sf):
+    # Every fifth point returns to the start of its ring.
+    plain = F.transform("pts", lambda p, i: F.get("pts", F.when(i % 5 == 4, i - 4).otherwise(i)))
+    flat = polylines(spark, sf).withColumn("pts", F.transform(plain, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
+    rings = flat.select("polyline_id", F.posexplode(rd.split_rings(F.col("pts"))).alias("ring", "pts"))
+    first, last = F.get("pts", F.lit(0)), F.element_at("pts", -1)
+    return rings.select("polyline_id", F.col("ring").cast("long").alias("ring"), F.size("pts").cast("long").alias("points"), (first == last).alias("closed"))
+
+
+@query("a17_simplify_roads")
+def _(spark, sf):
+    road = polylines(spark, sf).select("polyline_id", F.col("road_type").alias("raw_type"), F.transform("pts", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(0.0).alias("z"))).alias("pts"))
+    return simplify_roads(road).select("polyline_id", "raw_type", F.size("pts").cast("long").alias("points"))
+
+
+@query("d31_drivable_coverage", px.with_views(
+    f""", l as (select map_id, x0, y0, x1 - x0 as sx, y1 - y0 as sy, cast(floor((least(x0, x1) - 2.25e0) / 0.5e0) as bigint) as ax, cast(floor((greatest(x0, x1) + 2.25e0) / 0.5e0) as bigint) as bx,
+        cast(floor((least(y0, y1) - 2.25e0) / 0.5e0) as bigint) as ay, cast(floor((greatest(y0, y1) + 2.25e0) / 0.5e0) as bigint) as by_ from road_segment where road_type = 4)
+    , c as (select *, unnest(range(ay, by_ + 1)) as cy from (select *, unnest(range(ax, bx + 1)) as cx from l))
+    , d as (select *, (cx + 0.5e0) * 0.5e0 - x0 as px, (cy + 0.5e0) * 0.5e0 - y0 as py from c)
+    , t as (select *, least(greatest((px * sx + py * sy) / (sx * sx + sy * sy), 0), 1) as t from d)
+    , inside as (select distinct map_id, cx, cy from t where sqrt(power(px - t * sx, 2) + power(py - t * sy, 2)) <= 2.25e0)
+    , box as (select a.i as i, b.i as j from range(-2, 3) a(i) cross join range(-2, 3) b(i))
+    , grown as (select distinct map_id, cx + i as cx, cy + j as cy from inside cross join box)
+    , closed as (select map_id, cx + i as cx, cy + j as cy from grown cross join box group by 1, 2, 3 having count(*) = 25)
+    , n as (select map_id, count(*) as n from closed group by map_id)
+    , area as (select map_id, (ceil((max(x) - min(x) + 20) / 0.5e0) + 1) * (ceil((max(y) - min(y) + 20) / 0.5e0) + 1) as a from road_point group by map_id)
+    select map_id, coalesce(n, 0) as cells, {r('coalesce(n, 0) / a', 'share')} from area left join n using (map_id)""", "road_segment"))
 def _(spark, sf):
-    cells = rd.drivable_cells(segments(spark, sf), ["map_id"], resolution=1.0)
-    return rounded(rd.coverage_share(cells, px.road_point(spark, sf), ["map_id"], 1.0), "share")
+    return rounded(rd.coverage_share(rd.drivable_spans(segments(spark, sf), ["map_id"]), px.road_point(spark, sf), ["map_id"]), "share")
 
 
 # ---------------------------------------------------------------- D7-D9: whole realism evaluation
