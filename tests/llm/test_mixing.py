@@ -66,3 +66,10 @@ def test_odd_rows(spark, odd_docs, sf):
     assert mixing.mix(odd_docs, mixing.WEIGHTS, total=0).count() == 0
     everything = mixing.mix(odd_docs, {"domain": {}, "lang": {}, "source": {}}, total=10**9, epochs=1)
     assert everything.count() == 7 and everything.filter("_copies <> 1").isEmpty()
+
+
+def test_a_clashing_column_gives_way(spark, odd_docs, sf):
+    docs = odd_docs.withColumn("mix_copies", F.lit("mine"))
+    out = mixing.stage(spark, docs, sf)
+    assert out.columns.count("mix_copies") == 1 and dict(out.dtypes)["mix_copies"] == "int" and "spans" in out.columns
+    assert out.count() <= docs.count() and mixing.stage(spark, docs.limit(0), sf).count() == 0

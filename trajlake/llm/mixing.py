@@ -150,6 +150,10 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix with their columns and the number of epochs that take them."""
+    """Documents of the mix with their columns and the number of epochs that take them, ``mix_copies``.
+
+    An input column of that name, in whatever case, gives way to the stage's own.
+    """
     taken = mix(docs, WEIGHTS)
-    return taken.select(*[F.col("_row")[c].alias(c) for c in docs.columns], F.col("_copies").alias("mix_copies"))
+    kept = [c for c in docs.columns if c.lower() != "mix_copies"]
+    return taken.select(*[F.col("_row")[c].alias(c) for c in kept], F.col("_copies").alias("mix_copies"))
