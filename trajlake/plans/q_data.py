@@ -361,10 +361,11 @@ def _(spark, sf):
     return cu.missing_keys(px.table(spark, sf, "lineitem"), have, ["l_partkey"])
 
 
-@query("g07_verify_dataset", """with p as (select label, vec_id, case when vec_id % 97 = 3 then 'x' else label || '__' || vec_id end as file, case when vec_id % 89 = 5 then 1 else 2 end as schema_version from embeddings where vec_id % 101 <> 7)
+@query("g07_verify_dataset", """with p as (select case when vec_id % 101 = 7 then label + 1000 else label end as label, vec_id, case when vec_id % 97 = 3 then 'x' else label || '__' || vec_id end as file, case when vec_id % 89 = 5 then 1 else 2 end as schema_version from embeddings)
     , f as (select label, vec_id, label || '__' || vec_id as file, case when vec_id % 83 = 11 then 'other' else label || '__' || vec_id end as processed_file, len(embedding) as dim, case when vec_id % 79 = 2 then 'bbb' else 'aaa' end as source_sha from embeddings)
     select rule, cast(label as varchar) as label, cast(vec_id as varchar) as vec_id from (
       select 'pairing: unknown reference' as rule, label, vec_id from f where not exists (select 1 from p where p.label = f.label and p.vec_id = f.vec_id)
+      union all select 'pairing: unpaired', label, vec_id from p where not exists (select 1 from f where p.label = f.label and p.vec_id = f.vec_id)
       union all select 'file name differs from identity', label, vec_id from p where file <> label || '__' || vec_id
       union all select 'schema version', label, vec_id from p where schema_version <> 2
       union all select 'feature source differs', label, vec_id from f where processed_file <> file
@@ -375,7 +376,7 @@ def _(spark, sf):
     name = F.concat_ws("__", F.col("label").cast("string"), F.col("vec_id").cast("string"))
     i = F.col("vec_id")
     # Injected violations, so that every rule has something to find.
-    p = e.filter(i % 101 != 7).select("label", "vec_id", F.when(i % 97 == 3, "x").otherwise(name).alias("file"), F.when(i % 89 == 5, 1).otherwise(2).alias("schema_version"))
+    p = e.select(F.when(i % 101 == 7, F.col("label") + 1000).otherwise(F.col("label")).alias("label"), "vec_id", F.when(i % 97 == 3, "x").otherwise(name).alias("file"), F.when(i % 89 == 5, 1).otherwise(2).alias("schema_version"))
     f = e.select("label", "vec_id", name.alias("file"), F.when(i % 83 == 11, "other").otherwise(name).alias("processed_file"), F.col("embedding").alias("vec"), F.when(i % 79 == 2, "bbb").otherwise("aaa").alias("source_sha"))
     return cu.verify_dataset(p, f, ["label", "vec_id"], 64, 2)
 
