@@ -233,8 +233,9 @@ def offroad_flags(
 def road_features(state: DataFrame, segments: DataFrame, on: list[str], ids: list[str], k: int = 128, reach: int = 2) -> DataFrame:
     """Up to ``k`` road segments from the 5 m cells around the ego in spiral order, in the ego frame.
 
-    Segments are registered by midpoint in every cell that can see them (with its place in the spiral),
-    so an ego row looks up exactly one cell; the top-k limit is applied before the shuffle completes.
+    Segments are registered by midpoint in every cell that can see them (with its place in the spiral).  All egos of a cell
+    see the same segments in the same order, so the first ``k`` are ranked once per cell, and an ego row only looks up the
+    list of its own cell.
     """
     offsets = F.array(*[F.struct(F.lit(-dx).cast("long").alias("dx"), F.lit(-dy).cast("long").alias("dy")) for dx, dy in spiral(reach)])
     mid = segments.withColumns({"mx": (F.col("x0") + F.col("x1")) / 2, "my": (F.col("y0") + F.col("y1")) / 2})
@@ -245,7 +246,8 @@ def road_features(state: DataFrame, segments: DataFrame, on: list[str], ids: lis
     )
     keep = list(dict.fromkeys([*ids, *on]))
     ego = with_cell(state.select(*keep, "x", "y", F.cos("heading").alias("hx"), F.sin("heading").alias("hy")), F.col("x"), F.col("y"))
-    w = Window.partitionBy(*ids).orderBy("ring", "polyline_id", "seg_idx")
+    w = Window.partitionBy(*on, "cx", "cy").orderBy("ring", "polyline_id", "seg_idx")
+    listed = seen.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= k)
     hx, hy = F.col("hx"), F.col("hy")
     rx, ry = F.col("mx") - F.col("x"), F.col("my") - F.col("y")
     ex, ey = F.col("x1") - F.col("mx"), F.col("y1") - F.col("my")
@@ -253,9 +255,7 @@ def road_features(state: DataFrame, segments: DataFrame, on: list[str], ids: lis
     ux, uy = F.when(half > 0, ex / half).otherwise(ex), F.when(half > 0, ey / half).otherwise(ey)
     # Observation scales.
     return (
-        ego.join(seen, [*on, "cx", "cy"])
-        .withColumn("slot", F.row_number().over(w))
-        .filter(F.col("slot") <= k)
+        ego.join(listed, [*on, "cx", "cy"])
         .select(
             *ids, F.col("slot").cast("long").alias("slot"), "polyline_id", "seg_idx",
             ((rx * hx + ry * hy) * 0.02).alias("rel_x"),
