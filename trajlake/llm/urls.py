@@ -2,16 +2,18 @@
 
 A rule names a host and a path prefix.  It fits the host and its subdomains where the path begins with its path, and
 the longest fitting rule decides.  Pages without a rule are judged by gradient-boosted trees that learn from labelled
-URLs, which are the pages that a rule blocks or allows; both kinds weigh the same in total.  What only repeats a rule, its
-host or the language at the start of its path, is no feature.  Suffix statistics are the blocked share, drawn towards a
-half, of the labelled URLs whose last path part ends alike.  A page is blocked where the trees are sure (``BLOCK_AT``), and only if that is borne out: of the
-quarter of the labelled URLs that the trees do not learn from, at least ``TRUST`` (by weight) of those they would
-block must be blocked ones.  So labels which lexical features do not explain block nothing.  Learning takes about
+URLs, which are the pages that a rule blocks or allows; both kinds weigh the same in total.  What only repeats a rule is
+no feature: the host, whose length alone can tell listed sites apart, and the language at the start of the path.  Suffix
+statistics are the blocked share, drawn towards a half, of the labelled URLs whose last path part ends alike.  A page is
+blocked where the trees are sure (``BLOCK_AT``), and only if that is borne out: of the quarter of the labelled URLs that
+the trees do not learn from they must be sure of at least ``LEAST_SURE``, of which at least ``TRUST`` (by weight) are
+blocked ones.  So labels which lexical features do not explain, or too few labels, block nothing.  Learning takes about
 ``SAMPLE_ROWS`` labelled URLs, chosen by a hash.
 
 Defined results: a NULL URL or one without :// has an empty host and path, no rule, and is judged by the trees on its
-characters; very long URLs are read whole; columns besides ``page_id`` and ``url`` are dropped, so none can clash; an empty table gives an empty result; where only one kind of label exists, every other page is allowed;
-repeated rows are judged row by row.  Only ``page_id`` and ``url`` are read.
+characters; very long URLs are read whole; columns besides ``page_id`` and ``url`` are dropped, so none can clash; an empty
+table gives an empty result; where only one kind of label exists, every other page is allowed; repeated rows are judged
+row by row.  Only ``page_id`` and ``url`` are read.
 """
 
 from __future__ import annotations
@@ -38,9 +40,9 @@ SAMPLE_ROWS = 20_000
 MOST_SUFFIXES = 256
 DOUBT = 20.0
 BLOCK_AT = 0.8
-TRUST = 0.9
+TRUST, LEAST_SURE = 0.9, 30
 TREES, DEPTH, LEAF = 12, 3, 10
-FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_share", "hyphens", "parameters", "entropy", "path_entropy", "secure", "suffix_share", "suffix_known"]
+FEATURES = ["length", "path_length", "depth", "digit_share", "hyphens", "parameters", "entropy", "path_entropy", "secure", "suffix_share", "suffix_known"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,16 +81,15 @@ def _entropy(text: Column) -> Column:
 
 
 def lexical(pages: DataFrame) -> DataFrame:
-    """``pages`` (url, host, path) with the features that need no statistics, and ``suffix``."""
-    url, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
-    n = F.greatest(F.length(url), F.lit(1))
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
+    """``pages`` (url, path) with the features of what follows the host that need no statistics, and ``suffix``."""
+    path = F.col("path")
+    rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"(?s)^.*?://[^/?#]*", "")
+    query = F.regexp_extract(rest, r"\?([^#]*)", 1)
     return pages.withColumns({
-        "url_length": F.length(url), "host_length": F.length(host), "path_length": F.length(path),
-        "depth": F.size(F.filter(F.split(path, "/"), lambda p: p != "")), "labels": F.size(F.split(host, r"\.")),
-        "digit_share": F.length(F.regexp_replace(url, "[^0-9]", "")) / n, "hyphens": _count(host, "-"),
+        "length": F.length(rest), "path_length": F.length(path), "depth": F.size(F.filter(F.split(path, "/"), lambda p: p != "")),
+        "digit_share": F.length(F.regexp_replace(rest, "[^0-9]", "")) / F.greatest(F.length(rest), F.lit(1)), "hyphens": _count(rest, "-"),
         "parameters": F.when(query == "", F.lit(0)).otherwise(F.size(F.split(query, "&"))),
-        "entropy": _entropy(url), "path_entropy": _entropy(path), "secure": F.startswith(url, F.lit("https:")).cast("int"),
+        "entropy": _entropy(rest), "path_entropy": _entropy(path), "secure": F.startswith(F.coalesce("url", F.lit("")), F.lit("https:")).cast("int"),
         "suffix": F.when(F.endswith(path, F.lit("/")), F.lit("/")).otherwise(F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1))),
     })
 
@@ -114,8 +115,8 @@ def learn(labelled: DataFrame) -> tuple[GBTClassificationModel, dict[str, float]
     trees = GBTClassifier(labelCol="y", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF, maxBins=32, seed=5, checkpointInterval=-1)
     model = trees.fit(ready.filter("not held"))
     sure = model.setProbabilityCol("probability").transform(ready.filter("held")).filter(vector_to_array("probability")[1] >= BLOCK_AT)
-    tested = sure.agg(F.sum("weight").alias("all"), F.sum(F.col("weight") * F.col("y")).alias("right")).first()
-    return model, known, bool(tested["all"]) and tested["right"] >= TRUST * tested["all"]
+    tested = sure.agg(F.count("*").alias("rows"), F.sum("weight").alias("all"), F.sum(F.col("weight") * F.col("y")).alias("right")).first()
+    return model, known, tested["rows"] >= LEAST_SURE and tested["right"] >= TRUST * tested["all"]
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, bound: int = SAMPLE_ROWS) -> DataFrame:
