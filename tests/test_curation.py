@@ -211,3 +211,19 @@ def test_random_baseline_is_partition_independent(spark):
     assert a.exceptAll(b).isEmpty()
     start = a.filter("step = 0").collect()
     assert all(r["x"] == 5.0 * r["agent_id"] and r["heading"] == 0.3 for r in start) and a.count() == 72
+
+
+def test_gated_batches_equal_the_fold(spark):
+    rnd = random.Random(31)
+    rows = [(k, b, rnd.uniform(-5, 5)) for k in ("a", "b", None) for b in range(60) for _ in range(rnd.choice([0, 1, 1, 2, 9]))] + [("short", 1, 1.0)]
+    out = sq.gated_batches(spark.createDataFrame(rows, "k string, b long, v double"), ["k"], "b", ["v"], 12).collect()
+    want = {}
+    for k in ("a", "b", None):
+        held = []
+        for b in range(60):
+            held += [v for key, at, v in rows if key == k and at == b]
+            if len(held) >= 12 and any(key == k and at == b for key, at, _ in rows):
+                want[(k, b)] = (len(held), sum(held) / len(held))
+                held = []
+    assert {(r["k"], r["b"]): r["n"] for r in out} == {key: n for key, (n, _) in want.items()} and len(out) == len(want)
+    assert all(r["v"] == pytest.approx(want[(r["k"], r["b"])][1]) for r in out)

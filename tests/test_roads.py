@@ -1,4 +1,5 @@
 import math
+import random
 
 
 import pytest
@@ -102,3 +103,16 @@ def test_lane_point_sampling_follows_length(spark):
 def test_padded_slots(spark):
     df = spark.createDataFrame([(1, 2, 5.0, 6.0), (1, 1, 3.0, 4.0)], "k long, slot long, a double, b double")
     assert pad_slots(df, ["k"], ["a", "b"], 4).first()["obs"] == [3.0, 4.0, 5.0, 6.0, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_sample_goal_equals_the_full_comparison(spark):
+    rnd = random.Random(21)
+    pts = [("m", p, i, rnd.uniform(0, 250), rnd.uniform(0, 250)) for p in range(12) for i in range(6)] + [("far", 0, 0, 5000.0, 0.0), ("far", 0, 1, 5030.0, 0.0)]
+    state = [("m", a, rnd.uniform(-300, 500), rnd.uniform(-300, 500), rnd.uniform(-3, 3)) for a in range(60)] + [("far", 100, 0.0, 0.0, 0.0), ("far", 101, 0.0, 0.0, 3.1), ("none", 102, 0.0, 0.0, 0.0)]
+    got = {r["agent"]: (r["goal_x"], r["goal_y"]) for r in ln.sample_goal(
+        spark.createDataFrame(state, "map_id string, agent long, x double, y double, heading double"),
+        spark.createDataFrame(pts, "map_id string, polyline_id long, pt_idx long, x double, y double"), ["map_id"], ["agent"]).collect()}
+    assert len(got) == len(state)
+    for m, a, x, y, h in state:
+        ahead = [(abs(math.hypot(px - x, py - y) - 30.0), p, i, px, py) for k, p, i, px, py in pts if k == m and (px - x) * math.cos(h) + (py - y) * math.sin(h) > 0]
+        assert got[a] == (min(ahead)[3:] if ahead else (None, None))
