@@ -28,11 +28,12 @@ def conditioning_norm(values: Column, bounds: list[tuple[float, float]]) -> Colu
     return F.transform(values, lambda v, i: F.when(F.get(span, i) == 0, 0.0).otherwise((v - F.get(lo, i)) / F.get(span, i)))
 
 
-def conditioning_denorm(values: Column, bounds: list[tuple[float, float]]) -> Column:
-    """Inverse; values outside [0, 1] are an error."""
+def conditioning_denorm(values: Column, bounds: list[tuple[float, float]], strict: bool = True) -> Column:
+    """Inverse; values outside [0, 1] are an error, or extrapolated where ``strict`` is off."""
     lo, span = F.array(*[F.lit(a) for a, _ in bounds]), F.array(*[F.lit(b - a) for a, b in bounds])
     bad = F.raise_error(F.lit("normalised conditioning outside [0, 1]")).cast("double")
-    return F.transform(values, lambda v, i: F.when((v < 0) | (v > 1), bad).otherwise(F.get(lo, i) + v * F.get(span, i)))
+    outside = lambda v: (v < 0) | (v > 1) if strict else F.lit(False)
+    return F.transform(values, lambda v, i: F.when(outside(v), bad).otherwise(F.get(lo, i) + v * F.get(span, i)))
 
 
 def _forward(kind: str, v: Column) -> Column:
