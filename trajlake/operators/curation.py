@@ -18,9 +18,13 @@ def missing_keys(expected: DataFrame, actual: DataFrame, key: list[str]) -> Data
 
 
 def same_keys(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
-    """Keys present on one side only, with the side; empty means the key sets are equal."""
-    left = missing_keys(a, b, key).withColumn("only_in", F.lit("left"))
-    return left.unionByName(missing_keys(b, a, key).withColumn("only_in", F.lit("right")))
+    """Keys present on one side only, with the side; empty means the key sets are equal.  NULL is a key like any other.
+
+    One aggregation over both sides, so repeated keys shrink to one row each before anything is shuffled or held.
+    """
+    both = a.select(*key, F.lit(0).alias("_side")).union(b.select(*key, F.lit(1).alias("_side")))
+    seen = both.groupBy(*key).agg(F.min("_side").alias("_first"), F.max("_side").alias("_last")).filter("_first = _last")
+    return seen.select(*key, F.when(F.col("_first") == 0, "left").otherwise("right").alias("only_in"))
 
 
 def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
