@@ -1,12 +1,16 @@
 """Faults that only larger or odd tables show."""
 
 import io
+import math
 from contextlib import redirect_stdout
 
 import pytest
 from pyspark.sql import functions as F
 
 from trajlake.functions import scaling as sl
+from trajlake.functions.geometry import Box, circle_slack
+from trajlake.operators import curation as cu
+from trajlake.operators import interaction as ia
 from trajlake.plans.catalog import QUERIES
 
 
@@ -17,3 +21,31 @@ def test_event_values_beyond_the_range_return(spark, tmp_path):
     assert (r["c0"], r["back"]) == (1.2, 720.0)
     with pytest.raises(Exception, match="outside"):
         spark.range(1).select(sl.conditioning_denorm(F.array(F.lit(1.2)), [(0.0, 600.0)])).collect()
+
+
+def test_circle_slack_has_the_digits_of_its_formula(spark):
+    box = lambda p: Box(*[F.col(p + c) for c in ("x", "y", "length", "width")], F.lit(1.0), F.lit(0.0))
+    i = F.col("id")
+    cols = {"ax": i * 0.02, "ay": i * 0.04, "alength": F.lit(4.75), "awidth": F.lit(2.0), "bx": i * 0.13, "by": i * 0.31, "blength": F.lit(5.0), "bwidth": F.lit(2.0)}
+    df = spark.range(2000).select(*[c.cast("double").alias(k) for k, c in cols.items()])
+    root = lambda x, y: math.sqrt(x * x + y * y)
+    for r in df.withColumn("s", circle_slack(box("a"), box("b"), 0.0)).collect():
+        assert r["s"] == root(r["bx"] - r["ax"], r["by"] - r["ay"]) - (root(4.75, 2.0) / 2 + root(5.0, 2.0) / 2)
+
+
+def test_a_null_key_on_both_sides_is_the_same_key(spark):
+    a, b = (spark.createDataFrame([(k,) for k in keys], "k long") for keys in ([None, 1, 2, 2], [None, 2, 3]))
+    assert sorted(cu.same_keys(a, b, ["k"]).collect()) == [(1, "left"), (3, "right")]
+
+
+def test_pairs_within_range_without_a_filter_on_the_whole_distance(spark):
+    i = F.col("id")
+    state = spark.range(60).select(
+        (i % 3).alias("scenario_id"), F.lit(0).alias("rollout"), F.lit(0).alias("step"), i.alias("agent_id"), (i * 7 % 90).cast("double").alias("x"), (i * 11 % 40).cast("double").alias("y"),
+        (i / 9.0).alias("heading"), F.lit(4.0).alias("length"), F.lit(2.0).alias("width"), (i % 4 != 0).alias("valid")).cache()
+    listed, searched = (sorted((r["agent_id"], r["other_id"], round(r["distance"], 9)) for r in ia.pairwise_distances(state, 20.0, few=few).collect()) for few in (100, 5))
+    assert listed == searched and listed and max(r[2] for r in listed) <= 20.0
+    text = io.StringIO()
+    with redirect_stdout(text):
+        ia.pairwise_distances(state, 20.0).explain()
+    assert not [line for line in text.getvalue().splitlines() if "Filter" in line and "sqrt" in line.lower()]
