@@ -11,6 +11,7 @@ from trajlake.functions import scaling as sl
 from trajlake.functions.geometry import Box, circle_slack
 from trajlake.operators import curation as cu
 from trajlake.operators import interaction as ia
+from trajlake.operators.sequential import random_baseline
 from trajlake.plans.catalog import QUERIES
 
 
@@ -49,3 +50,12 @@ def test_pairs_within_range_without_a_filter_on_the_whole_distance(spark):
     with redirect_stdout(text):
         ia.pairwise_distances(state, 20.0).explain()
     assert not [line for line in text.getvalue().splitlines() if "Filter" in line and "sqrt" in line.lower()]
+
+
+def test_random_baseline_deals_tracks_before_they_are_multiplied(spark):
+    log = spark.range(8).select(F.lit(0).alias("scenario_id"), F.col("id").alias("agent_id"), F.lit(0).alias("step"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("heading"))
+    text = io.StringIO()
+    with redirect_stdout(text):
+        random_baseline(log, 32).explain()
+    dealt = [line for line in text.getvalue().splitlines() if "Exchange" in line]
+    assert dealt and not [line for line in dealt if "rollout" in line]

@@ -195,16 +195,20 @@ def random_baseline(log: DataFrame, rollouts: int, seed: int = 0, mean: float =
 
     Heading is a running sum of turn increments, and x, y are running sums of the rotated steps, so the
     walk is two window sums over a track instead of a recursion.  Draws come from hashes of the row key.
+    Tracks are dealt out before they are multiplied, so the shuffle carries the log once, not each rollout.
     """
     from pyspark.sql import Window
 
     from trajlake.operators.curation import hash_uniform
 
     key = ["scenario_id", "agent_id", "rollout"]
-    base = log.withColumn("rollout", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rollouts - 1).cast("long"))))
+    dealt = log.repartition("scenario_id", "agent_id")
+    base = dealt.withColumn("rollout", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rollouts - 1).cast("long"))))
+    # The common beginning of a row's six keys is written once.
+    base = base.withColumn("_draw", F.concat_ws(":", *key, "step", F.lit(seed)))
 
     def normal(tag: int):
-        u, v = (hash_uniform(*key, F.col("step"), F.lit(seed), F.lit(tag + i)) for i in (0, 1))
+        u, v = (hash_uniform("_draw", F.lit(tag + i)) for i in (0, 1))
         return F.sqrt(-2 * F.ln(F.lit(1.0) - u)) * F.cos(v * (2 * np.pi))
 
     w = Window.partitionBy(*key).orderBy("step")
@@ -217,5 +221,5 @@ def random_baseline(log: DataFrame, rollouts: int, seed: int = 0, mean: float =
     before = F.coalesce(F.lag("heading").over(w), F.col("heading"))
     moved = turned.withColumns({"_mx": F.col("_dx") * F.cos(before) - F.col("_dy") * F.sin(before), "_my": F.col("_dx") * F.sin(before) + F.col("_dy") * F.cos(before)})
     return moved.withColumns({"x": F.first("x").over(run) + F.sum("_mx").over(run), "y": F.first("y").over(run) + F.sum("_my").over(run)}).drop(
-        "_dx", "_dy", "_dh", "_mx", "_my"
+        "_dx", "_dy", "_dh", "_mx", "_my", "_draw"
     )
