@@ -53,9 +53,9 @@ def test_pairs_within_range_without_a_filter_on_the_whole_distance(spark):
 
 
 def test_random_baseline_deals_tracks_before_they_are_multiplied(spark):
-    log = spark.range(8).select(F.lit(0).alias("scenario_id"), F.col("id").alias("agent_id"), F.lit(0).alias("step"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("heading"))
+    log = spark.range(8).select((F.col("id") % 2).alias("scenario_id"), F.col("id").alias("agent_id"), (F.col("id") % 3).alias("step"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("heading"))
     text = io.StringIO()
     with redirect_stdout(text):
         random_baseline(log, 32).explain()
     dealt = [line for line in text.getvalue().splitlines() if "Exchange" in line]
-    assert dealt and not [line for line in dealt if "rollout" in line]
+    assert dealt and not [line for line in dealt if "rollout" in line], text.getvalue()
