@@ -11,6 +11,7 @@ from trajlake.functions import scaling as sl
 from trajlake.functions.geometry import Box, circle_slack
 from trajlake.operators import curation as cu
 from trajlake.operators import interaction as ia
+from trajlake.operators import roads as rd
 from trajlake.operators.sequential import random_baseline
 from trajlake.plans.catalog import QUERIES
 
@@ -59,3 +60,25 @@ def test_random_baseline_deals_tracks_before_they_are_multiplied(spark):
         random_baseline(log, 32).explain()
     dealt = [line for line in text.getvalue().splitlines() if "Exchange" in line]
     assert dealt and not [line for line in dealt if "rollout" in line], text.getvalue()
+
+
+def test_lanes_equally_far_but_for_the_last_bit_are_ranked_by_powers(spark):
+    # Points whose nearest spot is the vertex (4, 0) of a bent lane: the product gives a tie, the power of the SQL does not always.
+    def roots(x, y):
+        ends = [(x - 0.0 - 1.0 * 4.0, y - b - 1.0 * (0.0 - b)) for b in (1 / 7,)] + [(x - 4.0, y - 0.0)]
+        return [math.sqrt(a * a + b * b) for a, b in ends], [math.sqrt(math.pow(a, 2.0) + math.pow(b, 2.0)) for a, b in ends]
+
+    points, want = [], {}
+    for i in range(60_000):
+        x, y = 4.0 + (i % 100) / 1e4, -0.5 - i / 25e3
+        product, power = roots(x, y)
+        if (product[0] <= product[1]) != (power[0] <= power[1]):
+            want[len(points)] = 0 if power[0] <= power[1] else 1
+            points.append(("m", len(points), x, y, 0.0))
+    assert points, "the platform's pow is exact on all of them"
+    lane = [("m", 7, 0, 0.0, 1 / 7, 4.0, 0.0), ("m", 7, 1, 4.0, 0.0, 8.0, 1 / 7)]
+    lanes = spark.createDataFrame(lane, "map_id string, polyline_id long, seg_idx long, x0 double, y0 double, x1 double, y1 double")
+    lanes = lanes.withColumns({"xp": F.lit(None).cast("double"), "yp": F.lit(None).cast("double")})
+    state = spark.createDataFrame(points, "map_id string, agent_id long, x double, y double, heading double")
+    got = {r["agent_id"]: int(r["heading_error"] < 0) for r in rd.nearest_lane(state, lanes, ["map_id"], ["agent_id"]).collect()}
+    assert got == want
