@@ -2,6 +2,7 @@
 
 import io
 import math
+import random
 from contextlib import redirect_stdout
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from trajlake.functions import scaling as sl
 from trajlake.functions.geometry import Box, circle_slack
 from trajlake.operators import curation as cu
+from trajlake.operators import grid
 from trajlake.operators import interaction as ia
 from trajlake.operators import roads as rd
 from trajlake.operators.sequential import random_baseline
@@ -82,3 +84,30 @@ def test_lanes_equally_far_but_for_the_last_bit_are_ranked_by_powers(spark):
     state = spark.createDataFrame(points, "map_id string, agent_id long, x double, y double, heading double")
     got = {r["agent_id"]: int(r["heading_error"] < 0) for r in rd.nearest_lane(state, lanes, ["map_id"], ["agent_id"]).collect()}
     assert got == want
+
+
+def test_road_features_list_segments_per_cell_before_they_are_multiplied(spark):
+    rnd = random.Random(5)
+    segs = [(m, p, i, 4 + p % 3, *(rnd.choice([-7.5, 0.0, 2.0, 2.5, 9.9, 31.0]) + rnd.random() for _ in range(4))) for m in ("m", "n") for p in range(9) for i in range(4)]
+    egos = [(m, a, rnd.uniform(-12, 40), rnd.uniform(-12, 40), rnd.uniform(-3, 3)) for m in ("m", "none") for a in range(40)] + [("m", 99, None, 1.0, 0.0)]
+    segments = spark.createDataFrame(segs, "map_id string, polyline_id long, seg_idx long, road_type int, x0 double, y0 double, x1 double, y1 double")
+    state = spark.createDataFrame(egos, "map_id string, agent_id long, x double, y double, heading double")
+    cell = lambda v: math.floor(v / 5.0)
+    for k in (3, 128):
+        got = {}
+        for r in rd.road_features(state, segments, ["map_id"], ["map_id", "agent_id"], k=k).collect():
+            got[r["map_id"], r["agent_id"], r["slot"]] = (r["polyline_id"], r["seg_idx"], round(r["rel_x"], 9), r["type"])
+        want = {}
+        for m, a, x, y, h in egos:
+            around = []
+            for sm, p, i, kind, x0, y0, x1, y1 in segs:
+                mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+                off = (cell(mx) - cell(x), cell(my) - cell(y)) if x is not None else None
+                if sm == m and off in grid.spiral(2):
+                    around.append((grid.spiral(2).index(off), p, i, round(((mx - x) * math.cos(h) + (my - y) * math.sin(h)) * 0.02, 9), kind - 4.0))
+            want |= {(m, a, n + 1): s[1:] for n, s in enumerate(sorted(around)[:k])}
+        assert got == want and max(n for *_, n in got) == min(k, max(n for *_, n in want))
+    text = io.StringIO()
+    with redirect_stdout(text):
+        rd.road_features(state, segments, ["map_id"], ["map_id", "agent_id"]).explain()
+    assert not [line for line in text.getvalue().splitlines() if "posexplode" in line and "polyline_id" in line], text.getvalue()
