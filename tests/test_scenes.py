@@ -63,3 +63,23 @@ def test_edge_candidates_are_reduced_where_they_meet(spark):
         rd.road_edge_distance(state, edges, ["map_id"]).explain()
     assert "hashpartitioning(scenario_id" in text.getvalue()
     assert not [line for line in text.getvalue().splitlines() if "Exchange" in line and "corner" in line]
+
+
+def test_only_lonely_agents_of_a_crowd_need_the_nearest_search(spark, monkeypatch):
+    i = F.col("id")
+    # Three hundred agents in company (some invalid, some without a length), two far from all others, and one place taken twice.
+    place = lambda a, b: F.when(i >= 300, (i - 299) * 700.0).when(i == 7, F.lit(a)).when(i == 8, F.lit(a)).otherwise(b)
+    state = spark.range(302).select(
+        F.lit(1).alias("scenario_id"), F.lit(0).alias("rollout"), F.lit(0).alias("step"), i.alias("agent_id"), place(3.0, (i * 37 % 101).cast("double")).alias("x"),
+        place(5.0, (i * 53 % 61).cast("double")).alias("y"), (i % 9 / 4.0).alias("heading"), F.when(i % 50 != 49, 1.0 + i % 4).alias("length"), F.lit(1.5).alias("width"), (i % 3 != 0).alias("valid")).cache()
+    seen, search = [], ia.nearest_candidates
+
+    def counted(points, *args, **more):
+        seen.append(points.count())
+        return search(points, *args, **more)
+
+    monkeypatch.setattr(ia, "nearest_candidates", counted)
+    want = rows(ia.nearest_object(state, few=500), "nearest_distance")
+    assert rows(ia.nearest_object(state, few=0), "nearest_distance") == want and seen[0] < 30
+    assert {a for a, d in want if d is None} == {a for a in range(302) if a % 50 == 49}
+    assert [d > 500 for a, d in want if a >= 300] == [True, True]
