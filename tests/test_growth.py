@@ -111,3 +111,21 @@ def test_road_features_list_segments_per_cell_before_they_are_multiplied(spark):
     with redirect_stdout(text):
         rd.road_features(state, segments, ["map_id"], ["map_id", "agent_id"]).explain()
     assert not [line for line in text.getvalue().splitlines() if "posexplode" in line and "polyline_id" in line], text.getvalue()
+
+
+def test_lane_spans_compute_each_cut_once(spark):
+    ends = [(0.0, 0.0, 6.0, 1.0), (6.0, 1.0, 5.0, 7.5), (-3.0, 2.0, -3.0, -4.0), (9.0, 9.0, 9.0, 9.0)]
+    lanes = spark.createDataFrame([("m", *e) for e in ends], "map_id string, x0 double, y0 double, x1 double, y1 double")
+
+    def near(px, py, ax, ay, bx, by):
+        square = (bx - ax) ** 2 + (by - ay) ** 2
+        t = max(0, min(1, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / square)) if square else 0
+        return math.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay)) <= 2.25
+
+    spans = rd.lane_spans(lanes, ["map_id"], 0.5, 2.25)
+    got = sorted((r["cy"], x) for r in spans.collect() for x in range(r["lo"], r["hi"] + 1))
+    assert got == sorted((j, i) for e in ends for i in range(-15, 30) for j in range(-15, 30) if near((i + 0.5) / 2, (j + 0.5) / 2, *e))
+    text = io.StringIO()
+    with redirect_stdout(text):
+        spans.explain()
+    assert not [line for line in text.getvalue().splitlines() if "Filter" in line and "sqrt" in line.lower()], text.getvalue()
