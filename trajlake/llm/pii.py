@@ -8,7 +8,7 @@ Only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +35,8 @@ PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn":
 
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-# A match can only begin where a run of digits begins: from inside a run it would be the same text, shorter.
+DIGITS = re.compile(r"[0-9]++")
+# These begin where a run of digits begins (an IBAN two letters before): from inside a run it would be the same text, shorter.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -77,23 +78,33 @@ def _only_digits(s: str) -> str:
     return "".join(c for c in s if c.isascii() and c.isdigit())
 
 
+def at_starts(pattern: re.Pattern, text: str, starts: Iterable[int]) -> Iterator[re.Match]:
+    """Leftmost matches of a pattern that can begin at ``starts`` only."""
+    done = 0
+    for at in starts:
+        if at >= done and (m := pattern.match(text, at)):
+            done = m.end()
+            yield m
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """Confirmed spans, kind by kind in the listed order."""
     yield from (("email", a, b) for a, b in emails(text))
-    for m in IP.finditer(text):
+    runs = [m.start() for m in DIGITS.finditer(text)]  # one scan finds where all the following can begin
+    for m in at_starts(IP, text, runs):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             yield "ip", m.start(), m.end()
-    for m in CARD.finditer(text):
+    for m in at_starts(CARD, text, runs):
         if m.end() - m.start() >= 16 and 16 <= len(d := _only_digits(m[0])) <= 19 and luhn(d):
             yield "card", m.start(), m.end()
     if "+" in text:
         for m in PHONE.finditer(text):
             if 8 <= len(_only_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in IBAN.finditer(text):
+    for m in at_starts(IBAN, text, (r - 2 for r in runs if r >= 2 and "A" <= text[r - 1] <= "Z")):
         if mod97(m[0].replace(" ", "")):
             yield "iban", m.start(), m.end()
-    for m in SSN.finditer(text):
+    for m in at_starts(SSN, text, runs):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9":
             yield "ssn", m.start(), m.end()
 
