@@ -241,17 +241,17 @@ def _find(shared):
     return run
 
 
-def item_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, read in the order of their ids."""
-    blocks, held = [[]], 0
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of bounded size, read in the order of their ids; the driver holds one block at a time."""
+    block, held = [], 0
     items = benchmark.filter(F.col("text").isNotNull() & (F.length("text") >= LEAST)).select("item_id", "text")
     for r in items.sort("item_id", "text").toLocalIterator():
         if held and held + len(r["text"]) > INDEX_CHARS:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r["item_id"], r["text"]))
+            yield block
+            block, held = [], 0
+        block.append((r["item_id"], r["text"]))
         held += len(r["text"])
-    return blocks
+    yield block
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
